@@ -2,11 +2,14 @@
 
 The given tables hold no spans, so every catalogue query reads these. Expressions in
 ``SPAN_EXPRS`` and ``RESPONSE_EXPRS`` are text that Spark and the checking engine both
-run, which makes both see the same rows.
+run, which makes both see the same rows. Frames are kept per session: they are only plans,
+and reading a table's schema again for each use would cost a job.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,7 @@ LEAKED = (
 EVAL_METRICS = ["faithfulness", "toxicity", "answer_relevancy"]
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,10 +80,12 @@ def spans_of(events: DataFrame) -> DataFrame:
     return events.selectExpr(*SPAN_EXPRS)
 
 
+@lru_cache(maxsize=64)
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_of(table(spark, sf_dir, "events"))
 
 
+@lru_cache(maxsize=64)
 def priced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_spans(spans(spark, sf_dir), seed_pricing(spark))
 
@@ -113,10 +119,12 @@ def evals_of(labels: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals_of(table(spark, sf_dir, "labels"))
 
 
+@lru_cache(maxsize=64)
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns with the turn before as question; context is the question and the
     document of the same number, and its sentences are the passages."""
@@ -134,6 +142,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def answers_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses without question and context, for scans of the response alone."""
     return answers_of(table(spark, sf_dir, "conversations"))
@@ -143,12 +152,14 @@ def answers_of(turns: DataFrame) -> DataFrame:
     return turns.filter(F.col("role") == "assistant").selectExpr(*RESPONSE_EXPRS, f"{LEAKED} AS response")
 
 
+@lru_cache(maxsize=64)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as prompts with their time."""
     turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     return turns.selectExpr(*RESPONSE_EXPRS, "text AS prompt")
 
 
+@lru_cache(maxsize=64)
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings: labels 0 to 4 are the baseline, 5 to 9 the current side."""
     return table(spark, sf_dir, "embeddings").selectExpr(
