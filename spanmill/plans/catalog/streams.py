@@ -13,14 +13,12 @@ from spanmill.plans.catalog.privacy import PII, QUEUE
 from spanmill.plans.catalog.registry import query
 from spanmill.plans.catalog.rollup import COLUMNS, DAILY, rollup_sql
 from spanmill.plans.catalog.sql import RAW_EVALS, SPANS, on_priced, on_spans, with_
-from spanmill.session import work_path
+from spanmill.session import settings, work_path
 from spanmill.sources.pricing import seed_pricing
 from spanmill.streaming import alerts as live_alerts
 from spanmill.streaming import ingest, pii, rollups
-from spanmill.streaming.tail_sampling import tail_sample_join, tail_sample_timed
+from spanmill.streaming.tail_sampling import ONE_SHOT_SETTINGS, tail_sample_join, tail_sample_timed
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 KEPT = "substr(md5(trace_id), 1, 8) < '1999999a'"
 SPAN_COLUMNS = ["trace_id", "span_id", "status_code", "start_time", "duration_ms"]
 
@@ -71,12 +69,8 @@ def sample_stream(spark, sf):
     "SELECT trace_id, span_id, status_code, start_time, duration_ms FROM spans WHERE trace_id IN "
     f"(SELECT trace_id FROM spans WHERE status_code = 'ERROR') OR {KEPT}"))
 def sample_timed(spark, sf):
-    before = spark.conf.get(PROVIDER_KEY)
-    spark.conf.set(PROVIDER_KEY, ROCKSDB)
-    try:
+    with settings(spark, ONE_SHOT_SETTINGS):
         return append_to(spark, tail_sample_timed(stream_spans(spark, sf).select(*SPAN_COLUMNS)), "tail-timed")
-    finally:
-        spark.conf.set(PROVIDER_KEY, before)
 
 
 @query("rollup_stream", on_priced(rollup_sql("minute")), digits=9)

@@ -20,6 +20,14 @@ from spanmill.streaming.ingest import WATERMARK
 DECISION_MS = 10_000
 DECISION_TTL_MS = 3_600_000
 
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+# With processing-time timers a query always asks for one more empty batch, so a run over
+# all that is there would never stop.
+ONE_SHOT_SETTINGS = {**STATE_SETTINGS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
 
 def tail_sample_join(
     spans: DataFrame, reasons: DataFrame, rate: float = TRACE_RATE, salt: str = "", delay: str = WATERMARK,
@@ -111,7 +119,7 @@ def tail_sample_timed(
     """Decide ``wait_ms`` of processing time after the first span of a trace arrived.
 
     Later spans follow the decision. Traces in the share need no decision and skip the
-    state. Needs the RocksDB state store.
+    state. Needs ``STATE_SETTINGS``; ``ONE_SHOT_SETTINGS`` when run over what is there.
     """
     in_share = hash_keep("trace_id", rate, salt)
     decided = (
