@@ -28,7 +28,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: li
     """One row per group: ``keys``, ``n`` and a column per name in ``probs``.
 
     Linear interpolation between the two ranks around ``p * (n - 1)``; nulls are ignored
-    and a group without values gives no row.
+    and a group without values gives no row. Without keys there is always one row.
     """
     keys = keys or []
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
