@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def _col(text: str | Column) -> Column:
 def tokens(text: str | Column) -> Column:
     """Lower-cased words in order, repeats kept."""
     words = F.split(F.lower(F.coalesce(_col(text), F.lit(""))), WORD_BREAK)
-    return F.filter(words, lambda w: w != "")
+    return F.array_remove(words, "")
 
 
 def token_set(text: str | Column) -> Column:
@@ -34,6 +36,15 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression named twice, or named inside a lambda over an array, is computed each
+    time; bound as a lambda variable it is not.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole``, null over nothing."""
     return F.when(whole > 0, part / whole)

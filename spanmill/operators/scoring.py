@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions import times
-from spanmill.functions.text import overlap, ratio, sentences, token_set, tokens
+from spanmill.functions.text import let, overlap, ratio, sentences, token_set, tokens
 
 LEXICAL_JUDGE = "lexical"
 # Our own word list for the lexical toxicity proxy.
@@ -26,14 +26,14 @@ COVERED_SHARE = 0.5
 
 def faithfulness(response: str = "response", context: str = "context") -> Column:
     """Share of the response's distinct words that occur in the context."""
-    words = token_set(response)
-    return ratio(overlap(words, token_set(context)), F.size(words))
+    return let(token_set(response), lambda words: ratio(overlap(words, token_set(context)), F.size(words)))
 
 
 def toxicity(response: str = "response", lexicon: tuple[str, ...] = TOXIC_WORDS) -> Column:
     """Share of the response's words, repeats counted, that are in the lexicon."""
-    words = tokens(response)
-    return ratio(F.size(F.filter(words, lambda w: w.isin(*lexicon))), F.size(words))
+    return let(
+        tokens(response), lambda words: ratio(F.size(F.filter(words, lambda w: w.isin(*lexicon))), F.size(words))
+    )
 
 
 def toxicity_by_lexicon(df: DataFrame, key: str, lexicon: DataFrame, response: str = "response") -> DataFrame:
@@ -49,14 +49,14 @@ def toxicity_by_lexicon(df: DataFrame, key: str, lexicon: DataFrame, response: s
 
 def answer_relevancy(question: str = "question", response: str = "response") -> Column:
     """Cosine of the word sets of question and response."""
-    a, b = token_set(question), token_set(response)
-    return F.when(
-        (F.size(a) > 0) & (F.size(b) > 0), overlap(a, b) / F.sqrt((F.size(a) * F.size(b)).cast("double"))
-    )
+    def cosine(a: Column, b: Column) -> Column:
+        sizes = F.sqrt((F.size(a) * F.size(b)).cast("double"))
+        return F.when((F.size(a) > 0) & (F.size(b) > 0), overlap(a, b) / sizes)
 
+    return let(token_set(question), lambda a: let(token_set(response), lambda b: cosine(a, b)))
 
-def _covered(text: Column, words: Column, share: float) -> Column:
-    own = token_set(text)
+
+def _covered(own: Column, words: Column, share: float) -> Column:
     return (F.size(own) > 0) & (overlap(own, words) >= F.size(own) * F.lit(share))
 
 
@@ -66,13 +66,11 @@ def context_precision(passages: str = "passages", reference: str = "response", s
     Passages come ranked in an array, so the running count stays inside the row. No
     relevant passage gives 0; no passage gives null.
     """
-    words = token_set(reference)
     start = F.struct(
         F.lit(0).alias("rank"), F.lit(0).alias("hits"), F.lit(0.0).alias("total")
     )
 
-    def step(acc: Column, passage: Column) -> Column:
-        hit = F.when(_covered(passage, words, share), 1).otherwise(0)
+    def step(acc: Column, hit: Column) -> Column:
         hits, rank = acc["hits"] + hit, acc["rank"] + 1
         return F.struct(
             rank.alias("rank"), hits.alias("hits"), (acc["total"] + hit * hits / rank).alias("total")
@@ -83,14 +81,22 @@ def context_precision(passages: str = "passages", reference: str = "response", s
             acc["total"] / acc["hits"]
         )
 
-    return F.aggregate(F.col(passages), start, step, finish)
+    own_words = F.transform(passages, lambda p: token_set(p))
+
+    def relevant(words: Column) -> Column:
+        return F.transform(own_words, lambda own: F.when(_covered(own, words, share), 1).otherwise(0))
+
+    return let(token_set(reference), lambda words: F.aggregate(relevant(words), start, step, finish))
 
 
 def context_recall(reference: str = "response", context: str = "context", share: float = COVERED_SHARE) -> Column:
     """Share of the reference's sentences that the context covers."""
-    words = token_set(context)
-    parts = sentences(reference)
-    return ratio(F.size(F.filter(parts, lambda s: _covered(s, words, share))), F.size(parts))
+    parts = F.transform(sentences(reference), lambda s: token_set(s))
+
+    def covered(words: Column, own: Column) -> Column:
+        return ratio(F.size(F.filter(own, lambda o: _covered(o, words, share))), F.size(own))
+
+    return let(token_set(context), lambda words: let(parts, lambda own: covered(words, own)))
 
 
 LEXICAL_SCORERS = {

@@ -141,7 +141,7 @@ def latest(spark, sf):
 
 @query("error_rate", on_spans(
     "SELECT provider, model, count(*) AS span_count, count(*) FILTER (status_code = 'ERROR') AS error_count, "
-    "round(count(*) FILTER (status_code = 'ERROR') / count(*), 6) AS error_rate FROM spans GROUP BY 1, 2"))
+    "round(count(*) FILTER (status_code = 'ERROR') / count(*), 12) AS error_rate FROM spans GROUP BY 1, 2"), digits=12)
 def error_rate(spark, sf):
     return metrics.error_rate(derived.spans(spark, sf), ["provider", "model"])
 
@@ -150,8 +150,8 @@ PASSED = "CASE metric_name WHEN 'faithfulness' THEN score >= 0.7 WHEN 'toxicity'
 
 
 @query("eval_pass_rate", on_evals(
-    "SELECT metric_name, evaluated_model, count(*) AS eval_count, count(*) FILTER (p) AS passed_count, round(avg(p::INT), 6) AS pass_rate "
-    f"FROM (SELECT *, {PASSED} AS p FROM evals) WHERE p IS NOT NULL GROUP BY 1, 2"))
+    "SELECT metric_name, evaluated_model, count(*) AS eval_count, count(*) FILTER (p) AS passed_count, round(avg(p::INT), 12) AS pass_rate "
+    f"FROM (SELECT *, {PASSED} AS p FROM evals) WHERE p IS NOT NULL GROUP BY 1, 2"), digits=12)
 def eval_pass_rate(spark, sf):
     return evals.eval_pass_rate(evals.current_evals(derived.evals(spark, sf)), ["metric_name", "evaluated_model"])
 

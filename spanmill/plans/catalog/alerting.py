@@ -133,7 +133,7 @@ def history(spark, sf):
 
 @query("sliding_ratio", with_(
     "SELECT series AS app_id, tick, make_timestamp(tick * 1000000) AS ts, part, whole, "
-    "round(CASE WHEN whole > 0 THEN part::DOUBLE / whole END, 6) AS value FROM err_slid", SPANS, *ERROR_CTES))
+    "round(CASE WHEN whole > 0 THEN part::DOUBLE / whole END, 12) AS value FROM err_slid", SPANS, *ERROR_CTES), digits=12)
 def sliding_ratio(spark, sf):
     return alerts.error_ratio(derived.spans(spark, sf), ["app_id"], HOUR, SIX_HOURS)
 

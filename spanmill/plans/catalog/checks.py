@@ -43,7 +43,7 @@ def orphan_spans(spark, sf):
 
 @query("parent_share", on_spans(
     "SELECT service_name, count(*) AS span_count, count(*) FILTER (parent_span_id <> '') AS with_parent, "
-    "round(count(*) FILTER (parent_span_id <> '') / count(*), 6) AS parent_share FROM spans GROUP BY 1"))
+    "round(count(*) FILTER (parent_span_id <> '') / count(*), 12) AS parent_share FROM spans GROUP BY 1"), digits=12)
 def parent_share(spark, sf):
     return quality.parent_share(derived.spans(spark, sf))
 

@@ -75,7 +75,7 @@ def credit_card(spark, sf):
 
 @query("pii_rate", with_(
     "SELECT date_trunc('hour', start_time) AS hour, model, count(*) AS responses, count(*) FILTER (n > 0) AS detected, "
-    "count(*) FILTER (n > 0 AND score >= 0.5) AS flagged, round(avg((n > 0 AND score >= 0.5)::INT), 6) AS flagged_rate FROM scored GROUP BY 1, 2", *PII))
+    "count(*) FILTER (n > 0 AND score >= 0.5) AS flagged, round(avg((n > 0 AND score >= 0.5)::INT), 12) AS flagged_rate FROM scored GROUP BY 1, 2", *PII), digits=12)
 def rate(spark, sf):
     return pii.flagged_rate(derived.answers_only(spark, sf), "start_time")
 

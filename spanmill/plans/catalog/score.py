@@ -27,16 +27,16 @@ SCORES = (
     "UNION ALL SELECT trace_id, span_id, 'answer_relevancy', " + RELEVANT + ", provider, model, start_time FROM sets)"
 )
 OUT = ["trace_id", "span_id", "metric_name", "score", "evaluated_provider", "evaluated_model"]
-OUT_SQL = "trace_id, span_id, metric_name, round(score, 6) AS score, provider AS evaluated_provider, model AS evaluated_model"
+OUT_SQL = "trace_id, span_id, metric_name, round(score, 12) AS score, provider AS evaluated_provider, model AS evaluated_model"
 
 
-@query("score_responses", with_(f"SELECT {OUT_SQL}, 'lexical' AS model_used, {END} AS evaluated_at FROM scores", RESPONSES, SETS, SCORES))
+@query("score_responses", with_(f"SELECT {OUT_SQL}, 'lexical' AS model_used, {END} AS evaluated_at FROM scores", RESPONSES, SETS, SCORES), digits=12)
 def score_responses(spark, sf):
     scorers = {name: make() for name, make in scoring.LEXICAL_SCORERS.items()}
     return scoring.score_responses(derived.responses(spark, sf), scorers, AS_OF).select(*OUT, "model_used", "evaluated_at")
 
 
-@query("faithfulness", with_(f"SELECT span_id, round({FAITHFUL}, 6) AS score FROM sets", RESPONSES, SETS))
+@query("faithfulness", with_(f"SELECT span_id, round({FAITHFUL}, 12) AS score FROM sets", RESPONSES, SETS), digits=12)
 def faithfulness(spark, sf):
     return derived.responses(spark, sf).select("span_id", scoring.faithfulness().alias("score"))
 
@@ -48,9 +48,9 @@ BENCH_WORDS = (
 
 
 @query("toxicity", with_(
-    "SELECT doc_id, round(count(l.word) / nullif(count(w), 0), 6) AS score FROM "
+    "SELECT doc_id, round(count(l.word) / nullif(count(w), 0), 12) AS score FROM "
     f"(SELECT doc_id, unnest(CASE WHEN len({WORDS.format('text')}) = 0 THEN [NULL] ELSE {WORDS.format('text')} END) AS w FROM documents) d "
-    "LEFT JOIN lexicon l ON l.word = d.w GROUP BY doc_id", BENCH_WORDS))
+    "LEFT JOIN lexicon l ON l.word = d.w GROUP BY doc_id", BENCH_WORDS), digits=12)
 def toxicity(spark, sf):
     """Against a lexicon table, over whole documents."""
     words = derived.table(spark, sf, "benchmark").select(F.explode(scoring.tokens("text")).alias("word"))
@@ -59,7 +59,7 @@ def toxicity(spark, sf):
     return scored.withColumnRenamed("toxicity", "score")
 
 
-@query("answer_relevancy", with_(f"SELECT span_id, round({RELEVANT}, 6) AS score FROM sets", RESPONSES, SETS))
+@query("answer_relevancy", with_(f"SELECT span_id, round({RELEVANT}, 12) AS score FROM sets", RESPONSES, SETS), digits=12)
 def answer_relevancy(spark, sf):
     return derived.responses(spark, sf).select("span_id", scoring.answer_relevancy().alias("score"))
 
@@ -74,12 +74,12 @@ PRECISION = (
     f"FROM (SELECT *, {WORD_SET.format('p')} AS pw FROM passages)))"
 )
 PRECISION_SQL = (
-    "SELECT s.span_id, round(max(CASE WHEN t.n IS NULL THEN NULL WHEN t.h = 0 THEN 0 ELSE t.total / t.h END), 6) AS score FROM sets s LEFT JOIN "
+    "SELECT s.span_id, round(max(CASE WHEN t.n IS NULL THEN NULL WHEN t.h = 0 THEN 0 ELSE t.total / t.h END), 12) AS score FROM sets s LEFT JOIN "
     "(SELECT span_id, count(*) AS n, sum(hit) AS h, sum(hit * hits / k) AS total FROM precision_at GROUP BY span_id) t USING (span_id) GROUP BY s.span_id"
 )
 
 
-@query("context_precision", with_(PRECISION_SQL, RESPONSES, SETS, PASSAGES, PRECISION))
+@query("context_precision", with_(PRECISION_SQL, RESPONSES, SETS, PASSAGES, PRECISION), digits=12)
 def context_precision(spark, sf):
     return derived.responses(spark, sf).select("span_id", scoring.context_precision(share=SHARE).alias("score"))
 
@@ -91,14 +91,14 @@ RECALL = (
 
 
 @query("context_recall", with_(
-    f"SELECT span_id, round({RECALL}, 6) AS score FROM (SELECT *, {SENTENCES.format('response')} AS rs FROM sets)", RESPONSES, SETS))
+    f"SELECT span_id, round({RECALL}, 12) AS score FROM (SELECT *, {SENTENCES.format('response')} AS rs FROM sets)", RESPONSES, SETS), digits=12)
 def context_recall(spark, sf):
     return derived.responses(spark, sf).select("span_id", scoring.context_recall(share=SHARE).alias("score"))
 
 
 @query("eval_job", with_(
     f"SELECT {OUT_SQL} FROM scores WHERE start_time >= {END} - INTERVAL 30 DAY AND start_time < {END} "
-    "AND substr(md5(span_id), 1, 8) < '26666667' AND score IS NOT NULL", RESPONSES, SETS, SCORES))
+    "AND substr(md5(span_id), 1, 8) < '26666667' AND score IS NOT NULL", RESPONSES, SETS, SCORES), digits=12)
 def eval_job(spark, sf):
     return jobs.eval_job(derived.responses(spark, sf), AS_OF, limit=None, **MONTH).select(*OUT)
 
@@ -107,9 +107,9 @@ def eval_job(spark, sf):
     "SELECT p.span_id, 'context_precision' AS metric_name, p.score FROM (" + PRECISION_SQL + ") p JOIN sets s USING (span_id) "
     f"WHERE s.start_time >= {END} - INTERVAL 30 DAY AND s.start_time < {END} AND s.service_name <> 'chat-svc' "
     "AND substr(md5(span_id), 1, 8) < '33333334' AND p.score IS NOT NULL UNION ALL "
-    f"SELECT span_id, 'context_recall', round({RECALL}, 6) AS score FROM (SELECT *, {SENTENCES.format('response')} AS rs FROM sets) "
+    f"SELECT span_id, 'context_recall', round({RECALL}, 12) AS score FROM (SELECT *, {SENTENCES.format('response')} AS rs FROM sets) "
     f"WHERE start_time >= {END} - INTERVAL 30 DAY AND start_time < {END} AND service_name <> 'chat-svc' "
-    f"AND substr(md5(span_id), 1, 8) < '33333334' AND {RECALL} IS NOT NULL", RESPONSES, SETS, PASSAGES, PRECISION))
+    f"AND substr(md5(span_id), 1, 8) < '33333334' AND {RECALL} IS NOT NULL", RESPONSES, SETS, PASSAGES, PRECISION), digits=12)
 def rag_job(spark, sf):
     scorers = {name: make(share=SHARE) for name, make in scoring.RAG_SCORERS.items()}
     return jobs.rag_job(derived.responses(spark, sf), AS_OF, scorers, limit=None, **MONTH).select("span_id", "metric_name", "score")
@@ -126,9 +126,9 @@ def _strict_length():
 
 @query("score_failures", with_(
     "SELECT span_id, 'length' AS metric_name, CASE WHEN contains(response, 'SSN') THEN NULL "
-    "ELSE round(length(response) / (length(response) + 1000), 6) END AS score, "
+    "ELSE round(length(response) / (length(response) + 1000), 12) END AS score, "
     "CASE WHEN contains(response, 'SSN') THEN 'ValueError: refused' END AS error FROM answers "
-    f"UNION ALL SELECT span_id, 'words', round(len({WORDS.format('response')})::DOUBLE, 6), NULL FROM answers", ANSWERS))
+    f"UNION ALL SELECT span_id, 'words', round(len({WORDS.format('response')})::DOUBLE, 12), NULL FROM answers", ANSWERS), digits=12)
 def score_failures(spark, sf):
     """One metric raises on some rows; the other metric and the other rows are kept."""
     scorers = {
@@ -155,7 +155,7 @@ def _share_of_spaces():
 
 
 @query("plug_scorer", with_(
-    "SELECT span_id, round((length(question) - length(replace(question, ' ', ''))) / (1 + length(response)), 6) AS score FROM responses", RESPONSES))
+    "SELECT span_id, round((length(question) - length(replace(question, ' ', ''))) / (1 + length(response)), 12) AS score FROM responses", RESPONSES), digits=12)
 def plug_scorer(spark, sf):
     """Any Python function as a scorer."""
     scorers = {"spaces": scoring.python_scorer(_share_of_spaces, "question", "response")}
