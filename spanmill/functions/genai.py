@@ -53,6 +53,10 @@ def usage_columns(payload: Column) -> dict[str, Column]:
     return {"input_tokens": tokens_in, "output_tokens": tokens_out, "total_tokens": total}
 
 
+# A path in front; "-Instruct" and a date at the end.
+MODEL_AFFIXES = r"(?i)^.*/|(-instruct)?(-(\d{8}|\d{4}-\d{2}-\d{2}))?$"
+
+
 def canonical_model(model: str | Column) -> Column:
     """The name under which a model is priced.
 
@@ -60,7 +64,6 @@ def canonical_model(model: str | Column) -> Column:
     of a claude model becomes dotted; no other family is touched by the last rule.
     """
     name = F.col(model) if isinstance(model, str) else model
-    name = F.lower(F.regexp_replace(name, r"^.*/", ""))
-    name = F.regexp_replace(name, r"-(\d{8}|\d{4}-\d{2}-\d{2})$", "")
-    name = F.regexp_replace(name, r"-instruct$", "")
-    return F.regexp_replace(name, r"^claude-(\d)-(\d)-", "claude-$1.$2-")
+    name = F.lower(F.regexp_replace(name, MODEL_AFFIXES, ""))
+    dotted = F.regexp_replace(name, r"^claude-(\d)-(\d)-", "claude-$1.$2-")
+    return F.when(name.startswith("claude-"), dotted).otherwise(name)

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import times
 from spanmill.functions.genai import canonical_model
-from spanmill.operators.latest import latest_per_key
 
 
 def price_book(pricing: DataFrame) -> DataFrame:
-    """One row per model: its prices by provider, and the one used for other providers."""
-    current = latest_per_key(pricing, ["provider", "model_name"], "updated_at")
+    """One row per model: its latest prices by provider, and the one for other providers."""
     price = F.struct(F.col("input_cost_per_1k").alias("input"), F.col("output_cost_per_1k").alias("output"))
+    # Partitioned once by the outer key, which serves both groupings.
     return (
-        current.withColumn("price_key", canonical_model("model_name"))
-        .withColumn("price", price)
+        pricing.withColumn("price_key", canonical_model("model_name"))
+        .repartition("price_key")
+        .groupBy("price_key", "provider")
+        .agg(F.max_by(price, "updated_at").alias("price"))
         .groupBy("price_key")
         .agg(
             F.map_from_entries(F.collect_list(F.struct("provider", "price"))).alias("by_provider"),

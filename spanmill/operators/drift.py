@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanmill.functions import labels, times
 from spanmill.functions.text import tokens
 from spanmill.operators.latest import latest_date_only
-from spanmill.session import broadcast_if_small, cut_lineage
+from spanmill.session import broadcast_if_small
 
 DIMENSIONS = 384
 BINS = 10
@@ -108,7 +108,7 @@ def histogram_by_dim(
     rows = vectors.select(*group, F.col(side).alias("_side"), F.col(vector).alias("_vector"))
     ranges = _ranges(rows, group, "_vector")
     if group:
-        placed = rows.join(broadcast_if_small(cut_lineage(ranges), 10_000), group)
+        placed = rows.join(broadcast_if_small(ranges, 10_000), group)
     else:
         placed = rows.withColumn("_ranges", ranges.scalar())
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanmill.session import broadcast_if_small, cut_lineage
+from spanmill.session import broadcast_if_small
 
 # Buckets per doubling of the value: each is about 0.07 % wide.
 RESOLUTION = 1024
@@ -55,7 +55,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: li
     targets = placed.select(*keys, "_b", "_before", "n", hits.alias("_hits")).filter(F.size("_hits") > 0)
 
     if keys:
-        targets = broadcast_if_small(cut_lineage(targets))
+        targets = broadcast_if_small(targets)
     else:
         # At most two rows per probability.
         targets = F.broadcast(targets)

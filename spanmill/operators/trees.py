@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import times
 from spanmill.operators.skew import join_per_key
-from spanmill.session import cut_lineage
+from spanmill.session import counted_copy
 
 MIN_BAR_PERCENT = 2.0
 
@@ -37,18 +37,17 @@ def span_depth(spans: DataFrame) -> DataFrame:
             )
         )
     )
-    state = cut_lineage(state)
-    open_spans = state.filter(F.col("up").isNotNull()).count()
+    pending = F.col("up").isNotNull()
+    state, _, open_spans = counted_copy(state, pending)
     while open_spans:
         target = state.select(
             "trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth")
         )
         # Settled spans need no lookup, so only open ones are joined on their pointer.
-        moved = state.filter(F.col("up").isNotNull()).join(target, ["trace_id", "up"]).select(
+        moved = state.filter(pending).join(target, ["trace_id", "up"]).select(
             "trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")
         )
-        state = cut_lineage(state.filter(F.col("up").isNull()).unionByName(moved))
-        still_open = state.filter(F.col("up").isNotNull()).count()
+        state, _, still_open = counted_copy(state.filter(~pending).unionByName(moved), pending)
         if still_open == open_spans:
             break
         open_spans = still_open

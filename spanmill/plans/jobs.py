@@ -12,6 +12,7 @@ from spanmill.functions import sampling
 from spanmill.operators import alerts, drift, pii, scoring, search
 from spanmill.operators.latest import latest_per_key
 from spanmill.schemas import ALERT_HISTORY, DRIFT_SCORES, EVALS, PII_QUEUE
+from spanmill.session import cut_lineage
 from spanmill.sources.facts import append_table
 
 
@@ -49,9 +50,13 @@ def pii_job(
 
 
 def drift_job(prompts: DataFrame, as_of, text: str = "prompt", ts: str = "start_time", dims: int = drift.DIMENSIONS) -> DataFrame:
-    """Embed the prompts of both periods, compare them per dimension, rows of the drift table."""
+    """Embed the prompts of both periods, compare them per dimension, rows of the drift table.
+
+    The vectors are written before they are compared: ranges and histograms read them in
+    two passes, and embedding is the costly part.
+    """
     sides = drift.baseline_current_split(prompts, ts, as_of).select("side", text)
-    vectors = drift.embed_text(sides, text, dims=dims).select("side", "embedding")
+    vectors = cut_lineage(drift.embed_text(sides, text, dims=dims).select("side", "embedding"))
     return drift.score_rows(drift.drift_by_dimension(vectors), as_of)
 
 

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,17 +76,29 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back; survives the loss of executors."""
+    return counted_copy(df, F.lit(False))[0]
+
+
+def counted_copy(df: DataFrame, condition: Column) -> tuple[DataFrame, int, int]:
+    """``cut_lineage`` with the number of rows, and of rows meeting ``condition``.
+
+    Both are counted by the job that writes. A written table, unlike an RDD checkpoint,
+    is columnar and compressed, and tells the optimizer its size.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, "step")
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(condition).alias("hits"))
+    observed.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"], seen.get["hits"]
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``broadcast(df)`` once a count shows at most ``max_rows`` rows, else ``df`` as it is.
+    """A written copy of ``df``, marked for broadcast if it has at most ``max_rows`` rows.
 
-    For narrow tables whose size is not known to the optimizer. The count reads at most
-    ``max_rows + 1`` rows; a larger side keeps Spark's own (shuffle) join.
+    For narrow results whose size the optimizer cannot know beforehand; a larger one
+    keeps Spark's own (shuffle) join.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    copy, rows, _ = counted_copy(df, F.lit(False))
+    return F.broadcast(copy) if rows <= max_rows else copy
