@@ -100,36 +100,31 @@ def histogram_by_dim(
 ) -> DataFrame:
     """Counts per (group, dimension, bin) and side over the joint range of both sides.
 
-    Equal bins, the last one closed. The ranges are one small row per group, joined
-    before the vectors are unfolded; counting combines map-side to at most
-    groups x dimensions x bins rows.
+    Equal bins, the last one closed. The ranges are one small row per group; counting
+    combines map-side to at most groups x dimensions x bins rows.
     """
     group = group or []
     rows = vectors.select(*group, F.col(side).alias("_side"), F.col(vector).alias("_vector"))
     ranges = _ranges(rows, group, "_vector")
     if group:
         placed = rows.join(broadcast_if_small(ranges, 10_000), group)
+        unfolded = placed.select(*group, "_side", "_ranges", F.posexplode("_vector").alias("dim", "v"))
     else:
-        placed = rows.withColumn("_ranges", ranges.scalar())
-
-    def bin_of(value: Column, index: Column) -> Column:
-        # get() takes a 0-based index, as the position in the vector is.
-        bounds = F.get("_ranges", index)
-        width = bounds["high"] - bounds["low"]
-        share = F.when(width > 0, (value.cast("double") - bounds["low"]) / width)
-        return F.struct(
-            index.alias("dim"),
-            F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"),
-            width.alias("width"),
-        )
-
+        unfolded = rows.select("_side", F.posexplode("_vector").alias("dim", "v"))
+        unfolded = unfolded.withColumn("_ranges", ranges.scalar())
+
+    # get() takes a 0-based index, as the position in the vector is.
+    bound = F.get("_ranges", F.col("dim"))
+    low, width = F.col("_bound.low"), F.col("_bound.high") - F.col("_bound.low")
+    share = F.when(width > 0, (F.col("v").cast("double") - low) / width)
+    bin_of = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
     return (
-        placed.select(*group, "_side", F.explode(F.transform("_vector", bin_of)).alias("_p"))
-        .groupBy(*group, F.col("_p.dim").alias("dim"), F.col("_p.bin").alias("bin"))
+        unfolded.withColumn("_bound", bound)
+        .groupBy(*group, "dim", bin_of.alias("bin"))
         .agg(
             F.count_if(F.col("_side") == "baseline").alias("baseline_count"),
             F.count_if(F.col("_side") == "current").alias("current_count"),
-            F.max("_p.width").alias("range_width"),
+            F.max(width).alias("range_width"),
         )
     )
 

@@ -21,18 +21,21 @@ def span_depth(spans: DataFrame) -> DataFrame:
     depth d takes about log2(d) rounds. When a round settles no span, all that are left
     lie on or under a cycle; they get a null depth.
     """
-    nodes = spans.select("trace_id", "span_id", "parent_span_id").dropDuplicates(["trace_id", "span_id"])
-    known = nodes.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_known"))
-    child = nodes.filter(F.col("parent_span_id") != "").join(known, ["trace_id", "parent_span_id"], "left")
-    linked = F.col("_known").isNotNull()
+    parent = F.coalesce("parent_span_id", F.lit("")).alias("parent_span_id")
+    nodes = spans.select("trace_id", "span_id", parent).dropDuplicates(["trace_id", "span_id"])
+    above = nodes.select(
+        "trace_id", F.col("span_id").alias("parent_span_id"), F.col("parent_span_id").alias("_above")
+    )
+    named = nodes.filter(F.col("parent_span_id") != "").join(above, ["trace_id", "parent_span_id"], "left")
+    # Children of a span that names no parent are settled at once, with depth 1.
     state = (
-        child.select(
+        named.select(
             "trace_id", "span_id",
-            F.when(linked, F.col("parent_span_id")).alias("up"),
-            F.when(linked, F.lit(1)).otherwise(F.lit(0)).alias("depth"),
+            F.when(F.col("_above") != "", F.col("parent_span_id")).alias("up"),
+            F.when(F.col("_above").isNotNull(), 1).otherwise(0).alias("depth"),
         )
         .unionByName(
-            nodes.filter(F.coalesce(F.col("parent_span_id"), F.lit("")) == "").select(
+            nodes.filter(F.col("parent_span_id") == "").select(
                 "trace_id", "span_id", F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth")
             )
         )
