@@ -10,7 +10,7 @@ MAX_WAIT_SECONDS = 300
 
 
 def first_at_or_after(
-    starts: DataFrame, hits: DataFrame, key: str, start_ts: str, hit_ts: str, out: str, bucket_seconds: int = 3600
+    starts: DataFrame, hits: DataFrame, key: str, start_ts: str, hit_ts: str, out: str, bucket_seconds: int = 60
 ) -> DataFrame:
     """Each row of ``starts`` with the earliest hit of its key at or after its start.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import times
 from spanmill.functions.text import let, overlap, ratio, sentences, token_set, tokens
+from spanmill.session import counted_copy
 
 LEXICAL_JUDGE = "lexical"
 # Our own word list for the lexical toxicity proxy.
@@ -36,15 +37,27 @@ def toxicity(response: str = "response", lexicon: tuple[str, ...] = TOXIC_WORDS)
     )
 
 
-def toxicity_by_lexicon(df: DataFrame, key: str, lexicon: DataFrame, response: str = "response") -> DataFrame:
-    """Toxicity with a lexicon table (``word``) of any size: explode, join, count per key."""
+def toxicity_by_lexicon(
+    df: DataFrame, key: str, lexicon: DataFrame, response: str = "response", broadcast_rows: int = 200_000, salts: int = 64
+) -> DataFrame:
+    """Toxicity with a lexicon table (``word``) of any size: explode, join, count per key.
+
+    Words are counted per row before the join. A lexicon too large to broadcast is
+    repeated per salt, since a common word would otherwise meet all texts in one task.
+    """
     words = df.select(key, F.explode_outer(tokens(response)).alias("word"))
-    listed = lexicon.select(F.lower("word").alias("word")).distinct().withColumn("_listed", F.lit(True))
-    return (
-        words.join(listed, "word", "left")
-        .groupBy(key)
-        .agg(ratio(F.count("_listed"), F.count("word")).alias("toxicity"))
+    counted = words.groupBy(key, "word").agg(F.count("word").alias("_n"))
+    listed, rows, _ = counted_copy(
+        lexicon.select(F.lower("word").alias("word")).distinct().withColumn("_listed", F.lit(True)), F.lit(False)
     )
+    if rows <= broadcast_rows:
+        joined = counted.join(F.broadcast(listed), "word", "left")
+    else:
+        repeated = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = counted.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        joined = salted.join(repeated, ["word", "_salt"], "left")
+    hits = F.coalesce(F.sum(F.when(F.col("_listed"), F.col("_n"))), F.lit(0))
+    return joined.groupBy(key).agg(ratio(hits, F.sum("_n")).alias("toxicity"))
 
 
 def answer_relevancy(question: str = "question", response: str = "response") -> Column:

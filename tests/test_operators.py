@@ -339,6 +339,14 @@ def test_lexical_scores(spark):
     assert tuple(got["e"])[1:] == (None, None, None, None, None)
 
 
+def test_large_lexicon_gives_the_same_shares(spark):
+    df = responses(spark, [("a", "", "Bad good bad", "", []), ("b", "", "good", "", []), ("c", "", "", "", [])])
+    lexicon = spark.createDataFrame([("BAD",), ("awful",), ("bad",)], "word string")
+    for limit in (10, 0):
+        shares = {r.span_id: r.toxicity for r in scoring.toxicity_by_lexicon(df, "span_id", lexicon, broadcast_rows=limit, salts=3).collect()}
+        assert shares == {"a": pytest.approx(2 / 3), "b": 0.0, "c": None}
+
+
 def test_a_failing_metric_leaves_the_others(spark):
     def make():
         return lambda text: 1 / len(text)
