@@ -146,7 +146,7 @@ DAILY_ERRORS = slide_ctes("day", "spans", "start_time", "app_id", DAY, DAY, ERR)
     "CASE WHEN end_tick - start_tick >= 172800 THEN start_tick + 172800 END AS fired_tick, next_tick, 86400::BIGINT AS step_seconds FROM ("
     "SELECT series AS app_id, min(tick) AS start_tick, max(tick) AS end_tick, count(*) AS ticks, arg_max_null(next_tick, tick) AS next_tick FROM ("
     "SELECT *, tick - 86400 * row_number() OVER (PARTITION BY series ORDER BY tick) AS island FROM ("
-    "SELECT *, lead(tick) OVER (PARTITION BY series ORDER BY tick) AS next_tick FROM day_slid) WHERE part::DOUBLE / whole > 0.1) "
+    "SELECT *, lead(tick) OVER (PARTITION BY series ORDER BY tick) AS next_tick FROM day_slid) WHERE whole > 0 AND part::DOUBLE / whole > 0.1) "
     "GROUP BY series, island)", SPANS, *DAILY_ERRORS))
 def sustained(spark, sf):
     daily = alerts.error_ratio(derived.spans(spark, sf), ["app_id"], DAY, DAY)
