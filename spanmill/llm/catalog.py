@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import jaccard, quality
+from spanmill.llm import decontaminate, jaccard, line_dedup, packing, quality, repeats
 from spanmill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -37,3 +38,74 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op5_line_dedup", sql="""
+    WITH lines AS (
+        SELECT doc_id, no - 1 AS no, lines[no] AS line, len(lines) AS n_lines
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(no)
+    ), firsts AS (
+        SELECT line, min({'d': doc_id, 'n': no}) AS first, length(line) AS size, left(line, 10) AS head, right(line, 10) AS tail
+        FROM lines WHERE length(line) >= 20 GROUP BY line
+    ), met AS (
+        SELECT a.line AS s, a.first AS s_first, b.line AS r, b.first AS r_first, a.size AS n, b.size - a.size AS more
+        FROM firsts a JOIN firsts b ON a.head = b.head AND b.size - a.size IN (0, 1) AND a.line <> b.line
+        UNION
+        SELECT a.line, a.first, b.line, b.first, a.size, b.size - a.size
+        FROM firsts a JOIN firsts b ON a.tail = b.tail AND b.size - a.size IN (0, 1) AND a.line <> b.line
+    ), linked AS (
+        SELECT * FROM met WHERE list_bool_or(list_transform(range(0, n + 1), lambda i:
+            left(s, i) = left(r, i) AND substr(s, i + 2 - more) = substr(r, i + 2)))
+    ), near AS (
+        SELECT DISTINCT CASE WHEN s_first < r_first THEN r ELSE s END AS line FROM linked
+    ), judged AS (
+        SELECT l.doc_id, l.no, l.n_lines, f.line IS NOT NULL AND (f.first <> {'d': l.doc_id, 'n': l.no} OR near.line IS NOT NULL) AS gone,
+            f.line IS NOT NULL AND f.first = {'d': l.doc_id, 'n': l.no} AND near.line IS NOT NULL AS only_near
+        FROM lines l LEFT JOIN firsts f ON f.line = l.line LEFT JOIN near ON near.line = l.line
+    )
+    SELECT doc_id, any_value(n_lines) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (only_near) AS n_near,
+        coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (gone), '') AS removed
+    FROM judged GROUP BY doc_id
+""")
+def line_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_benchmark_decontamination", sql="""
+    WITH texts AS (
+        SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+    ), words AS (
+        SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM texts
+    ), items AS (
+        SELECT DISTINCT id AS item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2),
+            lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS run FROM words WHERE kind = 'b' AND len(w) > 0
+    ), lengths AS (
+        SELECT DISTINCT size FROM items
+    ), runs AS (
+        SELECT id AS doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, unnest(list_transform(range(1, len(w) - size + 2),
+            lambda i: array_to_string(w[i:i + size - 1], ' '))) AS run FROM words, lengths WHERE kind = 'd'
+    ), met AS (
+        SELECT doc_id, i, runs.size, item_id FROM runs JOIN items ON runs.run = items.run AND runs.size = items.size
+    ), hit AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM met) GROUP BY doc_id
+    ), named AS (
+        SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+        FROM met GROUP BY doc_id
+    )
+    SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM words LEFT JOIN hit ON hit.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE kind = 'd'
+""")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_packing")
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_digest(packing.pack_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op10_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
