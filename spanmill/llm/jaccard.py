@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 #: A signature of more sets than this is left out of pair forming (see the module's text for why none is lost).
 FEW = 24
 #: Texts whose signatures are dealt together, in bytes; bounds a task's memory.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 _FILL = 2.6
 _RATIO = 1.6
 _SEED = np.uint64(0x51ED270B9F5A3E17)
@@ -253,14 +253,33 @@ def _signature_rows(words: int, percent: int, deletions_only: bool, parts: int):
 
 
 def _shared(batches: Batches) -> Batches:
-    """Of the dealt signatures, those that several sets have: one row for each set, with the set to compare it with."""
+    """Of the dealt signatures, those that several sets have: one row for each set, with the set to compare it with.
+
+    Rows come in the order of their part, and one part is held at a time.
+    """
     schema = pa.schema([("kind", pa.int8()), ("signature", pa.int64()), ("node", pa.int64()), ("leader", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("lost", pa.int64())])
 
     def rows(signature, node, leader, known) -> pa.RecordBatch:
         none = pa.nulls(len(node), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(node)), pa.int8()), pa.array(signature), pa.array(node), pa.array(leader, mask=~known), none, none, none], schema=schema)
 
-    signatures, nodes = [], []
+    def settle(pairs: list[np.ndarray]) -> Batches:
+        signature, node = np.concatenate(pairs, axis=1)
+        crowd, signature = (signature & 1).astype(bool), signature & ~np.int64(1)
+        order = np.lexsort((node, signature))
+        signature, node, crowd = signature[order], node[order], crowd[order]
+        other = signature[1:] != signature[:-1]
+        fresh = np.concatenate([[True], other | (node[1:] != node[:-1])])
+        begin = np.flatnonzero(np.concatenate([[True], other]))
+        run = np.cumsum(np.concatenate([[False], other]))
+        many = (np.add.reduceat(fresh.astype(np.int64), begin) > 1) | np.maximum.reduceat(crowd, begin)
+        leader = node[begin][run]
+        kept = np.flatnonzero(fresh & many[run])
+        for at in range(0, len(kept), 1 << 16):
+            own = kept[at : at + (1 << 16)]
+            yield rows(signature[own], node[own], leader[own], leader[own] != node[own])
+
+    part, pairs = None, []
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
         documents = batch.filter(pa.array(kinds == 2))
@@ -270,39 +289,28 @@ def _shared(batches: Batches) -> Batches:
                 [documents.column("kind"), pa.nulls(n, pa.int64()), documents.column("node"), pa.nulls(n, pa.int64()), documents.column("doc_id"), documents.column("size"), documents.column("lost")],
                 schema=schema,
             )
-        for kind, block in zip(kinds, batch.column("block"), strict=True):
+        for number, kind, block in zip(batch.column("part").to_pylist(), kinds, batch.column("block"), strict=True):
             if kind == 0:
-                pair = np.frombuffer(block.as_buffer(), np.int64).reshape(2, -1)
-                signatures.append(pair[0])
-                nodes.append(pair[1])
+                if number != part and pairs:
+                    yield from settle(pairs)
+                    pairs = []
+                part = number
+                pairs.append(np.frombuffer(block.as_buffer(), np.int64).reshape(2, -1).copy())
             elif kind == 1:
                 three = np.frombuffer(block.as_buffer(), np.int64).reshape(3, -1)
                 yield rows(three[0], three[1], three[2], np.ones(three.shape[1], bool))
-    if not signatures:
-        return
-    signature, node = np.concatenate(signatures), np.concatenate(nodes)
-    crowd, signature = (signature & 1).astype(bool), signature & ~np.int64(1)
-    order = np.lexsort((node, signature))
-    signature, node, crowd = signature[order], node[order], crowd[order]
-    fresh = np.ones(len(node), bool)
-    fresh[1:] = (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])
-    begin = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-    run = np.cumsum(np.concatenate([[False], signature[1:] != signature[:-1]]))
-    many = (np.add.reduceat(fresh.astype(np.int64), begin) > 1) | np.maximum.reduceat(crowd, begin)
-    leader = node[begin][run]
-    kept = fresh & many[run]
-    for at in range(0, int(kept.sum()), 1 << 18):
-        own = np.flatnonzero(kept)[at : at + (1 << 18)]
-        yield rows(signature[own], node[own], leader[own], leader[own] != node[own])
+    if pairs:
+        yield from settle(pairs)
 
 
 def _search(docs: DataFrame, words: int, percent: int, deletions_only: bool) -> tuple[DataFrame, DataFrame]:
     """(signature, node, leader) of the shared signatures; (doc_id, size, node, lost) of every document."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * tasks
     dealt = in_arrow(docs.select("doc_id", "text"), _signature_rows(words, percent, deletions_only, parts), "part int, kind byte, block binary, doc_id bigint, size bigint, node bigint, lost bigint")
     path = work_path(spark, "signatures")
-    in_arrow(dealt.repartition(parts, "part"), _shared, "kind byte, signature bigint, node bigint, leader bigint, doc_id bigint, size bigint, lost bigint").write.partitionBy("kind").parquet(path)
+    in_arrow(dealt.repartition(tasks, "part").sortWithinPartitions("part"), _shared, "kind byte, signature bigint, node bigint, leader bigint, doc_id bigint, size bigint, lost bigint").write.partitionBy("kind").parquet(path)
     found = spark.read.schema("kind int, signature bigint, node bigint, leader bigint, doc_id bigint, size bigint, lost bigint").parquet(path)
     return found.filter("kind = 1").select("signature", "node", "leader").distinct(), found.filter("kind = 2").select("doc_id", "size", "node", "lost")
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -22,6 +24,12 @@ def find_library(spark: SparkSession) -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Batches], Batches], schema) -> DataFrame:
-    """``df.mapInArrow`` whose workers find this library."""
-    find_library(df.sparkSession)
+    """``df.mapInArrow`` whose workers find this library, in batches that keep rows of long texts small.
+
+    A batch size that the session has set stays.
+    """
+    spark = df.sparkSession
+    find_library(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     return df.mapInArrow(run, schema)
