@@ -25,7 +25,7 @@ from spanmill.llm.tokenizing import Encoder, encoder, groups
 SIZE, BLOCK, END_ID = 1024, 512, 0
 FILLER = 128
 #: Penalties, in ids of padding, of a cut after a sentence, after a clause and elsewhere; and of every sequence.
-SENTENCE, CLAUSE, INSIDE, OPENING = 1.0, 3.0, 12.0, 8.0
+SENTENCE, CLAUSE, INSIDE, OPENING = 1.0, 2.0, 6.0, 8.0
 #: The shortest sequence that may stand unpadded because its length is a power of two.
 SHORTEST = 64
 
