@@ -1,24 +1,62 @@
-"""Training-data pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""Training-data pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Every stage but the last returns the columns of documents; ``n_chars`` follows the text. Rows without a text, empty
+texts, repeated rows and an empty table pass through as the operators define; further columns stay until packing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanmill.llm import quality
+from spanmill.llm import decontaminate, jaccard, line_dedup, packing, quality
 from spanmill.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak supervision of the quality rules keeps."""
+    """Documents that pass the base checks and that the weak supervision of the rules finds good."""
     return quality.keep_good(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
-#: Expectation-maximisation is not SQL; tests hold each stage against a brute-force version.
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go, and documents that lose all their lines."""
+    return _sized(line_dedup.dedup_lines(docs).filter("text <> ''"))
+
+
+def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest doc_id stays."""
+    copies = jaccard.jaccard_classes(docs).filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(cut_lineage(copies), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of test items are cut out; documents that are mostly such passages go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _sized(decontaminate.decontaminate(docs, benchmark))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
+    return packing.with_digest(packing.pack_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", ngram_jaccard_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: Expectation-maximisation and tokenizers are not SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import chat, decontaminate, html_text, jaccard, licenses, line_dedup, packing, quality, repeats
+from spanmill.llm import chat, decontaminate, html_text, jaccard, licenses, line_dedup, packing, quality, repeats, token_files
 from spanmill.llm.registry import ORACLES, QUERIES, query, table
+from spanmill.session import work_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -141,3 +142,9 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licence_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_files")
+def token_file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.token_report(docs, work_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)

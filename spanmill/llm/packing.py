@@ -150,9 +150,11 @@ def pack_pieces(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
 def _encoded(batches: Batches, own: Encoder) -> Iterator[tuple[int, int | None, np.ndarray]]:
     for batch in batches:
-        blocks, doc_ids, texts = (batch.column(c).to_pylist() for c in ("block", "doc_id", "text"))
+        blocks, doc_ids = (batch.column(c).to_pylist() for c in ("block", "doc_id"))
+        texts = batch.column("text")
         for begin, end in groups(texts):
-            yield from zip(blocks[begin:end], doc_ids[begin:end], own.encode(texts[begin:end]), strict=True)
+            ids, counts = own.encode_column(texts.slice(begin, end - begin))
+            yield from zip(blocks[begin:end], doc_ids[begin:end], np.split(ids, np.cumsum(counts)[:-1]), strict=True)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:

@@ -1,29 +1,33 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with a cache of pieces between spaces.
+"""Token ids of whole texts by the ``tokenizers`` library, with a table of pieces between spaces.
 
 A tokenizer's pre-tokenization never joins letters across a space, so the ids of a text are the ids of its pieces,
-one after the other; where runs of white space could be taken together, the whole text is encoded at once. Pieces
-repeat, and a worker keeps those that it has met (``CACHED`` at most, then it starts anew).
+one after the other; where runs of white space could be taken together, the whole text is encoded at once. The pieces
+of a column are told apart by Arrow, only different ones are looked up, and only new ones are tokenized. A worker
+keeps the first ``CACHED`` pieces that it meets.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from spanmill.llm.bytetext import ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHED = 500_000
-#: Three white-space characters, or two at the end, may be one token.
-_JOINED = re.compile(r"\s\s(?:\s|\Z)")
+CACHED = 400_000
+#: Three white-space characters, or two at the end, may be one token. (The class is a superset of any library's.)
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_JOINED = f"{_SPACE}{_SPACE}(?:{_SPACE}|\\z)"
+_ENDS = frozenset(".,;:!?")
 
 
 class Encoder:
-    """``byte``: byte-level BPE that keeps white space; otherwise white space is dropped and only separates."""
+    """``keeps_space``: byte-level BPE that keeps white space; otherwise white space is dropped, only separates, and case does not count."""
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
@@ -31,67 +35,79 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        spaced = [p if p[:1] == "\n" else " " + p for p in pieces] if self.keeps_space else pieces
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        first, total = len(self.known), int(lengths.sum())
-        while len(self.starts) < first + len(pieces):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while len(self.ids) < self.used + total:
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.lengths[first : first + len(pieces)] = lengths
-        self.starts[first : first + len(pieces)] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
-        self.used += total
-        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.known: dict[str, np.ndarray] = {}
+
+    def _tokenize(self, pieces: list[str]) -> list[np.ndarray]:
+        if not pieces:
+            return []
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        flat = np.array(list(chain.from_iterable(encoded)), np.uint32)
+        ends = np.cumsum([len(e) for e in encoded])
+        return np.split(flat, ends[:-1])
+
+    def _lookup(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of different pieces, exactly as they stand."""
+        known = self.known
+        found = [known.get(p) for p in pieces]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            # A letter and one sign at the end are always two pieces to the tokenizer.
+            split = {i: (pieces[i][:-1], pieces[i][-1]) for i in missing if len(pieces[i]) > 2 and pieces[i][-1] in _ENDS and pieces[i][-2].isalpha()}
+            asked = dict.fromkeys(chain.from_iterable(split[i] if i in split else (pieces[i],) for i in missing))
+            new = [p for p in asked if p not in known]
+            fresh = dict(zip(new, self._tokenize(new), strict=True))
+            for i in missing:
+                if i in split:
+                    parts = [known[p] if p in known else fresh[p] for p in split[i]]
+                    found[i] = np.concatenate(parts)
+                else:
+                    found[i] = known[pieces[i]] if pieces[i] in known else fresh[pieces[i]]
+            if len(known) < CACHED:
+                known.update(fresh)
+                known.update((pieces[i], found[i]) for i in split)
+        return found
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) of the texts of a column, one after the other, and how many each text has; null is empty."""
+        texts = column.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        whole = np.zeros(len(texts), bool)
+        if self.keeps_space:
+            whole = pc.match_substring_regex(texts, _JOINED).to_numpy(zero_copy_only=False)
+            empty = whole | (pc.binary_length(texts).to_numpy() == 0)
+            # A piece stands for a space and itself, unless it begins with a line break or the text.
+            split = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(empty), "", texts), "\n", " \n"), " ")
+        else:
+            split = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        if self.keeps_space:
+            # The first piece of a text has no space before it.
+            heads, head_codes = np.unique(codes[bounds[:-1]], return_inverse=True)
+            table = self._lookup([p if p[:1] == "\n" else " " + p for p in pieces] + [pieces[h] for h in heads])
+            codes[bounds[:-1]] = len(pieces) + head_codes
+        else:
+            table = self._lookup(pieces)
+        lengths = np.fromiter(map(len, table), np.int64, len(table))
+        starts = np.cumsum(lengths) - lengths
+        flat = np.concatenate(table) if table else np.zeros(0, np.uint32)
+        sizes = lengths[codes]
+        ids = flat[ranges(starts[codes], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        counts = np.diff(ends)
+        if whole.any():
+            rows = np.flatnonzero(whole)
+            own = dict(zip(rows.tolist(), self._tokenize([texts[int(r)].as_py() for r in rows]), strict=True))
+            ids = np.concatenate([own.get(r, ids[ends[r] : ends[r + 1]]) for r in range(len(texts))])
+            counts[rows] = [len(own[int(r)]) for r in rows]
+        return ids, counts
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids (uint32) of every text; null counts as empty."""
-        if len(self.known) > CACHED:
-            self._clear()
-        found: list[np.ndarray | None] = [None] * len(texts)
-        pieces: list[str] = []
-        cuts: list[tuple[int, np.ndarray, int, int]] = []
-        none = np.zeros(0, np.uint32)
-        for at, text in enumerate(texts):
-            if not text:
-                found[at] = none
-            elif self.keeps_space:
-                if _JOINED.search(text):
-                    found[at] = self._whole(text)
-                    continue
-                # A piece that starts with a line break stands for itself, any other for a space and itself.
-                own = text.replace("\n", " \n").split(" ")
-                head = own[0]
-                cuts.append((at, self._whole(head) if head else none, len(pieces), len(pieces) + len(own) - 1))
-                pieces += own[1:]
-            else:
-                own = text.replace("\n", " ").split(" ")
-                cuts.append((at, none, len(pieces), len(pieces) + len(own)))
-                pieces += own
-        codes = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys(pieces[i] for i in missing)))
-            codes[missing] = np.fromiter((self.known[pieces[i]] for i in missing), np.int64, len(missing))
-        lengths = self.lengths[codes]
-        ids = self.ids[ranges(self.starts[codes], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        for at, head, begin, end in cuts:
-            body = ids[ends[begin] : ends[end]]
-            found[at] = np.concatenate([head, body]) if len(head) else body
-        return found
+        ids, counts = self.encode_column(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
     def pieces(self) -> list[str]:
         """The vocabulary's strings by id, as the file has them."""
@@ -113,13 +129,12 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-def groups(texts: list[str | None], size: int = 1 << 20):
-    """Runs (begin, end) of ``texts`` of about ``size`` characters."""
-    begin = total = 0
-    for at, text in enumerate(texts):
-        total += len(text or "")
-        if total >= size:
-            yield begin, at + 1
-            begin, total = at + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def groups(column: pa.Array, size: int = 4 << 20):
+    """Runs (begin, end) of the texts of a column of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield begin, end
+        begin = end
