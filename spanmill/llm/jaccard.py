@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +81,7 @@ def reserve(size: np.ndarray) -> np.ndarray:
 def allocate(high: int, low: int, percent: int) -> tuple[int, bool]:
     """Segments of a band and whether it uses one-deletion neighbourhoods, by the cost of a set of middle size."""
     halves = differences(high, high, percent) // 2 + 1
-    with_deletions = (halves + (2 if high > 16 else 0), True)
+    with_deletions = (halves + (2 if high > 8 else 0), True)
     segments = max(1, round(high / _FILL))
     for size in (low, high):
         fill = size / segments
@@ -101,7 +101,7 @@ def bands(percent: int, deletions_only: bool) -> tuple[Band, ...]:
         low = -(-(below + 1) * percent // 100)
         segments, deletions = allocate(high, low, percent)
         if deletions_only:
-            segments, deletions = differences(high, high, percent) // 2 + 1 + (2 if high > 16 else 0) + high // 200, True
+            segments, deletions = differences(high, high, percent) // 2 + 1 + (2 if high > 8 else 0) + high // 200, True
         found.append(Band(len(found), low, high, segments, deletions))
         below, high = high, int(high * _RATIO)
     return tuple(found)
@@ -345,18 +345,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return cut_lineage(in_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right"), run, "a bigint, b bigint"))
 
 
-def _documents_of(nodes: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
+def _documents_of(nodes: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(node, doc_id, text) for ``nodes`` (node): the first document of each."""
-    first = documents.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut_lineage(nodes.join(first, "node").select("node", "doc_id"))
+    wanted = cut_lineage(nodes.join(facts.filter("doc_id IS NOT NULL").select("node", "doc_id"), "node"))
     with settings(docs.sparkSession, PRUNED):
         return cut_lineage(docs.select("doc_id", "text").join(wanted.filter("doc_id > -9223372036854775808"), "doc_id").select("node", "doc_id", "text"))
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(node, words) of the sets in ``pairs`` (a, b)."""
+def _verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """The pairs (a, b) that reach the threshold; None if there is nothing to verify."""
+    pairs, count, _ = counted_copy(pairs, F.lit(False))
+    if not count:
+        return None
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return _documents_of(ends, docs, documents).select("node", _plain_words(F.col("text")).alias("words")).dropDuplicates(["node"])
+    texts = _documents_of(ends, docs, facts).select("node", _plain_words(F.col("text")).alias("words")).dropDuplicates(["node"])
+    return _verify(pairs, texts, words, percent)
 
 
 def _plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -378,42 +381,53 @@ def _pairs_between(rows: DataFrame) -> DataFrame:
     return one.join(two, met).groupBy(F.col("one.node").alias("a"), F.col("two.node").alias("b")).agg(F.count(F.lit(1)).alias("together"))
 
 
-def _still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _still_open(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(signature, node, class, sets) of the signatures whose sets are not all in one class yet."""
-    classed = shared.join(components(links), "node", "left").select("signature", "node", F.coalesce("component", "node").alias("class"))
+    classed = shared.join(classes, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("class"))
     mixed = classed.groupBy("signature").agg(F.count(F.lit(1)).alias("sets"), F.min("class").alias("low"), F.max("class").alias("high"))
     return cut_lineage(classed.join(mixed.filter("low <> high").select("signature", "sets"), "signature"))
 
 
-def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between sets, and (doc_id, size, node, lost) of all documents.
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of links (a, b) between sets, and (doc_id, size, node, lost) of all documents.
 
     The links are not all pairs that reach the threshold: they connect exactly the sets that all of them connect.
     """
-    links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    links: list[DataFrame] = []
     documents, remaining = None, docs
+
+    def add(pairs: DataFrame) -> None:
+        found = _verified(pairs, docs, facts, words, percent)
+        if found is not None:
+            links.append(found)
+
     for deletions_only in (False, True):
         shared, members = _search(remaining, words, percent, deletions_only)
         documents = members if documents is None else documents
-        facts = members.groupBy("node").agg(F.min("size").alias("size"), F.max("lost").alias("lost")).withColumn("crowded", F.lit(0))
+        facts = cut_lineage(members.groupBy("node").agg(F.min("size").alias("size"), F.max("lost").alias("lost"), F.min("doc_id").alias("doc_id")).withColumn("crowded", F.lit(0)))
         # Leaders first: a group of copies is joined by one comparison for each of its sets.
         star = shared.filter("leader is not null").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("together"))
-        star = cut_lineage(_plausible(star, facts, percent))
-        links = cut_lineage(links.union(_verify(star, _texts_of(star, docs, documents), words, percent)))
+        add(_plausible(star, facts, percent))
         # Then pairs of different classes, where few sets share a signature.
-        rows = _still_open(shared, links)
+        rows = _still_open(shared, _classes(docs, links))
         crowded = rows.filter(F.col("sets") > FEW).groupBy("node").agg(F.count(F.lit(1)).alias("crowded"))
         facts = cut_lineage(facts.drop("crowded").join(crowded, "node", "left").fillna(0, ["crowded"]))
-        pairs = cut_lineage(_plausible(_pairs_between(rows.filter(F.col("sets") <= FEW)), facts, percent))
-        links = cut_lineage(links.union(_verify(pairs, _texts_of(pairs, docs, documents), words, percent)))
+        add(_plausible(_pairs_between(rows.filter(F.col("sets") <= FEW)), facts, percent))
         # Sets that fall short of the pigeonhole's demand go on to the next search.
-        left, count, _ = counted_copy(facts.filter(F.col("lost") + F.col("crowded") > 0).select("node"), F.lit(False))
+        left, count, _ = counted_copy(facts.filter((F.col("lost") + F.col("crowded") > 0) & F.col("doc_id").isNotNull()).select("node"), F.lit(False))
         if not count:
             return links, documents
-        remaining = _documents_of(left, docs, documents)
-    rows = _still_open(shared.join(left, "node"), links)
-    pairs = cut_lineage(_plausible(_pairs_between(rows), facts.withColumn("crowded", F.lit(0)), percent))
-    return cut_lineage(links.union(_verify(pairs, _texts_of(pairs, docs, documents), words, percent))), documents
+        if not deletions_only:
+            remaining = _documents_of(left, docs, facts)
+    rows = _still_open(shared.join(left, "node"), _classes(docs, links))
+    add(_plausible(_pairs_between(rows), facts.withColumn("crowded", F.lit(0)), percent))
+    return links, documents
+
+
+def _classes(docs: DataFrame, links: list[DataFrame]) -> DataFrame:
+    if not links:
+        return docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    return components(reduce(DataFrame.union, links))
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -427,7 +441,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     null component and lends none. An empty table gives an empty result. Other columns are ignored.
     """
     links, documents = jaccard_links(docs, words, percent)
-    classed = documents.join(components(links), "node", "left").select("doc_id", "size", F.coalesce("component", "node").alias("class"))
+    classed = documents.join(_classes(docs, links), "node", "left").select("doc_id", "size", F.coalesce("component", "node").alias("class"))
     filled = cut_lineage(classed.filter("size > 0"))
     smallest = filled.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("key_rows"))
     joined = join_per_key(filled, smallest, ["class"], "doc_id", hot_floor=5_000)
