@@ -13,7 +13,7 @@ PATTERNS = {
 }
 ITEM_WEIGHT = 0.3
 THRESHOLD = 0.5
-TEXT_LIMIT = 500
+TEXT_LIMIT = 500  # of a shortened text, see ``labels.short``
 
 # Card numbers are a documented type without a pattern; this one is ours.
 CARD_PATTERN = r"\b[0-9]{13,16}\b"

@@ -216,9 +216,11 @@ def alert_history(intervals: DataFrame) -> DataFrame:
     )
 
 
-def alert_timeline(history: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest firings, times as text."""
-    newest = history.orderBy(F.col("fired_at").desc(), "alert_name", "series").limit(limit)
+def alert_timeline(history: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """The firings, newest first, times as text; ``offset`` and ``limit`` give one page."""
+    newest = history.orderBy(F.col("fired_at").desc(), "alert_name", "series").offset(offset)
+    if limit is not None:
+        newest = newest.limit(limit)
     return newest.select(
         F.col("alert_name").alias("name"), "severity", "status", "description", "series",
         times.format_ts("fired_at").alias("fired_at"), times.format_ts("resolved_at").alias("resolved_at"),

@@ -10,30 +10,52 @@ from spanmill.functions.genai import canonical_model
 
 
 def price_book(pricing: DataFrame) -> DataFrame:
-    """One row per model: its latest prices by provider, and the one for other providers."""
+    """One row per canonical model with its prices by exact name and provider, by provider, by name, and any.
+
+    A dated name and its plain form share a row and keep their own prices: ``exact`` is looked up first. ``by_provider``
+    and ``any_provider`` serve names that are not listed; they prefer the plain name, then the latest version (a list
+    without dates counts as oldest), then the name. ``colliding`` counts (name, provider) pairs listed with several
+    prices of one version, of which the lowest is taken.
+    """
     price = F.struct(F.col("input_cost_per_1k").alias("input"), F.col("output_cost_per_1k").alias("output"))
-    # Partitioned once by the outer key, which serves both groupings.
-    return (
-        pricing.withColumn("price_key", canonical_model("model_name"))
-        .repartition("price_key")
-        .groupBy("price_key", "provider")
-        .agg(F.max_by(price, "updated_at").alias("price"))
-        .groupBy("price_key")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("provider", "price"))).alias("by_provider"),
-            F.min_by("price", "provider").alias("any_provider"),
-        )
+    listed = pricing.select(
+        canonical_model("model_name").alias("price_key"), "model_name", "provider", price.alias("price"),
+        F.coalesce("updated_at", F.timestamp_seconds(F.lit(0))).alias("version"),
+    ).distinct()
+    # Partitioned once by the outer key, which serves all groupings.
+    versions = listed.repartition("price_key").groupBy("price_key", "model_name", "provider", "version").agg(
+        F.min("price").alias("price"), (F.count(F.lit(1)) > 1).cast("int").alias("several")
+    )
+    names = versions.groupBy("price_key", "model_name", "provider").agg(
+        F.max("version").alias("version"), F.max_by("price", "version").alias("price"), F.max_by("several", "version").alias("several")
+    )
+    plain = (F.col("model_name") == F.col("price_key")).cast("int")
+    providers = names.groupBy("price_key", "provider").agg(
+        F.collect_list(F.struct(F.concat_ws("\n", "model_name", "provider").alias("name"), "price")).alias("exact"),
+        F.collect_list(F.struct("model_name", "price")).alias("names"),
+        F.max_by("price", F.struct(plain, "version", "model_name")).alias("price"), F.sum("several").alias("several"),
+    )
+    by_name = F.flatten(F.collect_list("names"))
+    return providers.groupBy("price_key").agg(
+        F.map_from_entries(F.flatten(F.collect_list("exact"))).alias("exact"),
+        F.map_from_entries(F.collect_list(F.struct("provider", "price"))).alias("by_provider"),
+        F.array_sort(by_name).alias("by_name"),
+        F.min_by("price", "provider").alias("any_provider"), F.sum("several").alias("colliding"),
     )
 
 
 def price_spans(spans: DataFrame, pricing: DataFrame) -> DataFrame:
     """``cost_usd`` from tokens and prices per 1000; unpriced spans stay null.
 
-    Looks up (provider, model) and falls back to the model alone, which prices wrapper
-    providers. One left join: it is a broadcast while the price list is below Spark's
-    broadcast threshold and a shuffle join beyond it.
+    Looks up the exact (provider, name), then the canonical model of the provider, then the exact name and at last the
+    model under any provider, which prices wrapper providers. One left join: it is a broadcast while the price list is
+    below Spark's broadcast threshold and a shuffle join beyond it.
     """
-    price = F.coalesce(F.try_element_at("by_provider", F.col("provider")), F.col("any_provider"))
+    named = F.filter("by_name", lambda n: n["model_name"] == F.col("model"))
+    price = F.coalesce(
+        F.try_element_at("exact", F.concat_ws("\n", "model", "provider")), F.try_element_at("by_provider", F.col("provider")),
+        F.get(named, F.lit(0))["price"], F.col("any_provider"),
+    )
     return (
         spans.withColumn("price_key", canonical_model("model"))
         .join(price_book(pricing), "price_key", "left")
@@ -43,7 +65,7 @@ def price_spans(spans: DataFrame, pricing: DataFrame) -> DataFrame:
             F.col("input_tokens") / 1000 * F.col("_price.input")
             + F.col("output_tokens") / 1000 * F.col("_price.output"),
         )
-        .drop("price_key", "by_provider", "any_provider", "_price")
+        .drop("price_key", "exact", "by_provider", "by_name", "any_provider", "colliding", "_price")
     )
 
 

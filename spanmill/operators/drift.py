@@ -223,7 +223,8 @@ def kl_divergence(scores: DataFrame, group: list[str] | None = None) -> DataFram
 
 
 def score_rows(scores: DataFrame, as_of, min_current: int = MIN_CURRENT) -> DataFrame:
-    """Rows of the drift table, one per (date, metric, dimension); none below the gate."""
+    """Rows of the drift table, one per (date, metric, dimension), with the number of current rows
+    and whether they are enough for the score to mean something; reports read those only."""
     end = times.moment(as_of)
     split = end - times.interval(days=CURRENT_DAYS)
     start = split - times.interval(days=BASELINE_DAYS)
@@ -236,17 +237,24 @@ def score_rows(scores: DataFrame, as_of, min_current: int = MIN_CURRENT) -> Data
         F.struct(F.lit("kl_divergence").alias("metric_type"), F.col("kl_divergence").alias("score")),
     )
     return (
-        scores.filter((F.col("n_current") >= min_current) & (F.col("n_baseline") > 0))
-        .select(F.to_date(end).alias("score_date"), F.col("dim").alias("dimension_index"), F.inline(both))
+        scores.select(
+            F.to_date(end).alias("score_date"), F.col("dim").alias("dimension_index"), "n_current",
+            ((F.col("n_current") >= min_current) & (F.col("n_baseline") > 0)).alias("enough"), F.inline(both),
+        )
         .withColumns({"baseline_period": period(start, split), "current_period": period(split, end)})
     )
 
 
 # ---- reports over the drift table ----
 
+def _telling(drift_scores: DataFrame) -> DataFrame:
+    """Scores of enough rows; tables without the flag hold no others."""
+    return drift_scores.filter(F.coalesce("enough", F.lit(True))) if "enough" in drift_scores.columns else drift_scores
+
+
 def _psi_rows(drift_scores: DataFrame, as_of, width: dict) -> DataFrame:
     day = F.col("score_date").cast("timestamp")
-    return drift_scores.filter(
+    return _telling(drift_scores).filter(
         (F.col("metric_type") == "psi") & times.within(day, as_of, **(width or {"days": 90}))
     )
 
@@ -278,7 +286,7 @@ def drift_events(drift_scores: DataFrame, as_of, threshold: float = labels.PSI_W
 
 def latest_psi(drift_scores: DataFrame) -> DataFrame:
     """Average PSI of the newest date."""
-    newest = latest_date_only(drift_scores.filter(F.col("metric_type") == "psi"), "score_date")
+    newest = latest_date_only(_telling(drift_scores).filter(F.col("metric_type") == "psi"), "score_date")
     return newest.agg(
         F.avg("score").alias("score"), times.format_date(F.max("score_date")).alias("date")
     )

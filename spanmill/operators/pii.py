@@ -21,10 +21,9 @@ def scan(df: DataFrame, text: str = "response", cards: bool = False) -> DataFram
 
 def triage(
     df: DataFrame, as_of, text: str = "response", threshold: float = pii.THRESHOLD,
-    always_flag: tuple[str, ...] = (), cards: bool = False,
+    always_flag: tuple[str, ...] = (), cards: bool = False, max_chars: int | None = None,
 ) -> DataFrame:
-    """Queue rows of the responses that need a look. The whole text is scanned; the row
-    stores its beginning."""
+    """Queue rows of the responses that need a look, with the whole text or its first ``max_chars``."""
     items = F.col("pii_items")
     return (
         scan(df, text, cards)
@@ -33,7 +32,7 @@ def triage(
             "trace_id",
             F.col("pii_score").alias("score"),
             F.to_json(items).alias("detected_items"),
-            short(text, pii.TEXT_LIMIT).alias("response_text"),
+            (F.col(text) if max_chars is None else short(text, max_chars)).alias("response_text"),
             times.moment(as_of).alias("evaluated_at"),
             F.lit(False).alias("resolved"),
         )

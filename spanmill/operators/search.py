@@ -85,8 +85,8 @@ def _newest(df: DataFrame, limit: int | None) -> DataFrame:
     return df if limit is None else df.orderBy(F.col("start_time").desc(), "span_id").limit(limit)
 
 
-def recent_client_spans(df: DataFrame, as_of, limit: int | None = 100, **width: int) -> DataFrame:
-    """The newest client spans of the last 15 minutes; no limit takes all of them."""
+def recent_client_spans(df: DataFrame, as_of, limit: int | None = None, **width: int) -> DataFrame:
+    """The client spans of the last 15 minutes; a limit takes the newest, in order."""
     recent = times.within("start_time", as_of, **(width or {"minutes": 15}))
     return _newest(df.filter(recent & (F.col("span_kind") == "CLIENT")), limit)
 
@@ -95,18 +95,18 @@ def is_retrieval_service(service: str = "service_name") -> Column:
     return F.col(service).contains("langchain") | F.col(service).contains("llamaindex")
 
 
-def rag_spans(df: DataFrame, as_of, limit: int | None = 100, **width: int) -> DataFrame:
-    """The newest spans of retrieval services in the last 15 minutes."""
+def rag_spans(df: DataFrame, as_of, limit: int | None = None, **width: int) -> DataFrame:
+    """The spans of retrieval services in the last 15 minutes; a limit takes the newest, in order."""
     recent = times.within("start_time", as_of, **(width or {"minutes": 15}))
     return _newest(df.filter(recent & is_retrieval_service()), limit)
 
 
 def recent_prompts(
-    df: DataFrame, as_of, text: str = "span_name", limit: int | None = 5000, salt: str = "prompt", **width: int
+    df: DataFrame, as_of, text: str = "span_name", limit: int | None = None, salt: str = "prompt", **width: int
 ) -> DataFrame:
-    """Non-empty client texts of the last 7 days, at most ``limit`` of them.
+    """Non-empty client texts of the last 7 days, or ``limit`` of them.
 
-    Which ones is decided by the hash of the span id, so that a rerun takes the same.
+    Which ones is then decided by the hash of the span id, so that a rerun takes the same.
     """
     recent = times.within("start_time", as_of, **(width or {"days": 7}))
     kept = df.filter(recent & (F.col("span_kind") == "CLIENT") & (F.col(text) != ""))

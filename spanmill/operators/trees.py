@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import times
 from spanmill.operators.skew import join_per_key
-from spanmill.session import counted_copy
+from spanmill.session import counted_copy, cut_lineage
 
 MIN_BAR_PERCENT = 2.0
 
@@ -22,7 +22,8 @@ def span_depth(spans: DataFrame) -> DataFrame:
     lie on or under a cycle; they get a null depth.
     """
     parent = F.coalesce("parent_span_id", F.lit("")).alias("parent_span_id")
-    nodes = spans.select("trace_id", "span_id", parent).dropDuplicates(["trace_id", "span_id"])
+    # A span that is there twice has its smallest parent, whatever the order of rows.
+    nodes = cut_lineage(spans.select("trace_id", "span_id", parent).groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("parent_span_id")))
     above = nodes.select(
         "trace_id", F.col("span_id").alias("parent_span_id"), F.col("parent_span_id").alias("_above")
     )

@@ -106,10 +106,10 @@ def kl_divergence(spark, sf):
 
 
 @query("drift_job", with_(
-    "SELECT DATE '2024-01-31' AS score_date, 'psi' AS metric_type, dim::INT AS dimension_index, round(psi, 6) AS score, "
-    "'2023-12-27 to 2024-01-23' AS baseline_period, '2024-01-24 to 2024-01-30' AS current_period FROM scores WHERE n_current >= 10 "
-    "UNION ALL SELECT DATE '2024-01-31', 'kl_divergence', dim::INT, round(kl_divergence, 6), '2023-12-27 to 2024-01-23', "
-    "'2024-01-24 to 2024-01-30' FROM scores WHERE n_current >= 10",
+    "SELECT DATE '2024-01-31' AS score_date, 'psi' AS metric_type, dim::INT AS dimension_index, round(psi, 6) AS score, n_current, n_current >= 10 AND n_baseline > 0 AS enough, "
+    "'2023-12-27 to 2024-01-23' AS baseline_period, '2024-01-24 to 2024-01-30' AS current_period FROM scores "
+    "UNION ALL SELECT DATE '2024-01-31', 'kl_divergence', dim::INT, round(kl_divergence, 6), n_current, n_current >= 10 AND n_baseline > 0, "
+    "'2023-12-27 to 2024-01-23', '2024-01-24 to 2024-01-30' FROM scores",
     PROMPTS, SLOTS, EMBEDDED,
     "dense AS (SELECT CASE WHEN start_time >= " + END + " - INTERVAL 7 DAY THEN 'current' ELSE 'baseline' END AS side, g.dim AS dim, "
     "coalesce(e.v, 0)::DOUBLE AS v FROM prompts p CROSS JOIN range(384) AS g(dim) "

@@ -52,21 +52,19 @@ JOB_SQL = ", ".join(JOB_COLUMNS)
 
 
 @query("recent_client_spans", on_spans(
-    f"SELECT {JOB_SQL} FROM spans WHERE {IN_WEEK} AND span_kind = 'CLIENT' ORDER BY start_time DESC, span_id LIMIT 100"))
+    f"SELECT {JOB_SQL} FROM spans WHERE {IN_WEEK} AND span_kind = 'CLIENT'"))
 def recent_client_spans(spark, sf):
     return search.recent_client_spans(derived.spans(spark, sf), derived.AS_OF, **WEEK).select(*JOB_COLUMNS)
 
 
 @query("rag_spans", on_spans(
-    f"SELECT {JOB_SQL} FROM spans WHERE {IN_WEEK} AND (service_name LIKE '%langchain%' OR service_name LIKE '%llamaindex%') "
-    "ORDER BY start_time DESC, span_id LIMIT 100"))
+    f"SELECT {JOB_SQL} FROM spans WHERE {IN_WEEK} AND (service_name LIKE '%langchain%' OR service_name LIKE '%llamaindex%')"))
 def rag_spans(spark, sf):
     return search.rag_spans(derived.spans(spark, sf), derived.AS_OF, **WEEK).select(*JOB_COLUMNS)
 
 
 @query("recent_prompts", on_spans(
-    f"SELECT span_id, span_name FROM spans WHERE {IN_WEEK} AND span_kind = 'CLIENT' AND span_name <> '' "
-    "ORDER BY md5(concat('prompt', span_id)), span_id LIMIT 5000"))
+    f"SELECT span_id, span_name FROM spans WHERE {IN_WEEK} AND span_kind = 'CLIENT' AND span_name <> ''"))
 def recent_prompts(spark, sf):
     return search.recent_prompts(derived.spans(spark, sf), derived.AS_OF).select("span_id", "span_name")
 
@@ -89,7 +87,7 @@ def lookup_spans(spark, sf):
 @query("alert_timeline", with_(
     "SELECT alert_name AS name, severity, status, description, series, "
     "strftime(history.fired_at, '%Y-%m-%d %H:%M:%S') AS fired_at, strftime(history.resolved_at, '%Y-%m-%d %H:%M:%S') AS resolved_at "
-    "FROM history ORDER BY history.fired_at DESC, alert_name, series LIMIT 100", *HISTORY_SQL))
+    "FROM history", *HISTORY_SQL))
 def alert_timeline(spark, sf):
     return alerts.alert_timeline(history(spark, sf))
 

@@ -43,7 +43,7 @@ def score(spark, sf):
 
 QUEUE = (
     "queue AS (SELECT trace_id, round(score, 6) AS score, cast(to_json(items) AS varchar) AS detected_items, "
-    f"substr(response, 1, 500) AS response_text, {END} AS evaluated_at, score >= 0.9 AS resolved, start_time, span_id FROM scored WHERE n > 0 AND score >= 0.5)"
+    f"response AS response_text, {END} AS evaluated_at, score >= 0.9 AS resolved, start_time, span_id FROM scored WHERE n > 0 AND score >= 0.5)"
 )
 
 
@@ -84,4 +84,4 @@ def rate(spark, sf):
     "SELECT trace_id, score, detected_items, response_text, evaluated_at, false AS resolved FROM queue "
     f"WHERE substr(md5(concat('pii-job', span_id)), 1, 8) < '80000000' AND start_time >= {END} - INTERVAL 30 DAY AND start_time < {END}", *PII, QUEUE))
 def job(spark, sf):
-    return jobs.pii_job(derived.answers_only(spark, sf), AS_OF, rate=0.5, salt="pii-job", limit=None, width=MONTH)
+    return jobs.pii_job(derived.answers_only(spark, sf), AS_OF, rate=0.5, salt="pii-job", width=MONTH)

@@ -23,16 +23,34 @@ KEPT = "substr(md5(trace_id), 1, 8) < '1999999a'"
 SPAN_COLUMNS = ["trace_id", "span_id", "status_code", "start_time", "duration_ms"]
 
 
+#: Files that a streamed table is dealt into besides the late one, one batch each.
+FILES = 4
+
+
 def stream(spark, sf, name: str):
     """A given table as a stream of files."""
     schema = derived.table(spark, sf, name).schema
     return ingest.stream_files(spark, f"{sf}/{name}*.parquet", schema)
 
 
+def stream_in_order(spark, sf, name: str, order: str):
+    """A given table as a stream of ``FILES`` files in the order of a column and a last one of rows that come late."""
+    rows = derived.table(spark, sf, name)
+    path = work_path(spark, f"{name}-files")
+    late = F.pmod(F.xxhash64(order), F.lit(10)) == 0
+    rows.filter(~late).repartitionByRange(FILES, order).write.parquet(path)
+    rows.filter(late).coalesce(1).write.mode("append").parquet(path)
+    return ingest.stream_files(spark, path, rows.schema, max_files=1)
+
+
 def stream_spans(spark, sf):
     return derived.spans_of(stream(spark, sf, "events"))
 
 
+def stream_spans_in_order(spark, sf):
+    return derived.spans_of(stream_in_order(spark, sf, "events", "ts"))
+
+
 def append_to(spark, frame, name: str):
     """Run a stream to the end of its input and read what it appended."""
     path, checkpoint = work_path(spark, name), work_path(spark, f"{name}-checkpoint")
@@ -76,7 +94,7 @@ def sample_timed(spark, sf):
 @query("rollup_stream", on_priced(rollup_sql("minute")), digits=9)
 def rollup_stream(spark, sf):
     path, checkpoint = work_path(spark, "rollup"), work_path(spark, "rollup-checkpoint")
-    priced = price_spans(stream_spans(spark, sf), seed_pricing(spark))
+    priced = price_spans(stream_spans_in_order(spark, sf), seed_pricing(spark))
     rollups.rollup_on_insert(priced, path, checkpoint, seconds=None).awaitTermination()
     return rollups.read_rollup(spark, path).select("minute", *COLUMNS)
 
@@ -84,7 +102,7 @@ def rollup_stream(spark, sf):
 @query("eval_rollup_stream", with_(DAILY.format("raw_evals"), RAW_EVALS))
 def eval_rollup_stream(spark, sf):
     path, checkpoint = work_path(spark, "evals"), work_path(spark, "evals-checkpoint")
-    live = derived.evals_of(stream(spark, sf, "labels"))
+    live = derived.evals_of(stream_in_order(spark, sf, "labels", "doc_id"))
     rollups.eval_rollup_on_insert(live, path, checkpoint, seconds=None).awaitTermination()
     return rollups.read_eval_rollup(spark, path)
 
@@ -92,7 +110,7 @@ def eval_rollup_stream(spark, sf):
 @query("alert_stream", with_(INTERVALS, SPANS, *ERROR_CTES, *interval_ctes(ERROR_SIGNAL, HOURLY_RULES[:1])))
 def alert_stream(spark, sf):
     path, checkpoint = work_path(spark, "ticks"), work_path(spark, "ticks-checkpoint")
-    live_alerts.alert_ticks(stream_spans(spark, sf), path, checkpoint, HOUR, ["app_id"], seconds=None).awaitTermination()
+    live_alerts.alert_ticks(stream_spans_in_order(spark, sf), path, checkpoint, HOUR, ["app_id"], seconds=None).awaitTermination()
     rules = alerts.rule_table(spark, HOURLY_RULES[:1])
     return live_alerts.evaluate_ticks(spark, path, rules, derived.AS_OF, HOUR, SIX_HOURS, ["app_id"])
 

@@ -18,16 +18,19 @@ from spanmill.sources.facts import append_table
 
 def eval_job(
     spans: DataFrame, as_of, scorers: dict[str, Column] | None = None, rate: float = sampling.SCORING_RATE,
-    limit: int | None = 100, salt: str = "", **width: int,
+    limit: int | None = None, salt: str = "", **width: int,
 ) -> DataFrame:
-    """Newest client spans, a share of them, every metric, one row per (trace, span, metric)."""
+    """Recent client spans, a share of them, every metric, one row per (trace, span, metric).
+
+    All of them by default; ``limit`` takes the newest.
+    """
     recent = search.recent_client_spans(spans, as_of, limit, **width)
     return _score(recent, as_of, scorers or {m: f() for m, f in scoring.LEXICAL_SCORERS.items()}, rate, salt)
 
 
 def rag_job(
     spans: DataFrame, as_of, scorers: dict[str, Column] | None = None, rate: float = sampling.RAG_RATE,
-    limit: int | None = 100, salt: str = "", **width: int,
+    limit: int | None = None, salt: str = "", **width: int,
 ) -> DataFrame:
     """The same over spans of retrieval services, with the retrieval metrics."""
     recent = search.rag_spans(spans, as_of, limit, **width)
@@ -41,10 +44,10 @@ def _score(recent: DataFrame, as_of, scorers: dict[str, Column], rate: float, sa
 
 
 def pii_job(
-    spans: DataFrame, as_of, rate: float = sampling.PII_RATE, limit: int | None = 200, salt: str = "",
+    spans: DataFrame, as_of, rate: float = sampling.PII_RATE, limit: int | None = None, salt: str = "",
     text: str = "response", width: dict | None = None, **options,
 ) -> DataFrame:
-    """Newest client spans, a share of them, scanned; queue rows of the flagged ones."""
+    """Recent client spans, a share of them, scanned; queue rows of the flagged ones."""
     recent = search.recent_client_spans(spans, as_of, limit, **(width or {}))
     return pii.triage(search.hash_sample(recent, "span_id", rate, salt), as_of, text, **options)
 

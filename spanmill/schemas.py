@@ -30,7 +30,7 @@ EVALS = _schema(
 
 DRIFT_SCORES = _schema(
     score_date=T.DateType(), metric_type=_S, dimension_index=T.IntegerType(), score=_D,
-    baseline_period=_S, current_period=_S, inserted_at=_TS,
+    n_current=_L, enough=T.BooleanType(), baseline_period=_S, current_period=_S, inserted_at=_TS,
 )
 
 ALERT_HISTORY = _schema(

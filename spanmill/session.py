@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,8 +38,8 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, taken from ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder; on a cluster a missing
-    setting is an error, because a machine-local path is lost with its machine.
+    Only a local session may do without the setting: it gets a folder beside the session's
+    warehouse. On a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,7 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanmill-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(f"{warehouse}/spanmill-work-{uuid.uuid4().hex}")
         current = sc.getCheckpointDir()
     return current
 

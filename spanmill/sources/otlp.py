@@ -66,9 +66,8 @@ def attribute_map(entries: Column) -> Column:
 
 
 def _enum(value: Column, names: list[str], prefix: str) -> Column:
-    by_number = F.element_at(
-        F.array(*[F.lit(n) for n in names]), F.coalesce(value.try_cast("int"), F.lit(0)) + 1
-    )
+    # A number that names nothing counts as unspecified.
+    by_number = F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), F.coalesce(value.try_cast("int"), F.lit(0))), F.lit(names[0]))
     return F.when(value.rlike("^[0-9]+$"), by_number).otherwise(
         F.coalesce(F.regexp_replace(value, f"^{prefix}", ""), F.lit(names[0]))
     )

@@ -23,7 +23,8 @@ def alert_ticks(
     keys: list[str] | None = None, seconds: float | None = FLUSH_SECONDS,
 ) -> StreamingQuery:
     """Store the tick counts of every batch."""
-    return write_partials(spans, lambda batch: error_ticks(batch, step_seconds, keys or []), path, checkpoint, seconds)
+    moment = F.timestamp_seconds(F.col("tick"))
+    return write_partials(spans, lambda batch: error_ticks(batch, step_seconds, keys or []), path, checkpoint, seconds, moment)
 
 
 def evaluate_ticks(
@@ -36,7 +37,7 @@ def evaluate_ticks(
     enough, which keeps each evaluation as small as the recent past.
     """
     keys = keys or []
-    ticks = read_partials(spark, path)
+    ticks = read_partials(spark, path, since)
     if since is not None:
         ticks = ticks.filter(F.col("tick") >= F.unix_seconds(times.moment(since)))
     # Batches may share a tick: their counts add up.

@@ -8,54 +8,74 @@ later than that are dropped, to be repaired by a batch rollup.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanmill.functions import times
 from spanmill.operators.rollups import (
     eval_daily, merge_eval_daily, merge_rollup, rollup_aggregates, rollup_minute, with_p95,
 )
+from spanmill.session import settings
 from spanmill.streaming.ingest import FLUSH_SECONDS, WATERMARK, start
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that ``checkpoint`` belongs to, made at its first start and kept beside it."""
+    path = f"{checkpoint.rstrip('/')}-run"
+    made = spark.range(1).select(F.lit(uuid.uuid4().hex).alias("run"))
+    made.write.mode("ignore").json(path)
+    return spark.read.schema("run string").json(path).first()["run"]
+
+
 def write_partials(
     stream: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-    seconds: float | None = FLUSH_SECONDS,
+    seconds: float | None = FLUSH_SECONDS, at: Column | None = None,
 ) -> StreamingQuery:
-    """Store ``partial(batch)`` under the batch's number.
+    """Store ``partial(batch)`` under the stream's id and the batch's number, by the day of ``at``.
 
-    A batch that is run again after a failure replaces its own folder, so partials count
-    once.
+    A batch that is run again after a failure replaces its own folder, so partials count once. Batch numbers begin
+    anew with a new checkpoint; the id keeps such a stream, and any other that stores under ``path``, apart.
     """
+    run = run_id(stream.sparkSession, checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        partial(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = partial(batch)
+        rows = rows.withColumn("on_day", F.lit("all") if at is None else F.date_format(at, "yyyy-MM-dd"))
+        rows.write.mode("overwrite").partitionBy("on_day").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return start(stream.writeStream.foreachBatch(store), checkpoint, seconds)
 
 
-def read_partials(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch")
+def read_partials(spark: SparkSession, path: str, since=None) -> DataFrame:
+    """All stored partials, or with ``since`` those of its day and later; older folders are not read."""
+    # Ids and days are texts, also where all of them look like numbers or dates.
+    with settings(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):
+        rows = spark.read.parquet(path)
+    if since is not None:
+        rows = rows.filter(F.col("on_day") >= F.date_format(times.moment(since), "yyyy-MM-dd"))
+    return rows.drop("run", "batch", "on_day")
 
 
 def rollup_on_insert(spans: DataFrame, path: str, checkpoint: str, seconds: float | None = FLUSH_SECONDS) -> StreamingQuery:
-    return write_partials(spans, rollup_minute, path, checkpoint, seconds)
+    return write_partials(spans, rollup_minute, path, checkpoint, seconds, F.col("minute"))
 
 
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """The minute rollup as of the last stored batch."""
-    return merge_rollup("minute", read_partials(spark, path))
+def read_rollup(spark: SparkSession, path: str, since=None) -> DataFrame:
+    """The minute rollup as of the last stored batch, or its days from ``since`` on."""
+    return merge_rollup("minute", read_partials(spark, path, since))
 
 
 def eval_rollup_on_insert(evals: DataFrame, path: str, checkpoint: str, seconds: float | None = FLUSH_SECONDS) -> StreamingQuery:
     """Counts every insert: a score that is replaced later has been counted by then."""
-    return write_partials(evals, eval_daily, path, checkpoint, seconds)
+    return write_partials(evals, eval_daily, path, checkpoint, seconds, F.col("day"))
 
 
-def read_eval_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return merge_eval_daily(read_partials(spark, path))
+def read_eval_rollup(spark: SparkSession, path: str, since=None) -> DataFrame:
+    return merge_eval_daily(read_partials(spark, path, since))
 
 
 def rollup_windows(spans: DataFrame, delay: str = WATERMARK) -> DataFrame:
