@@ -43,7 +43,9 @@ def cut_penalties(names: list[str]) -> np.ndarray:
 
 def offered_cuts(ids: np.ndarray, penalties: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where the stream may be cut, ascending from 0, and the penalty of each."""
-    places = np.union1d(np.flatnonzero(penalties[ids]) + 1, np.concatenate([[0], doc_ends]))
+    offered = (penalties > 0)[ids]
+    offered[doc_ends - 1] = True
+    places = np.concatenate([[0], np.flatnonzero(offered) + 1])
     gaps = np.diff(places)
     wide = np.flatnonzero(gaps > FILLER)
     if len(wide):

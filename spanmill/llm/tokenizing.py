@@ -19,11 +19,11 @@ from spanmill.llm.bytetext import ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHED = 400_000
+CACHED = 1_000_000
 #: Three white-space characters, or two at the end, may be one token. (The class is a superset of any library's.)
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _JOINED = f"{_SPACE}{_SPACE}(?:{_SPACE}|\\z)"
-_ENDS = frozenset(".,;:!?")
+_ENDS = tuple(".,;:!?")
 
 
 class Encoder:
@@ -35,33 +35,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self.known: dict[str, np.ndarray] = {}
+        #: Pieces with their ids: as they stand, and after a space.
+        self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
-    def _tokenize(self, pieces: list[str]) -> list[np.ndarray]:
+    def _tokenize(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, 32 bits each."""
         if not pieces:
             return []
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat = np.array(list(chain.from_iterable(encoded)), np.uint32)
-        ends = np.cumsum([len(e) for e in encoded])
-        return np.split(flat, ends[:-1])
-
-    def _lookup(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of different pieces, exactly as they stand."""
-        known = self.known
-        found = [known.get(p) for p in pieces]
+        flat = np.array(list(chain.from_iterable(encoded)), np.uint32).tobytes()
+        ends = (4 * np.cumsum([len(e) for e in encoded])).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _lookup(self, pieces: list[str], spaced: bool) -> list[bytes]:
+        """The ids of different pieces, each as it stands or after a space; one that begins a line has none."""
+        known = self.spaced if spaced else self.known
+        found = list(map(known.get, pieces))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
             # A letter and one sign at the end are always two pieces to the tokenizer.
-            split = {i: (pieces[i][:-1], pieces[i][-1]) for i in missing if len(pieces[i]) > 2 and pieces[i][-1] in _ENDS and pieces[i][-2].isalpha()}
-            asked = dict.fromkeys(chain.from_iterable(split[i] if i in split else (pieces[i],) for i in missing))
+            split = {i: p[:-1] for i in missing if len(p := pieces[i]) > 2 and p[-1] in _ENDS and p[-2].isalpha()}
+            asked = dict.fromkeys(split.get(i, pieces[i]) for i in missing)
             new = [p for p in asked if p not in known]
-            fresh = dict(zip(new, self._tokenize(new), strict=True))
+            fresh = dict(zip(new, self._tokenize([p if p[:1] == "\n" else " " + p for p in new] if spaced else new), strict=True))
+            signs = dict(zip(_ENDS, self._tokenize(list(_ENDS)), strict=True)) if split else {}
             for i in missing:
-                if i in split:
-                    parts = [known[p] if p in known else fresh[p] for p in split[i]]
-                    found[i] = np.concatenate(parts)
-                else:
-                    found[i] = known[pieces[i]] if pieces[i] in known else fresh[pieces[i]]
+                stem = split.get(i, pieces[i])
+                ids = known[stem] if stem in known else fresh[stem]
+                found[i] = ids + signs[pieces[i][-1]] if i in split else ids
             if len(known) < CACHED:
                 known.update(fresh)
                 known.update((pieces[i], found[i]) for i in split)
@@ -87,20 +89,20 @@ class Encoder:
         if self.keeps_space:
             # The first piece of a text has no space before it.
             heads, head_codes = np.unique(codes[bounds[:-1]], return_inverse=True)
-            table = self._lookup([p if p[:1] == "\n" else " " + p for p in pieces] + [pieces[h] for h in heads])
+            table = self._lookup(pieces, True) + self._lookup([pieces[h] for h in heads], False)
             codes[bounds[:-1]] = len(pieces) + head_codes
         else:
-            table = self._lookup(pieces)
-        lengths = np.fromiter(map(len, table), np.int64, len(table))
+            table = self._lookup(pieces, False)
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) >> 2
         starts = np.cumsum(lengths) - lengths
-        flat = np.concatenate(table) if table else np.zeros(0, np.uint32)
+        flat = np.frombuffer(b"".join(table), np.uint32)
         sizes = lengths[codes]
         ids = flat[ranges(starts[codes], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
         counts = np.diff(ends)
         if whole.any():
             rows = np.flatnonzero(whole)
-            own = dict(zip(rows.tolist(), self._tokenize([texts[int(r)].as_py() for r in rows]), strict=True))
+            own = {int(r): np.frombuffer(self._tokenize([texts[int(r)].as_py()])[0], np.uint32) for r in rows}
             ids = np.concatenate([own.get(r, ids[ends[r] : ends[r + 1]]) for r in range(len(texts))])
             counts[rows] = [len(own[int(r)]) for r in rows]
         return ids, counts
@@ -129,7 +131,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-def groups(column: pa.Array, size: int = 4 << 20):
+def groups(column: pa.Array, size: int = 8 << 20):
     """Runs (begin, end) of the texts of a column of about ``size`` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))
     begin = 0
