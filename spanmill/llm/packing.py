@@ -23,7 +23,7 @@ from spanmill.llm.tasks import Batches, in_arrow
 from spanmill.llm.tokenizing import Encoder, encoder, groups
 
 SIZE, BLOCK, END_ID = 1024, 512, 0
-FILLER = 128
+FILLER = 16
 #: Penalties, in ids of padding, of a cut after a sentence, after a clause and elsewhere; and of every sequence.
 SENTENCE, CLAUSE, INSIDE, OPENING = 1.0, 2.0, 6.0, 8.0
 #: The shortest sequence that may stand unpadded because its length is a power of two.
@@ -42,7 +42,10 @@ def cut_penalties(names: list[str]) -> np.ndarray:
 
 
 def offered_cuts(ids: np.ndarray, penalties: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where the stream may be cut, ascending from 0, and the penalty of each."""
+    """Places where the stream may be cut, ascending from 0, and the penalty of each.
+
+    Near its end there are more, so that the last sequences can have the lengths that need no padding.
+    """
     offered = (penalties > 0)[ids]
     offered[doc_ends - 1] = True
     places = np.concatenate([[0], np.flatnonzero(offered) + 1])
@@ -51,6 +54,8 @@ def offered_cuts(ids: np.ndarray, penalties: np.ndarray, doc_ends: np.ndarray) -
     if len(wide):
         fill = [np.arange(a + FILLER, b, FILLER) for a, b in zip(places[wide], places[wide + 1], strict=True)]
         places = np.union1d(places, np.concatenate(fill))
+    end = int(doc_ends[-1])
+    places = np.union1d(places, np.arange(end - SHORTEST, max(end - 2 * SIZE, 0), -SHORTEST))
     cost = np.where(places > 0, penalties[ids[places - 1]], 0.0)
     cost[cost == 0] = INSIDE
     cost[np.isin(places, doc_ends)] = 0.0

@@ -71,12 +71,13 @@ def anchors(s: Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     return chosen[begin].astype(np.int64), starts[begin], starts[end], text[begin]
 
 
-def _firsts(keys: tuple[np.ndarray, ...], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by keys, then place, and which rows in it are the first of their keys."""
+def _firsts(keys: tuple[np.ndarray, ...], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by keys, then place; which rows in it are the first of their keys, and which stand at a later place."""
     order = np.lexsort((starts, docs, *keys[::-1]))
     head = np.ones(len(order), bool)
     head[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, head
+    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    return order, head, (docs[order] != docs[first]) | (starts[order] != starts[first])
 
 
 def _anchor_blocks(parts: int, length: int, gram: int):
@@ -84,9 +85,8 @@ def _anchor_blocks(parts: int, length: int, gram: int):
 
     def deal(held: list[tuple[np.ndarray, ...]], turn: int) -> Batches:
         grams, digests, docs, starts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, head = _firsts((grams, digests), docs, starts)
+        order, head, later = _firsts((grams, digests), docs, starts)
         grams, digests, docs, starts, counts = (x[order] for x in (grams, digests, docs, starts, counts))
-        later = ~head
         numbers, kinds, blocks = [], [], []
         if later.any():
             numbers, kinds = [turn % parts], [1]
@@ -141,9 +141,8 @@ def _compare_anchors(length: int):
     def settle(held: list[np.ndarray]) -> Batches:
         grams, digests, docs, packed = np.concatenate(held, axis=1)
         starts, counts = packed >> 12, packed & 4095
-        order, head = _firsts((grams, digests), docs, starts)
+        order, head, later = _firsts((grams, digests), docs, starts)
         grams, docs, starts, counts = (x[order] for x in (grams, docs, starts, counts))
-        later = ~head
         yield from _rows(1, None, docs[later], starts[later], (starts + counts - 1 + length)[later], None)
         grams, docs, starts, counts = (x[head] for x in (grams, docs, starts, counts))
         begin = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
