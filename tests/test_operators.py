@@ -379,3 +379,54 @@ def test_quality_findings(spark):
 def test_defaults_give_the_full_row(spark):
     row = with_defaults(spark.createDataFrame([("t",)], "trace_id string"), AS_OF).first()
     assert row.__fields__ == SPANS.names and row.attributes == "{}" and row.cost_usd == 0.0 and row.user_id == ""
+
+
+def test_prices_of_dated_and_plain_names(spark):
+    from spanmill.operators.cost import cost_by_model, price_book, price_spans
+
+    pricing = spark.sql(
+        "SELECT * FROM VALUES ('gpt-4o', 'openai', 2.0D, 0.0D, TIMESTAMP '2024-01-01'), ('gpt-4o', 'openai', 3.0D, 0.0D, TIMESTAMP '2024-06-01'),"
+        " ('gpt-4o-2024-05-13', 'openai', 5.0D, 0.0D, TIMESTAMP '2024-09-01'), ('tied', 'a', 9.0D, 0.0D, TIMESTAMP '2024-01-01'),"
+        " ('tied', 'a', 8.0D, 0.0D, TIMESTAMP '2024-01-01'), ('undated', 'a', 7.0D, 0.0D, null)"
+        " AS t(model_name, provider, input_cost_per_1k, output_cost_per_1k, updated_at)"
+    )
+    asked = [("gpt-4o", "openai", 3.0), ("gpt-4o-2024-05-13", "openai", 5.0), ("gpt-4o-2024-08-06", "openai", 3.0), ("gpt-4o-2024-05-13", "wrapper", 5.0),
+             ("tied", "a", 8.0), ("undated", "b", 7.0), ("nowhere", "a", None)]
+    spans = spark.createDataFrame([(m, p, 1000, 0) for m, p, _ in asked], "model string, provider string, input_tokens int, output_tokens int")
+    priced = price_spans(spans.withColumn("start_time", F.to_timestamp(F.lit("2024-10-01 00:00:00"))), pricing)
+    assert {(r.model, r.provider): r.cost_usd for r in priced.collect()} == {(m, p): c for m, p, c in asked}
+    assert {r.model: r.unpriced_spans for r in cost_by_model(priced, "2024-10-01 12:00:00").collect()}["nowhere"] == 1
+    assert {r.price_key: r.colliding for r in price_book(pricing).collect()}["tied"] == 1
+
+
+def test_selections_and_pages_have_no_cap(spark):
+    from spanmill.operators import alerts, drift, pii, search
+
+    spans = spark.range(6000).select(
+        F.format_string("%016x", "id").alias("span_id"), F.lit("CLIENT").alias("span_kind"), F.lit("langchain-x").alias("service_name"),
+        F.lit("ask").alias("span_name"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("start_time"),
+    )
+    as_of = "2024-01-01 00:05:00"
+    assert search.recent_client_spans(spans, as_of).count() == search.rag_spans(spans, as_of).count() == search.recent_prompts(spans, as_of).count() == 6000
+    assert search.recent_client_spans(spans, as_of, limit=100).count() == 100
+    fired = spark.range(250).select(
+        F.lit("a").alias("alert_name"), F.lit("warning").alias("severity"), F.lit("firing").alias("status"), F.lit("").alias("description"),
+        F.col("id").cast("string").alias("series"), F.timestamp_seconds("id").alias("fired_at"), F.lit(None).cast("timestamp").alias("resolved_at"),
+    )
+    assert alerts.alert_timeline(fired).count() == 250
+    assert [r.series for r in alerts.alert_timeline(fired, limit=2, offset=100).collect()] == ["149", "148"]
+    late = spark.createDataFrame([("t", "x" * 900 + " 219-09-9999 a@b.org")], "trace_id string, response string")
+    assert "219-09-9999" in pii.triage(late, as_of).first().response_text
+    assert len(pii.triage(late, as_of, max_chars=500).first().response_text) == 500
+    few = spark.createDataFrame([(0, 0.4, 0.1, 50, 3), (1, 0.4, 0.1, 50, 30)], "dim int, psi double, kl_divergence double, n_baseline long, n_current long")
+    rows = drift.score_rows(few, "2024-01-31 00:00:00")
+    assert {(r.dimension_index, r.enough, r.n_current) for r in rows.collect()} == {(0, False, 3), (1, True, 30)}
+    assert drift.psi_trend(rows, "2024-02-01 00:00:00").first().avg_score == 0.4
+
+
+def test_unknown_span_kind_counts_as_unspecified(spark):
+    from spanmill.sources import otlp
+
+    kinds = spark.createDataFrame([("9",), ("2",), ("SPAN_KIND_CLIENT",), (None,)], "k string")
+    found = [r[0] for r in kinds.select(otlp._enum(F.col("k"), ["UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT"], "SPAN_KIND_")).collect()]
+    assert found == ["UNSPECIFIED", "SERVER", "CLIENT", "UNSPECIFIED"]

@@ -84,3 +84,31 @@ def test_batched_append_stores_every_row_once(spark, files):
     for _ in range(2):
         ingest.batched_append(replay(spark, files), path, checkpoint, seconds=None).awaitTermination()
     assert spark.read.parquet(path).count() == 400
+
+
+def test_partials_of_a_new_checkpoint_stay_apart(spark, files):
+    path = work_path(spark, "partials")
+    whole = batch.rollup_minute(spark.read.schema(SPANS).parquet(files)).agg(F.sum("span_count")).first()[0]
+    for attempt in ("first", "second"):
+        rollups.rollup_on_insert(replay(spark, files), path, work_path(spark, f"checkpoint-{attempt}"), seconds=None).awaitTermination()
+    assert rollups.read_rollup(spark, path).agg(F.sum("span_count")).first()[0] == 2 * whole
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, files):
+    path, checkpoint = work_path(spark, "partials"), work_path(spark, "checkpoint")
+    rollups.rollup_on_insert(replay(spark, files), path, checkpoint, seconds=None).awaitTermination()
+    before = sorted(map(str, rollups.read_rollup(spark, path).select("minute", "span_count").collect()))
+    run = rollups.run_id(spark, checkpoint)
+    assert run == rollups.run_id(spark, checkpoint)
+    again = spark.read.parquet(f"{path}/run={run}/batch=0").withColumn("on_day", F.lit("2024-01-01"))
+    again = spark.createDataFrame(again.collect(), again.schema)
+    again.write.mode("overwrite").partitionBy("on_day").parquet(f"{path}/run={run}/batch=0")
+    assert sorted(map(str, rollups.read_rollup(spark, path).select("minute", "span_count").collect())) == before
+
+
+def test_since_prunes_days(spark, files):
+    path = work_path(spark, "partials")
+    rollups.rollup_on_insert(replay(spark, files), path, work_path(spark, "checkpoint"), seconds=None).awaitTermination()
+    plan = rollups.read_partials(spark, path, "2024-02-01 00:00:00")
+    assert plan.count() == 0
+    assert "PartitionFilters: [isnotnull(on_day" in plan._jdf.queryExecution().toString()
