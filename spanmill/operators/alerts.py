@@ -119,12 +119,17 @@ def breached() -> Column:
     )
 
 
-def evaluate_rules(signals: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+def evaluate_rules(signals: DataFrame, rules: DataFrame, as_of, since=None) -> DataFrame:
     """Stretches on which a rule's condition held, with when it fired and resolved.
 
+    Samples after ``as_of`` are not known yet, and those before ``since`` are left out.
+
     It resolves at the next sample, or 5 minutes after the last one if the series falls
     silent; still open at ``as_of`` means no resolution.
     """
+    signals = signals.filter(F.col("tick") <= F.unix_seconds(times.moment(as_of)))
+    if since is not None:
+        signals = signals.filter(F.col("tick") >= F.unix_seconds(times.moment(since)))
     joined = signals.join(rules, "signal")
     keys = ["alert_name", "severity", "description", "series"]
     found = sustained(joined, keys, F.col("step_seconds"), F.col("for_seconds"), breached())

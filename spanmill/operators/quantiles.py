@@ -19,19 +19,21 @@ _SHIFT = 1100 * RESOLUTION
 
 
 def _bucket(value: Column) -> Column:
-    """Bucket number that never falls as the value rises; zero has one of its own."""
-    size = F.floor(F.log2(F.abs(value)) * RESOLUTION) + _SHIFT
+    """Bucket number that never falls as the value rises; zero and each infinity have one of their own."""
+    infinite = F.lit(float("inf"))
+    finite = F.when(F.abs(value) == infinite, F.lit(1.0)).otherwise(F.abs(value))
+    size = F.when(F.abs(value) == infinite, F.lit(2 * _SHIFT)).otherwise(F.floor(F.log2(finite) * RESOLUTION) + _SHIFT)
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """One row per group: ``keys``, ``n`` and a column per name in ``probs``.
 
-    Linear interpolation between the two ranks around ``p * (n - 1)``; nulls are ignored
-    and a group without values gives no row. Without keys there is always one row.
+    Linear interpolation between the two ranks around ``p * (n - 1)``; nulls and NaN are ignored, an
+    infinity is the lowest or highest value (between it and another value lies an infinity), and a group without values gives no row. Without keys there is always one row.
     """
     keys = keys or []
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     rows = rows.withColumn("_b", _bucket(F.col("_v")))
 
     counted = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -81,5 +83,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: li
     for i, (name, p) in enumerate(probs.items()):
         position = F.lit(float(p)) * (F.col("n") - 1)
         low, high = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
-        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
+        share = position - F.floor(position)
+        out.append(F.when((low == high) | (share == 0), low).otherwise(low + (high - low) * share).alias(name))
     return slots.select(*out)

@@ -19,10 +19,14 @@ def to_ticks(df: DataFrame, ts: str, keys: list[str], step_seconds: int, **sums:
     return df.groupBy(*keys, tick).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
 
 
-def on_every_tick(ticks: DataFrame, keys: list[str], step_seconds: int, sums: list[str]) -> DataFrame:
-    """The same series with a zero row for each silent tick between first and last."""
-    ends = ticks.groupBy(*keys).agg(F.min("tick").alias("_a"), F.max("tick").alias("_b"))
-    grid = ends.select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step_seconds).cast("long"))).alias("tick"))
+def on_ticks_within(ticks: DataFrame, keys: list[str], step_seconds: int, width_seconds: int, sums: list[str]) -> DataFrame:
+    """The same series with a zero row for each silent tick up to ``width_seconds`` after a sample, and not after the last.
+
+    Beyond that a trailing window is empty, so one stray early sample costs a few rows and not a row for every tick since.
+    """
+    last = F.max("tick").over(W.partitionBy(*keys))
+    reach = F.sequence("tick", F.least(F.col("tick") + width_seconds, F.col("_last")), F.lit(step_seconds).cast("long"))
+    grid = ticks.select(*keys, "tick", last.alias("_last")).select(*keys, F.explode(reach).alias("tick")).distinct()
     return grid.join(ticks, [*keys, "tick"], "left").fillna(0, sums)
 
 
@@ -30,9 +34,8 @@ def trailing(
     ticks: DataFrame, keys: list[str], step_seconds: int, width_seconds: int, sums: list[str]
 ) -> DataFrame:
     """Sums over the ``width_seconds`` up to each tick."""
-    steps = width_seconds // step_seconds
-    dense = on_every_tick(ticks, keys, step_seconds, sums)
-    window = W.partitionBy(*keys).orderBy("tick").rowsBetween(1 - steps, W.currentRow)
+    dense = on_ticks_within(ticks, keys, step_seconds, width_seconds, sums)
+    window = W.partitionBy(*keys).orderBy("tick").rangeBetween(step_seconds - width_seconds, W.currentRow)
     return dense.withColumns({s: F.sum(s).over(window) for s in sums})
 
 

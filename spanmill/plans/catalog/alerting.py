@@ -28,11 +28,12 @@ def tick_sql(ts: str, step: int) -> str:
 
 
 def slide_ctes(name: str, source: str, ts: str, key: str, step: int, width: int, sums: dict[str, str]) -> list[str]:
-    """Ticks, a dense grid, and trailing sums in ``<name>_slid``."""
+    """Ticks, a grid of those that a window with samples ends at, and trailing sums in ``<name>_slid``."""
     return [
         f"{name}_ticks AS (SELECT {key} AS series, {tick_sql(ts, step)} AS tick, "
         + ", ".join(f"sum({e})::BIGINT AS {n}" for n, e in sums.items()) + f" FROM {source} GROUP BY 1, 2)",
-        f"{name}_grid AS (SELECT series, unnest(generate_series(min(tick), max(tick), {step})) AS tick FROM {name}_ticks GROUP BY series)",
+        f"{name}_grid AS (SELECT DISTINCT * FROM (SELECT series, unnest(generate_series(tick, least(tick + {width}, last), {step})) AS tick "
+        f"FROM (SELECT *, max(tick) OVER (PARTITION BY series) AS last FROM {name}_ticks)))",
         f"{name}_slid AS (SELECT g.series, g.tick, " + ", ".join(f"coalesce(sum(t.{n}), 0)::BIGINT AS {n}" for n in sums)
         + f" FROM {name}_grid g LEFT JOIN {name}_ticks t ON t.series = g.series AND t.tick > g.tick - {width} AND t.tick <= g.tick GROUP BY 1, 2)",
     ]

@@ -430,3 +430,24 @@ def test_unknown_span_kind_counts_as_unspecified(spark):
     kinds = spark.createDataFrame([("9",), ("2",), ("SPAN_KIND_CLIENT",), (None,)], "k string")
     found = [r[0] for r in kinds.select(otlp._enum(F.col("k"), ["UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT"], "SPAN_KIND_")).collect()]
     assert found == ["UNSPECIFIED", "SERVER", "CLIENT", "UNSPECIFIED"]
+
+
+def test_quantiles_of_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, inf, -inf, float("nan"), None, 3.0)], "v double")
+    row = exact_quantiles(df, "v", {"low": 0.0, "mid": 0.5, "high": 1.0}).first()
+    assert (row.n, row.low, row.mid, row.high) == (5, -inf, 2.0, inf)
+
+
+def test_an_early_sample_does_not_stretch_the_grid(spark):
+    spans = spark.sql("SELECT * FROM VALUES (TIMESTAMP '1970-01-01 00:00:10'), (TIMESTAMP '2024-01-01 00:00:10') AS t(ts)")
+    found = series.sliding_ratio(spans, "ts", [], F.lit(1).cast("long"), F.lit(1).cast("long"), 15, 300)
+    assert found.count() == 22 and found.filter("value = 1").count() == 21
+
+
+def test_rules_do_not_see_the_future(spark):
+    rules = spark.sql("SELECT 's' AS signal, 'a' AS alert_name, 'warning' AS severity, 'd' AS description, '>' AS comparator, 0.5D AS threshold, 0L AS for_seconds, 60L AS step_seconds")
+    signals = spark.createDataFrame([("s", "x", 60 * k, 1.0 if k in (3, 8) else 0.0) for k in range(10)], "signal string, series string, tick long, value double")
+    found = alerts.evaluate_rules(signals, rules, "1970-01-01 00:05:00").collect()
+    assert [str(r.started_at) for r in found] == ["1970-01-01 00:03:00"]
+    assert alerts.evaluate_rules(signals, rules, "1970-01-01 00:09:00", since="1970-01-01 00:05:00").count() == 1
