@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-_CONTEXTS = 2048
+_CONTEXT_BITS = 10
 _STATE, _LOW_BITS = np.uint64((1 << 48) - 1), np.uint64((1 << 24) - 1)
 _SMALL = np.uint64(1 << 24)
 _CASE_BITS, _UPPER_BITS = 12, 12
@@ -29,61 +29,84 @@ class BrokenBlock(ValueError):
     """A block whose checksum does not fit its ids."""
 
 
+#: Where the chances of a guess start, by confidence; they move towards what is seen, within (_LEAST, _MOST) of 4096.
+_START = np.array([200, 1000, 1800, 2400, 2800, 3100, 3300, 3500], np.int32)
+_LEAST, _MOST = 60, 3900
+
+
+class _Order:
+    """The guesses of one order: by block and context a guessed id and its confidence (0 to 7), packed as id * 8 + confidence."""
+
+    def __init__(self, n: int):
+        self.table = np.zeros(n << _CONTEXT_BITS, np.uint32)
+        self.chances = np.tile(_START, n)
+        self.rows = np.arange(n, dtype=np.int64) << _CONTEXT_BITS
+        self.eights = np.arange(n, dtype=np.int64) << 3
+
+    def look(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Guesses and their chances (of 4096) under 32-bit hashed contexts."""
+        k = len(context)
+        self.at = self.rows[:k] + (context >> np.uint32(32 - _CONTEXT_BITS))
+        self.entry = self.table.take(self.at)
+        self.sure = self.entry & np.uint32(7)
+        self.chance_at = self.eights[:k] + self.sure
+        self.chance = self.chances.take(self.chance_at)
+        return self.entry >> np.uint32(3), self.chance
+
+    def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
+        move = np.where(hit, _MOST, _LEAST)
+        move -= self.chance
+        move >>= 5
+        move += self.chance
+        self.chances[self.chance_at] = move
+        # Confidence rises by one with a hit and halves without; a guess without any gives way.
+        kept = self.entry - (self.sure - (self.sure >> np.uint32(1)))
+        kept = np.where(self.sure == 0, ids << np.uint32(3), kept)
+        self.table[self.at] = np.where(hit, self.entry + (self.sure < 7), kept)
+
+
 class _Model:
     """Tables of ``n`` blocks; every method works on the first ``k`` of them."""
 
     def __init__(self, n: int, uppers: int):
-        self.guess2, self.guess1 = (np.zeros((n, _CONTEXTS), np.uint32) for _ in range(2))
-        self.sure2, self.sure1 = (np.zeros((n, _CONTEXTS), np.uint8) for _ in range(2))
-        self.right2, self.right1 = (np.full((n, 8), 0, np.int64) + np.array([200, 1000, 1800, 2400, 2800, 3100, 3300, 3500]) for _ in range(2))
-        self.weight = np.full(n, 2048, np.int64)
+        self.two, self.one = _Order(n), _Order(n)
+        self.weight = np.full(n, 2048, np.int32)
         self.last1, self.last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        self.rows = np.arange(n)
-        self.counts = np.full((n, uppers), 2, np.int64)
+        self.counts = np.full((n, uppers), 2, np.int32)
         self.refresh(n)
 
     def refresh(self, k: int) -> None:
         """Order-0 frequencies of the upper parts, at least 1 each, 2 ** _UPPER_BITS in total."""
         counts = self.counts[:k]
-        spare = (1 << _UPPER_BITS) - counts.shape[1]
-        frequencies = 1 + counts * spare // counts.sum(1, keepdims=True)
+        width = counts.shape[1]
+        total = counts.sum(1, keepdims=True)
+        frequencies = 1 + counts * ((1 << _UPPER_BITS) - width) // total
         frequencies[:, 0] += (1 << _UPPER_BITS) - frequencies.sum(1)
-        ends = np.zeros((k, counts.shape[1] + 1), np.int64)
+        ends = np.zeros((k, width + 1), np.int32)
         np.cumsum(frequencies, axis=1, out=ends[:, 1:])
-        self.ends = ends
-        np.right_shift(counts, 1, out=counts, where=counts.sum(1, keepdims=True) > 4096)
-        np.maximum(counts, 1, out=counts)
+        self.ends, self.width = ends.ravel(), width
+        full = np.flatnonzero(total.ravel() > 4096)
+        counts[full] = np.maximum(counts[full] >> 1, 1)
 
     def predict(self, k: int) -> tuple[np.ndarray, ...]:
         """The guesses of order 2 and 1, and the frequencies of their cases (of 2 ** _CASE_BITS)."""
-        rows, one, two = self.rows[:k], self.last1[:k], self.last2[:k]
-        self.at1 = (one * np.uint32(2654435761)) >> np.uint32(21)
-        self.at2 = ((one * np.uint32(2246822519)) ^ (two * np.uint32(3266489917))) >> np.uint32(21)
-        self.g2, self.g1 = self.guess2[rows, self.at2], self.guess1[rows, self.at1]
-        self.s2, self.s1 = self.sure2[rows, self.at2], self.sure1[rows, self.at1]
-        chance2, chance1 = self.right2[rows, self.s2], self.right1[rows, self.s1]
+        last = self.last1[:k]
+        guess1, chance1 = self.one.look(last * np.uint32(2654435761))
+        guess2, chance2 = self.two.look((last * np.uint32(2246822519)) ^ (self.last2[:k] * np.uint32(3266489917)))
         weight = self.weight[:k]
-        self.agree = self.g2 == self.g1
+        agree = guess2 == guess1
         share1 = ((4096 - weight) * chance1) >> 12
-        case2 = ((weight * chance2) >> 12) + np.where(self.agree, share1, 0) + 1
-        case1 = np.where(self.agree, 1, share1 + 1)
-        return self.g2, self.g1, case2, case1
-
-    def update(self, k: int, ids: np.ndarray) -> None:
-        rows = self.rows[:k]
-        hit2, hit1 = ids == self.g2, ids == self.g1
-        for hit, sure, guess, right, at, s in (
-            (hit2, self.sure2, self.guess2, self.right2, self.at2, self.s2),
-            (hit1, self.sure1, self.guess1, self.right1, self.at1, self.s1),
-        ):
-            chance = right[rows, s]
-            right[rows, s] = np.where(hit, chance + ((3900 - chance) >> 5), chance - ((chance - 60) >> 5))
-            sure[rows, at] = np.where(hit, np.minimum(s + 1, 7), s >> 1)
-            new = np.flatnonzero(~hit & (s == 0))
-            guess[new, at[new]] = ids[new]
-        only2, only1 = hit2 & ~hit1, hit1 & ~hit2
+        case2 = ((weight * chance2) >> 12) + share1 * agree + 1
+        case1 = share1 * ~agree + 1
+        return guess2, guess1, case2, case1
+
+    def update(self, k: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        self.two.learn(hit2, ids)
+        self.one.learn(hit1, ids)
         weight = self.weight[:k]
-        weight += np.where(only2, (4000 - weight) >> 5, 0) - np.where(only1, (weight - 96) >> 5, 0)
+        apart = hit2 != hit1
+        aim = np.where(hit2, 4000, 96)
+        weight += ((aim - weight) >> 5) * apart
         self.last2[:k] = self.last1[:k]
         self.last1[:k] = ids
 
@@ -128,17 +151,20 @@ def encode_blocks(blocks: list[np.ndarray], limit: int) -> list[bytes]:
         now = ids[step, :k]
         guess2, guess1, case2, case1 = model.predict(k)
         hit2, hit1 = now == guess2, now == guess1
-        begin = np.where(hit2, 0, np.where(hit1, case2, case2 + case1))
-        size = np.where(hit2, case2, np.where(hit1, case1, (1 << _CASE_BITS) - case2 - case1))
+        first = case2 + case1
+        begin = np.where(hit2, 0, np.where(hit1, case2, first))
+        size = np.where(hit2, case2, np.where(hit1, case1, (1 << _CASE_BITS) - first))
         narrow(slice(0, k), begin, size, _CASE_BITS)
         new = np.flatnonzero(~hit2 & ~hit1)
         if len(new):
-            upper, lower = (now[new] >> 8).astype(np.int64), (now[new] & 255).astype(np.int64)
-            start = model.ends[new, upper]
-            size = model.ends[new, upper + 1] - start
+            own = now[new]
+            upper, lower = (own >> np.uint32(8)).astype(np.int64), (own & np.uint32(255)).astype(np.int64)
+            place = new * (model.width + 1) + upper
+            start = model.ends.take(place).astype(np.int64)
+            size = model.ends.take(place + 1) - start
             narrow(new, (start << 8) + lower * size, size, _UPPER_BITS + 8)
             model.counts[new, upper] += 16
-        model.update(k, now)
+        model.update(k, now, hit2, hit1)
         if step % _REFRESH == _REFRESH - 1:
             model.refresh(k)
     for shift in (32, 16, 0):
@@ -204,19 +230,22 @@ def decode_blocks(coded: list[bytes], limit: int) -> list[np.ndarray]:
         new = np.flatnonzero(~hit2 & ~hit1)
         if len(new):
             target, part = find(new, _UPPER_BITS + 8)
-            sought, left, right = target >> 8, np.zeros(len(new), np.int64), np.full(len(new), model.ends.shape[1] - 1)
-            for _ in range(int(model.ends.shape[1]).bit_length()):
-                middle = (left + right) >> 1
-                above = model.ends[new, middle] <= sought
-                left, right = np.where(above, middle, left), np.where(above, right, middle)
-            start = model.ends[new, left]
-            size = model.ends[new, left + 1] - start
+            # The last end that is not above what is sought, found bit by bit.
+            sought, row, upper = target >> 8, new * (model.width + 1), np.zeros(len(new), np.int64)
+            for bit in range(model.width.bit_length() - 1, -1, -1):
+                trial = upper + (1 << bit)
+                fits = trial < model.width
+                fits &= model.ends.take(row + np.where(fits, trial, 0)) <= sought
+                upper += fits.astype(np.int64) << bit
+            start = model.ends.take(row + upper).astype(np.int64)
+            size = model.ends.take(row + upper + 1) - start
             lower = np.minimum((target - (start << 8)) // size, 255)
             narrow(new, part, (start << 8) + lower * size, size)
-            model.counts[new, left] += 16
-            now[new] = (left << 8 | lower).astype(np.uint32)
+            model.counts[new, upper] += 16
+            now[new] = (upper << 8 | lower).astype(np.uint32)
         ids[step, :k] = now
-        model.update(k, now)
+        # A coded guess can be an id of the other order too.
+        model.update(k, now, now == guess2, now == guess1)
         if step % _REFRESH == _REFRESH - 1:
             model.refresh(k)
     found: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
