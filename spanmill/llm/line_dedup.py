@@ -70,26 +70,29 @@ def within(short: Column, long: Column, max_edits: int) -> Column:
     """
     width = 2 * max_edits + 1
     pad = F.array(*[F.lit("")] * max_edits)
-    one, other = F.split(short, ""), F.concat(pad, F.split(long, ""), pad)
+    # Bound once for all steps: an expression inside a lambda would be computed anew in each.
+    letters = F.struct(F.split(short, "").alias("one"), F.concat(pad, F.split(long, ""), pad).alias("other"))
     start = F.struct(*(F.lit(sum(1 << (max_edits + j) for j in range(e + 1))).alias(f"e{e}") for e in range(max_edits + 1)))
 
-    def step(state: Column, i: Column) -> Column:
-        letter = F.element_at(one, i)
-        same = reduce(
-            lambda x, y: x.bitwiseOR(y),
-            [F.when(F.element_at(other, i + k) == letter, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)],
-        )
-        after = [state["e0"].bitwiseAND(same)]
-        for e in range(1, max_edits + 1):
-            before = state[f"e{e - 1}"]
-            moved = state[f"e{e}"].bitwiseAND(same).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(after[-1], 1))
-            after.append(moved.bitwiseAND(F.lit((1 << width) - 1)))
-        return F.struct(*(c.alias(f"e{e}") for e, c in enumerate(after)))
+    def run(both: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            letter = F.element_at(both["one"], i)
+            same = reduce(
+                lambda x, y: x.bitwiseOR(y),
+                [F.when(F.element_at(both["other"], i + k) == letter, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)],
+            )
+            after = [state["e0"].bitwiseAND(same)]
+            for e in range(1, max_edits + 1):
+                before = state[f"e{e - 1}"]
+                moved = state[f"e{e}"].bitwiseAND(same).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(after[-1], 1))
+                after.append(moved.bitwiseAND(F.lit((1 << width) - 1)))
+            return F.struct(*(c.alias(f"e{e}") for e, c in enumerate(after)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(both["one"])), start, step)[f"e{max_edits}"]
 
     final = F.call_function("shiftleft", F.lit(1), (F.char_length(long) - F.char_length(short) + max_edits).cast("int"))
-    ended = F.aggregate(F.sequence(F.lit(1), F.char_length(short)), start, step)[f"e{max_edits}"]
-    equal_empty = F.char_length(short) == 0
-    return F.when(equal_empty, F.lit(True)).otherwise(ended.bitwiseAND(final) > 0)
+    ended = F.element_at(F.transform(F.array(letters), run), 1)
+    return F.when(F.char_length(short) == 0, F.lit(True)).otherwise(ended.bitwiseAND(final) > 0)
 
 
 def _met(rows: DataFrame) -> DataFrame:
