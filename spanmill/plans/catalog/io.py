@@ -17,6 +17,7 @@ from spanmill.schemas import DRIFT_SCORES, EVALS as EVAL_SCHEMA, PII_QUEUE, SPAN
 from spanmill.session import work_path
 from spanmill.sources import json_rows, otlp, pricing, spans as span_table
 from spanmill.sources.facts import append_table, read_table
+from spanmill.sources.retention import apply_retention
 
 AS_OF = derived.AS_OF
 SHOWN = ["trace_id", "span_id", "parent_span_id", "provider", "model", "status_code", "input_tokens", "output_tokens", "start_time", "duration_ms"]
@@ -119,7 +120,10 @@ def skip_index_write(spark, sf):
 
 @query("retention", on_spans(f"SELECT span_id, start_time FROM spans WHERE start_time >= {END} - INTERVAL 14 DAY"))
 def retention(spark, sf):
-    return span_table.retain(derived.spans(spark, sf), "start_time", 14, AS_OF).select("span_id", "start_time")
+    path = work_path(spark, "spans")
+    span_table.write_spans(with_defaults(derived.spans(spark, sf), AS_OF), path)
+    apply_retention(spark, path, "spans", AS_OF, days=14)
+    return span_table.read_spans(spark, path, ["span_id", "start_time"])
 
 
 @query("pricing_dim", with_(

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from spanmill.functions import times
 from spanmill.schemas import SPANS
-from spanmill.session import cut_lineage
 
 SORT_KEY = ["provider", "model", "start_time", "trace_id"]
 LOOKUP_COLUMNS = ["user_id", "app_id", "model", "conversation_id", "provider"]
@@ -54,24 +53,3 @@ def write_spans(df: DataFrame, path: str, mode: str = "append", lookup_columns:
 def retain(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
     """Rows younger than ``days``; the bound is inclusive."""
     return df.filter(F.col(ts) >= times.moment(as_of) - times.interval(days=days))
-
-
-def rewrite_boundary_month(spark: SparkSession, path: str, ts: str, days: int, as_of) -> DataFrame:
-    """Drop expired rows of the one month that is only partly expired.
-
-    Wholly expired months need no rewrite (``read_spans`` with a start skips them, and
-    their folders can be dropped); younger months are not touched. The kept rows are
-    materialised first, since the job replaces the folder it reads.
-    """
-    cutoff = times.moment(as_of) - times.interval(days=days)
-    stored = spark.read.schema(_STORED).parquet(path).filter(F.col("month") == times.month_of(cutoff))
-    kept = cut_lineage(stored.filter(F.col(ts) >= cutoff))
-    (
-        kept.repartitionByRange("month", *SORT_KEY)
-        .sortWithinPartitions("month", *SORT_KEY)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
-    return kept

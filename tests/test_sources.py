@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from spanmill.operators.normalize import with_defaults
 from spanmill.operators.search import lookup_spans, search_traces
-from spanmill.schemas import EVALS
+from spanmill.schemas import EVALS, RETENTION
 from spanmill.session import shared_dir, work_path
 from spanmill.sources import facts, otlp, pricing, spans as table
+from spanmill.sources.retention import TABLES, apply_retention
 
 AS_OF = "2024-03-01 00:00:00"
 
@@ -60,11 +61,24 @@ def test_boundary_month_is_rewritten_alone(spark):
     df = spark.range(60).select(F.col("id").cast("string").alias("span_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 86400).alias("start_time"))
     path = work_path(spark, "retained")
     table.write_spans(with_defaults(df, AS_OF), path)
-    table.rewrite_boundary_month(spark, path, "start_time", 20, "2024-03-01 00:00:00")
+    assert apply_retention(spark, path, "spans", "2024-03-01 00:00:00", days=20) == ["202401", "202402"]
     left = table.read_spans(spark, path)
-    assert left.filter("start_time >= '2024-02-01'").count() == 20
-    assert left.filter("start_time < '2024-02-01'").count() == 31
-    assert table.read_spans(spark, path, start="2024-02-10 00:00:00").count() == 20
+    assert left.count() == 20 and str(left.agg(F.min("start_time")).first()[0]) == "2024-02-10 00:00:00"
+    assert apply_retention(spark, path, "spans", "2024-03-01 00:00:00", days=20) == []
+    assert apply_retention(spark, path, "spans", "2024-06-01 00:00:00", days=20) == ["202402"]
+
+
+@pytest.mark.parametrize("name", ["evals", "pii_queue", "drift_scores", "alert_history"])
+def test_retention_of_fact_tables(spark, name):
+    ts, days = RETENTION[name]
+    path, schema = work_path(spark, name), TABLES[name]
+    rows = spark.range(40).select(F.timestamp_seconds(F.lit(1717200000) - F.col("id") * 86400 * 20).cast(schema[ts].dataType).alias(ts))
+    facts.append_table(rows, path, schema, ts, AS_OF)
+    before = facts.read_table(spark, path, schema).count()
+    apply_retention(spark, path, name, "2024-06-01 00:00:00")
+    left = facts.read_table(spark, path, schema)
+    young = rows.filter(F.col(ts).cast("timestamp") >= F.lit("2024-06-01").cast("timestamp") - F.expr(f"INTERVAL {days} DAY")).count()
+    assert left.count() == young < before == 40
 
 
 def test_facts_get_their_schema_and_defaults(spark):
