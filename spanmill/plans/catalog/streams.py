@@ -13,7 +13,9 @@ from spanmill.plans.catalog.privacy import PII, QUEUE
 from spanmill.plans.catalog.registry import query
 from spanmill.plans.catalog.rollup import COLUMNS, DAILY, rollup_sql
 from spanmill.plans.catalog.sql import RAW_EVALS, SPANS, on_priced, on_spans, with_
+from spanmill.schemas import PII_QUEUE
 from spanmill.session import settings, work_path
+from spanmill.sources.facts import read_table
 from spanmill.sources.pricing import seed_pricing
 from spanmill.streaming import alerts as live_alerts
 from spanmill.streaming import ingest, pii, rollups
@@ -120,7 +122,7 @@ def pii_stream(spark, sf):
     path, checkpoint = work_path(spark, "queue"), work_path(spark, "queue-checkpoint")
     live = derived.answers_of(stream(spark, sf, "conversations"))
     pii.pii_stream(live, path, checkpoint, derived.AS_OF, seconds=None).awaitTermination()
-    return spark.read.parquet(path)
+    return read_table(spark, path, PII_QUEUE).drop("inserted_at")
 
 
 @query("batched_append", on_spans("SELECT provider, strftime(start_time, '%Y%m') AS month, count(*) AS span_count FROM spans GROUP BY 1, 2"))
