@@ -19,7 +19,7 @@ from spanmill.llm.bytetext import ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHED = 1_000_000
+CACHED = 400_000
 #: Three white-space characters, or two at the end, may be one token. (The class is a superset of any library's.)
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _JOINED = f"{_SPACE}{_SPACE}(?:{_SPACE}|\\z)"
