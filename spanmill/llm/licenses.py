@@ -2,8 +2,8 @@
 
 The classifier knows the word pairs and triples of the ``TEMPLATES`` below, so its vocabulary and its weights are
 bounded by them, whatever the corpus. It is trained by Spark's own logistic regression on variants of the templates
-(shortened, inside other text, with other words between) against fragments of templates and ``SAMPLE`` paragraphs of
-the corpus. Probabilities are calibrated by a temperature on variants that were held out, and a family is named only
+(shortened, inside other text, with other words between) against fragments of templates and ``SAMPLE`` paragraphs
+drawn from the whole corpus, none of which holds a template. Probabilities are calibrated by a temperature on variants that were held out, and a family is named only
 above a probability that held-out unknown paragraphs do not reach. A prediction counts if ``SHARE`` of the triples of
 one of the family's templates stand in the paragraph.
 
@@ -17,12 +17,15 @@ import math
 import random
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanmill.session import cut_lineage
+
 #: Usual notices of licence families.
 TEMPLATES = {
     "agpl": (
@@ -78,6 +81,7 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal.",
     ),
     "reserved": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher.",
     ),
 }
@@ -113,6 +117,20 @@ def gram_array(text: Column) -> Column:
     return F.array_distinct(F.concat(runs(2), runs(3)))
 
 
+def template_grams() -> list[tuple[str, list[str]]]:
+    """(family, triples) of every template; pairs for one of two words."""
+    return [
+        (family, [g for g in grams(plain_words(text)) if len(g.split()) == 3 or len(plain_words(text)) < 3])
+        for family, texts in TEMPLATES.items() for text in texts
+    ]
+
+
+def holds_template(words: list[str]) -> bool:
+    """Whether ``SHARE`` of the triples of some template stand in ``words``."""
+    own = set(grams(words))
+    return any(len(own.intersection(template)) >= SHARE * len(template) for _, template in template_grams())
+
+
 def variants(seed: int, count: int) -> list[tuple[str, str]]:
     """(family, text): templates shortened, interrupted and inside other words; and fragments of them as unknown."""
     draw = random.Random(seed)
@@ -133,7 +151,10 @@ def variants(seed: int, count: int) -> list[tuple[str, str]]:
                 if k % 3 == 0:
                     size = 2 if len(words) < 12 else 4
                     at = draw.randrange(len(words))
-                    found.append((UNKNOWN, " ".join(words[at : at + size] + draw.sample(filler, 2))))
+                    fragment = words[at : at + size] + draw.sample(filler, 2)
+                    # A long template may hold a short one.
+                    if not holds_template(fragment):
+                        found.append((UNKNOWN, " ".join(fragment)))
     return found
 
 
@@ -172,13 +193,21 @@ def vocabulary() -> list[str]:
     return sorted({gram for texts in TEMPLATES.values() for text in texts for gram in grams(plain_words(text))})
 
 
+def unknown_examples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text): at most ``sample`` whole paragraphs in which no template stands, spread by hash over all of ``docs``."""
+    spread = F.xxhash64("hash", "no", "paragraph")
+    drawn = paragraphs(docs).orderBy(spread, "paragraph").limit(4 * sample).select("paragraph", spread.alias("at"), gram_array(F.col("paragraph")).alias("own"))
+    holds = [F.size(F.array_intersect("own", F.lit(template))) >= SHARE * len(template) for _, template in template_grams()]
+    return drawn.filter(~reduce(Column.__or__, holds)).orderBy("at", "paragraph").limit(sample).select(F.col("paragraph").alias("text"))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> LicenceModel:
     """Fit on template variants and at most ``sample`` paragraphs of ``docs``; calibrate on other variants."""
     spark = docs.sparkSession
     known = vocabulary()
     own = spark.createDataFrame([(float(FAMILIES.index(family)), text) for family, text in variants(seed, VARIANTS)], "label double, text string")
-    other = paragraphs(docs).select(F.lit(0.0).alias("label"), F.substring("paragraph", 1, 2000).alias("text"))
-    rows = own.union(other.limit(sample)).select("label", gram_array(F.col("text")).alias("grams"))
+    other = cut_lineage(unknown_examples(docs, sample)).select(F.lit(0.0).alias("label"), "text")
+    rows = own.union(other).select("label", gram_array(F.col("text")).alias("grams"))
     counts = CountVectorizerModel.from_vocabulary(known, inputCol="grams", outputCol="features", minTF=1.0)
     counts.setBinary(True)
     fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60).fit(counts.transform(rows.coalesce(4)))
@@ -235,7 +264,7 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     ).filter(F.col("over_unknown") & (F.col("probability") >= model.least)).drop("over_unknown")
     numbers = {gram: i for i, gram in enumerate(model.weights)}
     templates = spark.createDataFrame(
-        [(family, [numbers[g] for g in grams(plain_words(text)) if len(g.split()) == 3 or len(plain_words(text)) < 3]) for family, texts in TEMPLATES.items() for text in texts],
+        [(family, [numbers[g] for g in template]) for family, template in template_grams()],
         "family string, template array<int>",
     )
     contained = F.size(F.array_intersect("grams", "template")) / F.size("template")

@@ -321,6 +321,21 @@ def test_licences(spark):
     assert found == sorted(expected, key=str)
 
 
+def test_short_notice_is_a_licence(spark):
+    docs = [(0, f"{sentence(20)}\nAll rights reserved."), (1, f"All rights reserved. {sentence(9)}"), (2, "all rights of the reserved"), (3, sentence(12))]
+    assert sorted(rows(licenses.licence_report(doc_frame(spark, docs)))) == [(0, 2, 1, "reserved"), (1, 1, 1, "reserved"), (2, 1, 0, ""), (3, 1, 0, "")]
+
+
+def test_unknown_examples_hold_no_notice(spark):
+    notice, tail = "This work is licensed under the GNU General Public License, version 3.", sentence(500)
+    docs = [(k, notice) for k in range(60)] + [(k, f"{sentence(8)} {k} {tail}") for k in range(60, 120)]
+    drawn = [r.text for r in licenses.unknown_examples(doc_frame(spark, docs), 20).collect()]
+    assert len(drawn) == 20 and notice not in drawn and all(t.endswith(tail) for t in drawn)
+    assert drawn != [t for _, t in docs[60:80]]
+    model = licenses.train(doc_frame(spark, docs), 50)
+    assert model.family(notice) == "gpl"
+
+
 def test_licence_model_on_held_out_variants(spark):
     model = licenses.train(doc_frame(spark, [(1, sentence(200))]))
     held = licenses.variants(99, 9)
