@@ -7,8 +7,10 @@ drawn from the whole corpus, none of which holds a template. Probabilities are c
 above a probability that held-out unknown paragraphs do not reach. A prediction counts if ``SHARE`` of the triples of
 one of the family's templates stand in the paragraph.
 
-The scan itself is joins and sums: the pairs of every paragraph meet the broadcast vocabulary, and only paragraphs
-with a known pair go on.
+The scan itself is joins and sums. The triples of every block, that is of consecutive lines with a word, meet the
+broadcast templates first, and only blocks in which ``SHARE`` of some template stands go on. In these, every line, every
+run of lines that a wrapped template may take, and the whole block are judged as paragraphs. Of nested paragraphs of one
+family the innermost count, and a piece of a notice gives way to the longer notice that explains all of it.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanmill.session import cut_lineage
+from spanmill.llm.jaccard import PRUNED
+from spanmill.session import cut_lineage, settings
 
 #: Usual notices of licence families.
 TEMPLATES = {
@@ -90,6 +93,10 @@ FAMILIES = (UNKNOWN, *TEMPLATES)
 #: Paragraphs of the corpus that serve as unknown examples, at most.
 SAMPLE = 400
 VARIANTS, SHARE, MISTAKES = 24, 0.6, 0.02
+#: Between blocks: at least one line without a word, whatever comment marks it holds.
+BREAK = r"\n[^A-Za-z0-9]*\n"
+#: Comment marks that are words; no template holds them.
+MARKS = ("rem", "dnl")
 
 
 def plain_words(text: str) -> list[str]:
@@ -195,8 +202,11 @@ def vocabulary() -> list[str]:
 
 def unknown_examples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text): at most ``sample`` whole paragraphs in which no template stands, spread by hash over all of ``docs``."""
-    spread = F.xxhash64("hash", "no", "paragraph")
-    drawn = paragraphs(docs).orderBy(spread, "paragraph").limit(4 * sample).select("paragraph", spread.alias("at"), gram_array(F.col("paragraph")).alias("own"))
+    lines = paragraphs(docs).select("paragraph", F.xxhash64("doc_id", "hash", "no").alias("at"))
+    # The bound lets about twice as many lines through as the limit asks, so that no task sorts more.
+    bound = (8 * sample << 40) // max(lines.count(), 1) + 1
+    drawn = lines.filter(F.shiftrightunsigned("at", 24) < bound).orderBy("at", "paragraph").limit(4 * sample)
+    drawn = drawn.select("paragraph", "at", gram_array(F.col("paragraph")).alias("own"))
     holds = [F.size(F.array_intersect("own", F.lit(template))) >= SHARE * len(template) for _, template in template_grams()]
     return drawn.filter(~reduce(Column.__or__, holds)).orderBy("at", "paragraph").limit(sample).select(F.col("paragraph").alias("text"))
 
@@ -235,20 +245,23 @@ def _vocabulary_frame(spark: SparkSession, model: LicenceModel, size: int) -> Da
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """(doc_id, hash, no, family, probability, contained, confirmed) of every paragraph that is not unknown."""
-    spark = docs.sparkSession
-    words = word_array(F.col("paragraph"))
-    listed = paragraphs(docs).select("doc_id", "hash", "no", words.alias("w"))
+    """(doc_id, hash, no, grams, family, probability, contained, confirmed) of every line that is not unknown."""
+    return judge(paragraphs(docs), ["doc_id", "hash", "no"], model)
+
+
+def judge(texts: DataFrame, keys: list[str], model: LicenceModel) -> DataFrame:
+    """``keys``, grams, family, probability, contained and confirmed of every ``paragraph`` that is not unknown."""
+    spark = texts.sparkSession
+    listed = texts.select(*keys, word_array(F.col("paragraph")).alias("w"))
     size = F.size("w")
     runs = listed.filter(size >= 2).select(
-        "doc_id", "hash", "no",
+        *keys,
         F.inline(F.arrays_zip(F.slice("w", 1, size - 1).alias("a"), F.slice("w", 2, size - 1).alias("b"), F.slice("w", 3, F.greatest(size - 2, F.lit(0))).alias("c"))),
-    ).toDF("doc_id", "hash", "no", "a", "b", "c")
+    ).toDF(*keys, "a", "b", "c")
     columns = [f"w{k}" for k in range(len(FAMILIES))]
     pairs, triples = (F.broadcast(_vocabulary_frame(spark, model, n)) for n in (2, 3))
     met = runs.withColumn("key", F.xxhash64("a", "b")).join(pairs, "key")
-    three = met.filter("c IS NOT NULL").select("doc_id", "hash", "no", F.xxhash64("a", "b", "c").alias("key")).join(triples, "key")
-    keys = ["doc_id", "hash", "no"]
+    three = met.filter("c IS NOT NULL").select(*keys, F.xxhash64("a", "b", "c").alias("key")).join(triples, "key")
     # A gram counts once for a paragraph, also if its row is there twice.
     grams_met = met.select(*keys, "gram", *columns).union(three.select(*keys, "gram", *columns)).distinct()
     sums = grams_met.groupBy(*keys).agg(F.collect_set("gram").alias("grams"), *(F.sum(c).alias(c) for c in columns))
@@ -270,22 +283,101 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     contained = F.size(F.array_intersect("grams", "template")) / F.size("template")
     return (
         judged.join(F.broadcast(templates), "family")
-        .groupBy(*keys, "family", "probability").agg(F.max(contained).alias("contained"))
+        .groupBy(*keys, "family", "probability").agg(F.first("grams").alias("grams"), F.max(contained).alias("contained"))
         .withColumn("confirmed", F.col("contained") >= SHARE)
     )
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, block, body): the runs of consecutive lines that hold a word."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), BREAK)).alias("block", "body"))
+    return split.filter(F.col("body").rlike("[A-Za-z0-9]"))
+
+
+def _text_words(text: Column) -> Column:
+    """The words of a line or block, without comment marks."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: ~w.isin("", *MARKS))
+
+
+def with_templates(docs: DataFrame) -> DataFrame:
+    """(hash, block): the blocks in which ``SHARE`` of the triples of some template stand."""
+    spark = docs.sparkSession
+    triples = [(number, gram, len(template), *gram.split()) for number, (_, template) in enumerate(template_grams()) for gram in template]
+    wanted = spark.createDataFrame(triples, "template int, gram string, asked int, a string, b string, c string")
+    wanted = wanted.select("template", "gram", "asked", F.xxhash64("a", "b", "c").alias("key"))
+    size = F.size("w")
+    runs = blocks(docs).select("hash", "block", _text_words(F.col("body")).alias("w")).filter(size >= 3).select(
+        "hash", "block", F.inline(F.arrays_zip(F.slice("w", 1, size - 2).alias("a"), F.slice("w", 2, size - 2).alias("b"), F.slice("w", 3, size - 2).alias("c"))),
+    ).toDF("hash", "block", "a", "b", "c")
+    met = runs.select("hash", "block", F.xxhash64("a", "b", "c").alias("key")).join(F.broadcast(wanted), "key").select("hash", "block", "template", "asked", "gram").distinct()
+    held = met.groupBy("hash", "block", "template", "asked").agg(F.count(F.lit(1)).alias("held"))
+    return held.filter(F.col("held") >= SHARE * F.col("asked")).select("hash", "block").distinct()
+
+
+def units(kept: DataFrame) -> DataFrame:
+    """(doc_id, hash, block, first, last, paragraph): what is judged of the blocks ``kept``.
+
+    Single lines, the whole block, and runs of lines in which a template may stand wrapped: the lines between the first
+    and the last, of which each has a word, hold fewer words than the longest template.
+    """
+    longest = max(len(plain_words(text)) for texts in TEMPLATES.values() for text in texts)
+    lines = F.transform(F.filter(F.split("body", "\n"), lambda x: x.rlike("[A-Za-z0-9]")), lambda x: _text_words(x))
+    listed = kept.select("doc_id", "hash", "block", F.filter(lines, lambda w: F.size(w) > 0).alias("lines")).withColumn("n", F.size("lines"))
+    keys = ["doc_id", "hash", "block"]
+    whole = listed.filter("n > 1").select(*keys, F.lit(1).alias("first"), F.col("n").alias("last"), F.array_join(F.flatten("lines"), " ").alias("paragraph"))
+    starts = F.transform(F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: F.col("n") > 0), lambda i: F.struct(i.alias("first"), F.slice("lines", i, F.lit(longest + 1)).alias("ahead")))
+    begun = listed.filter("n > 0").select(*keys, F.inline(starts))
+    between = lambda k: F.aggregate(F.slice("ahead", F.lit(2), F.greatest(k - 2, F.lit(0))), F.lit(0), lambda total, w: total + F.size(w))
+    ends = F.filter(F.sequence(F.lit(1), F.size("ahead")), lambda k: between(k) <= longest - 2)
+    spans = begun.select(*keys, "first", "ahead", F.explode(ends).alias("k")).select(
+        *keys, "first", (F.col("first") + F.col("k") - 1).alias("last"), F.array_join(F.flatten(F.slice("ahead", F.lit(1), F.col("k"))), " ").alias("paragraph")
+    )
+    return spans.union(whole)
+
+
+def notices(confirmed: DataFrame, model: LicenceModel) -> DataFrame:
+    """(doc_id, hash, block, first, last, family): one row for each notice of the ``confirmed`` units."""
+    block = Window.partitionBy("doc_id", "hash", "block")
+    family = Window.partitionBy("doc_id", "hash", "block", "family")
+    # Innermost: no other unit of the family lies within.
+    inside = F.min("last").over(family.orderBy(F.desc("first"), "last").rowsBetween(Window.unboundedPreceding, -1))
+    inner = confirmed.withColumn("inside", inside).filter(F.col("inside").isNull() | (F.col("inside") > F.col("last"))).drop("inside")
+    # Explained: a longer notice of another family, which has all triples that were met, lies around.
+    numbers = {gram: i for i, gram in enumerate(model.weights)}
+    own = {f: sorted({numbers[g] for name, template in template_grams() if name == f for g in template}) for f in TEMPLATES}
+    around = block.orderBy("first").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = inner.select("*", *(F.max(F.when(F.col("family") == f, F.col("last"))).over(around).alias(f"reach_{k}") for k, f in enumerate(own)))
+    every = F.lit(sorted({n for ids in own.values() for n in ids}))
+    evidence = F.coalesce(*(F.when(F.col("family") == f, F.array_intersect("grams", F.lit(ids))) for f, ids in own.items()), F.array_intersect("grams", every))
+    explained = [
+        (F.col("family") != f) & F.coalesce(F.col(f"reach_{k}") >= F.col("last"), F.lit(False)) & (F.size(F.array_except("evidence", F.lit(ids))) == 0)
+        for k, (f, ids) in enumerate(own.items())
+    ]
+    left = reached.withColumn("evidence", evidence).filter(~reduce(Column.__or__, explained))
+    # Units of a family that overlap are pieces of one notice.
+    before = F.lag("last").over(family.orderBy("first"))
+    return left.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") < F.col("first"))).select("doc_id", "hash", "block", "first", "last", "family")
+
+
 def licence_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed and families of every row of ``docs`` (doc_id, text).
 
-    n_licensed counts the paragraphs (lines with a word) whose predicted family a template confirms; families names
-    them, sorted and comma-joined, empty if there are none.
+    n_paragraphs counts the lines with a word. n_licensed counts the lines whose predicted family a template confirms,
+    and the notices that only several lines of a block together confirm; families names them, sorted and comma-joined,
+    empty if there are none.
 
-    Edge cases: null and empty texts have no paragraphs; paragraphs without a known pair of words are unknown; repeated
+    Edge cases: null and empty texts have no paragraphs; paragraphs without a known pair of words are unknown; a wrapped
+    notice with so many foreign words in it that its inner lines are longer than the longest template is found only if
+    its block as a whole is judged to be of its family; repeated
     rows get equal results, null ids are kept; an empty table gives an empty result. Other columns are ignored.
     """
     known = docs.select("doc_id", "text")
-    found = scan(known, train(known, sample)).filter("confirmed")
+    model = train(known, sample)
+    listed = cut_lineage(with_templates(known))
+    with settings(docs.sparkSession, PRUNED):
+        kept = cut_lineage(blocks(known).join(listed.filter("block >= 0"), ["hash", "block"], "left_semi"))
+    judged = judge(cut_lineage(units(kept)), ["doc_id", "hash", "block", "first", "last"], model).filter("confirmed")
+    found = notices(cut_lineage(judged), model)
     per_document = found.groupBy("doc_id", "hash").agg(
         F.count(F.lit(1)).alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families")
     )

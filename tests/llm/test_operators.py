@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -326,6 +327,28 @@ def test_short_notice_is_a_licence(spark):
     assert sorted(rows(licenses.licence_report(doc_frame(spark, docs)))) == [(0, 2, 1, "reserved"), (1, 1, 1, "reserved"), (2, 1, 0, ""), (3, 1, 0, "")]
 
 
+def test_wrapped_notices_are_licences(spark):
+    def wrapped(text, width, mark=""):
+        return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+    texts = {
+        "mit": licenses.TEMPLATES["mit"][1], "bsd": licenses.TEMPLATES["bsd"][1], "gpl": licenses.TEMPLATES["gpl"][1],
+        "cc-by-sa": licenses.TEMPLATES["cc-by-sa"][1], "agpl": licenses.TEMPLATES["agpl"][1],
+    }
+    docs, expected = [], []
+    for family, text in texts.items():
+        for width, mark in ((72, ""), (64, " * "), (60, "# "), (66, "rem ")):
+            docs.append((len(docs), f"{sentence(9)}\n{mark}\n{wrapped(text, width, mark)}\n{mark and '//'}\n{sentence(9)}"))
+            expected.append((1, family))
+    # One block: code, two wrapped notices and a line that is one, without a line between them.
+    docs.append((len(docs), "\n".join([*(sentence(7) for _ in range(60)), wrapped(texts["mit"], 50), wrapped(texts["bsd"], 50), "All rights reserved.", sentence(9)])))
+    expected.append((3, "bsd,mit,reserved"))
+    docs.append((len(docs), wrapped(texts["mit"], 72).replace("\n", f"\n\n{sentence(5)}\n\n")))
+    expected.append((0, ""))
+    found = {r.doc_id: (r.n_licensed, r.families) for r in licenses.licence_report(doc_frame(spark, docs)).collect()}
+    assert [found[k] for k in range(len(docs))] == expected
+
+
 def test_unknown_examples_hold_no_notice(spark):
     notice, tail = "This work is licensed under the GNU General Public License, version 3.", sentence(500)
     docs = [(k, notice) for k in range(60)] + [(k, f"{sentence(8)} {k} {tail}") for k in range(60, 120)]
