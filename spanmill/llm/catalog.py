@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import chat, decontaminate, html_text, jaccard, licenses, line_dedup, packing, quality, repeats, token_files
+from spanmill.llm import (
+    centroids, chat, decontaminate, html_text, jaccard, licenses, line_dedup, packing, quality, repeats, token_files, url_filter, whitening,
+)
 from spanmill.llm.registry import ORACLES, QUERIES, query, table
 from spanmill.session import work_path
 
@@ -148,3 +150,91 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.token_report(docs, work_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def _clustering_sql() -> str:
+    """The rounds, one after the other."""
+    nearest = """a{0} AS (
+        SELECT any_value(p.vec_id) AS vec_id, any_value(p.x) AS x, unnest(min({{'distance': d, 'cluster': c}})) FROM (
+            SELECT p.row, c.c, CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM points p, c{0} c
+        ) JOIN points p USING (row) GROUP BY row
+    )"""
+    moved = """c{1} AS (
+        SELECT c, coalesce(any_value(m.x), any_value(c{0}.x)) AS x FROM c{0} LEFT JOIN (
+            SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY dim) AS x FROM (
+                SELECT cluster, dim, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM a{0}) GROUP BY ALL
+            ) GROUP BY cluster
+        ) m ON m.cluster = c{0}.c GROUP BY c
+    )"""
+    rounds = [part.format(n, n + 1) for n in range(centroids.ROUNDS) for part in (nearest, moved)]
+    return f"""
+    WITH points AS (
+        SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    ), c0 AS (
+        SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM points WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 16)
+    ), {", ".join(rounds)}, {nearest.format(centroids.ROUNDS)}
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+        CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM a{centroids.ROUNDS} JOIN c{centroids.ROUNDS} c ON c.c = cluster
+    """
+
+
+@query("op11_centroid_clustering", sql=_clustering_sql())
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _url_sql() -> str:
+    """Counts, probabilities from the shortest context to the longest, sums of a URL, threshold."""
+    longest = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = {r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')" for r in longest}
+    rule = " ".join(f"WHEN {fits[r]} THEN '{r[1]}{r[2]}'" for r in longest)
+    verdict = " ".join(f"WHEN {fits[r]} THEN '{r[0]}'" for r in longest)
+    lower = f"translate(coalesce(url, ''), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    level = """o{0} AS (
+        SELECT c3 % {1} AS c, s, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS b FROM places WHERE by_rule IS NOT NULL AND NOT held GROUP BY ALL
+    ), t{0} AS (
+        SELECT c, sum(a) AS na, sum(b) AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM o{0} GROUP BY c
+    ), p{0} AS (
+        SELECT w.c, w.s, CASE WHEN na > 0 THEN (coalesce(a, 0) + ta * {2}a) / CAST(na + ta AS DOUBLE) ELSE {2}a END AS pa,
+            CASE WHEN nb > 0 THEN (coalesce(b, 0) + tb * {2}b) / CAST(nb + tb AS DOUBLE) ELSE {2}b END AS pb
+        FROM (SELECT DISTINCT c3 % {1} AS c, s FROM places) w {3} LEFT JOIN t{0} ON t{0}.c = w.c LEFT JOIN o{0} ON o{0}.c = w.c AND o{0}.s = w.s
+    )"""
+    even = "CROSS JOIN (SELECT 1 / 32.0::DOUBLE AS qa, 1 / 32.0::DOUBLE AS qb) q"
+    levels = [level.format(0, 1, "q.q", even)]
+    levels += [level.format(n, 32**n, "q.p", f"JOIN p{n - 1} q ON q.c = w.c % {32 ** (n - 1)} AND q.s = w.s") for n in (1, 2, 3)]
+    return f"""
+    WITH pages_ AS (
+        SELECT row_number() OVER () AS row, page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)\\A.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+            regexp_extract(coalesce(url, ''), '(?s)\\A.*?://[^/?#]*([^?#]*)', 1) AS path,
+            regexp_replace(translate(regexp_replace({lower}, '(?s)\\A.*?://', ''), '123456789_', '000000000-'), '[^a-z0/.\\-]', '~', 'g') AS plain FROM pages
+    ), ruled AS (
+        SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS by_rule, substr(md5(url), 1, 1) IN ('c', 'd', 'e', 'f') AS held,
+            list_transform(list_filter(string_split(plain, ''), lambda c: c <> ''), lambda c: instr('{url_filter.SYMBOLS}', c) - 1) || [31] AS s FROM pages_
+    ), places AS (
+        SELECT row, by_rule, held, unnest([p[i] * 1024 + p[i + 1] * 32 + p[i + 2] for i in range(1, len(s) + 1)]) AS c3, unnest(s) AS s FROM (SELECT *, [31, 31, 31] || s AS p FROM ruled)
+    ), {", ".join(levels)}, totals AS (
+        SELECT row, CAST(sum(CAST(round(1000000 * (ln(pa) - ln(pb))) AS BIGINT)) AS BIGINT) AS total, count(*) AS symbols FROM places JOIN p3 ON p3.c = c3 AND p3.s = places.s GROUP BY row
+    ), bins AS (
+        SELECT greatest(least(CAST(floor(CAST(total AS DOUBLE) / (symbols * 10000)) AS BIGINT), 500), -501) AS place, by_rule FROM totals JOIN ruled USING (row) WHERE held AND by_rule IS NOT NULL
+    ), ends AS (
+        SELECT t AS edge, count(*) FILTER (by_rule = 'allow' AND place < t) * (SELECT count(*) FROM bins WHERE by_rule = 'block')
+            + count(*) FILTER (by_rule = 'block' AND place >= t) * (SELECT count(*) FROM bins WHERE by_rule = 'allow') AS wrong
+        FROM range(-500, 501) r(t), bins GROUP BY t
+    ), bound AS (
+        SELECT CASE WHEN count(DISTINCT by_rule) = 2 THEN (SELECT edge FROM ends ORDER BY wrong, abs(edge), edge LIMIT 1) ELSE 0 END * 10000 AS bound FROM bins
+    )
+    SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN total >= symbols * (SELECT bound FROM bound) THEN 'allow' ELSE 'block' END) AS verdict,
+        total, CAST(symbols AS INTEGER) AS symbols FROM ruled JOIN totals USING (row)
+    """
+
+
+@query("op13_url_filter", sql=_url_sql())
+def url_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))

@@ -30,4 +30,4 @@ def test_query_equals_sql(spark, con, key):
 
 
 def test_every_operator_has_a_query():
-    assert {key.split("_")[0] for key in catalog.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {key.split("_")[0] for key in catalog.QUERIES} == {f"op{n}" for n in range(1, 14)}
