@@ -96,3 +96,15 @@ def eval_to_span(evals: DataFrame, spans: DataFrame, how: str = "inner") -> Data
         "trace_id", "span_id", "provider", "model", "service_name", "status_code", "duration_ms", "start_time"
     )
     return evals.join(attributes, ["trace_id", "span_id"], how)
+
+
+def unevaluated_spans(spans: DataFrame, evals: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """Spans without any stored score, or with ``metrics`` one row (``metric_name``) for each metric a span still lacks.
+
+    Only the keys of the evals are read; each key is there once, so a span scored very often costs no more than any other.
+    """
+    keys = ["trace_id", "span_id"]
+    if metrics is not None:
+        spans = spans.withColumn("metric_name", F.explode(F.array(*[F.lit(m) for m in metrics])))
+        keys.append("metric_name")
+    return spans.join(evals.select(*keys).distinct(), keys, "left_anti").select(*spans.columns)
