@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import labels, times
 from spanmill.functions.text import tokens
+from spanmill.operators import histograms
 from spanmill.operators.latest import latest_date_only
-from spanmill.session import broadcast_if_small
 
 DIMENSIONS = 384
 BINS = 10
@@ -83,80 +83,58 @@ def baseline_current_split(df: DataFrame, ts: str, as_of) -> DataFrame:
     return df.withColumn("side", period_of(ts, as_of)).filter(F.col("side").isNotNull())
 
 
-def _ranges(vectors: DataFrame, group: list[str], vector: str) -> DataFrame:
-    """One row per group with the lower and upper end of every dimension, in order."""
-    by_dim = (
-        vectors.select(*group, F.posexplode(vector).alias("dim", "v"))
-        .groupBy(*group, "dim")
-        .agg(F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
-    )
-    # At most one entry per dimension of the vector.
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "low", "high")))
-    return by_dim.groupBy(*group).agg(ordered.alias("_ranges"))
-
-
 def histogram_by_dim(
     vectors: DataFrame, vector: str = "embedding", side: str = "side", group: list[str] | None = None, bins: int = BINS
 ) -> DataFrame:
-    """Counts per (group, dimension, bin) and side over the joint range of both sides.
+    """Counts per (group, dimension, bin) and side over the joint range of both sides, for the bins that have any.
 
-    Equal bins, the last one closed. The ranges are one small row per group; counting
-    combines map-side to at most groups x dimensions x bins rows.
+    Equal bins, the last one closed. Vectors are counted into arrays (see ``histograms``), never a row for each entry.
     """
     group = group or []
-    rows = vectors.select(*group, F.col(side).alias("_side"), F.col(vector).alias("_vector"))
-    ranges = _ranges(rows, group, "_vector")
-    if group:
-        placed = rows.join(broadcast_if_small(ranges, 10_000), group)
-        unfolded = placed.select(*group, "_side", "_ranges", F.posexplode("_vector").alias("dim", "v"))
-    else:
-        unfolded = rows.select("_side", F.posexplode("_vector").alias("dim", "v"))
-        unfolded = unfolded.withColumn("_ranges", ranges.scalar())
-
-    # get() takes a 0-based index, as the position in the vector is.
-    bound = F.get("_ranges", F.col("dim"))
-    low, width = F.col("_bound.low"), F.col("_bound.high") - F.col("_bound.low")
-    share = F.when(width > 0, (F.col("v").cast("double") - low) / width)
-    bin_of = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
-    return (
-        unfolded.withColumn("_bound", bound)
-        .groupBy(*group, "dim", bin_of.alias("bin"))
-        .agg(
-            F.count_if(F.col("_side") == "baseline").alias("baseline_count"),
-            F.count_if(F.col("_side") == "current").alias("current_count"),
-            F.max(width).alias("range_width"),
-        )
+    counts = histograms.dim_counts(vectors, vector, side, group, bins)
+    unfolded = counts.select(*group, "dim", "range_width", F.posexplode(F.arrays_zip("baseline", "current")).alias("bin", "_n"))
+    found = unfolded.select(
+        *group, "dim", "bin", F.col("_n.baseline").alias("baseline_count"), F.col("_n.current").alias("current_count"), "range_width"
     )
+    return found.filter(F.col("baseline_count") + F.col("current_count") > 0)
 
 
 def densities(histogram: DataFrame, group: list[str] | None = None, bins: int = BINS) -> DataFrame:
-    """Per (group, dimension): row counts and the two normalised densities as arrays.
-
-    Absent bins count 0; densities are raised to the floor, then scaled to sum 1. The
-    floor acts on densities, so its weight depends on the width of the bins.
-    """
+    """Per (group, dimension): row counts and the two normalised densities as arrays, from histogram rows."""
     group = group or []
     folded = histogram.groupBy(*group, "dim").agg(
         F.map_from_entries(
             F.collect_list(F.struct("bin", F.struct("baseline_count", "current_count")))
         ).alias("_bins"),
         F.max("range_width").alias("range_width"),
-        F.sum("baseline_count").alias("n_baseline"),
-        F.sum("current_count").alias("n_current"),
     )
 
-    def density(name: str, total: str) -> Column:
-        def at(i: Column) -> Column:
-            count = F.coalesce(F.try_element_at("_bins", i)[name], F.lit(0))
-            return F.greatest(
-                F.try_divide(count.cast("double"), F.col(total) * F.col("range_width") / bins), F.lit(DENSITY_FLOOR)
-            )
+    def counts(name: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("_bins", i)[name], F.lit(0)))
+
+    arrays = folded.select(
+        *group, "dim", "range_width", counts("baseline_count").alias("baseline"), counts("current_count").alias("current")
+    )
+    return densities_of(arrays, group, bins)
 
-        raw = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), at)
-        # Scaled in a second step, on the materialised array.
-        return raw
 
-    raw = folded.withColumns({"_b": density("baseline_count", "n_baseline"), "_c": density("current_count", "n_current")})
+def densities_of(counts: DataFrame, group: list[str], bins: int = BINS) -> DataFrame:
+    """Densities from count arrays.
+
+    Densities are raised to the floor, then scaled to sum 1. The floor acts on densities, so its weight depends on the
+    width of the bins.
+    """
+
+    def total(name: str) -> Column:
+        return F.aggregate(name, F.lit(0).cast("long"), lambda sum_, n: sum_ + n)
+
+    def raised(name: str, rows: str) -> Column:
+        return F.transform(name, lambda n: F.greatest(
+            F.try_divide(n.cast("double"), F.col(rows) * F.col("range_width") / bins), F.lit(DENSITY_FLOOR)))
+
+    counted = counts.withColumns({"n_baseline": total("baseline"), "n_current": total("current")})
+    # Scaled in a second step, on the materialised arrays.
+    raw = counted.withColumns({"_b": raised("baseline", "n_baseline"), "_c": raised("current", "n_current")})
 
     def scaled(name: str) -> Column:
         total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
@@ -207,7 +185,9 @@ def dimension_scores(dens: DataFrame, group: list[str] | None = None) -> DataFra
 def drift_by_dimension(
     vectors: DataFrame, vector: str = "embedding", side: str = "side", group: list[str] | None = None, bins: int = BINS
 ) -> DataFrame:
-    return dimension_scores(densities(histogram_by_dim(vectors, vector, side, group, bins), group, bins), group)
+    """Scores per (group, dimension), from arrays of counts."""
+    group = group or []
+    return dimension_scores(densities_of(histograms.dim_counts(vectors, vector, side, group, bins), group, bins), group)
 
 
 def psi(scores: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -222,6 +202,19 @@ def kl_divergence(scores: DataFrame, group: list[str] | None = None) -> DataFram
     return scores.groupBy(*(group or [])).agg(F.avg("kl_divergence").alias("kl_divergence"))
 
 
+def drift_by_app(vectors: DataFrame, app: str = "app_id", vector: str = "embedding", side: str = "side", min_current: int = MIN_CURRENT) -> DataFrame:
+    """Mean and highest PSI and mean KL divergence of every app, with the row counts behind it and whether they are enough.
+
+    Each app is compared with its own baseline over its own ranges. An app with rows on one side only has null scores.
+    """
+    scores = drift_by_dimension(vectors, vector, side, [app])
+    both = scores.groupBy(app).agg(
+        F.avg("psi").alias("psi"), F.max("psi").alias("max_psi"), F.avg("kl_divergence").alias("kl_divergence"),
+        F.max("n_baseline").alias("n_baseline"), F.max("n_current").alias("n_current"),
+    )
+    return both.withColumn("enough", (F.col("n_current") >= min_current) & (F.col("n_baseline") > 0))
+
+
 def score_rows(scores: DataFrame, as_of, min_current: int = MIN_CURRENT) -> DataFrame:
     """Rows of the drift table, one per (date, metric, dimension), with the number of current rows
     and whether they are enough for the score to mean something; reports read those only."""

@@ -54,3 +54,20 @@ def flagged_rate(df: DataFrame, ts: str, text: str = "response", threshold: floa
         F.count_if(flagged).alias("flagged"),
         F.avg(flagged.cast("double")).alias("flagged_rate"),
     )
+
+
+def redact(df: DataFrame, text: str = "response", out: str | None = None, cards: bool = False, mask: str = "*") -> DataFrame:
+    """``df`` with personal data in ``text`` masked in place, in ``out`` if given; and ``pii_runs``, the number of masked runs.
+
+    Matches of different patterns may overlap; every maximal run of matched characters is masked as one, character by
+    character, so all other positions stay where they were. Whole texts, of any length; a null text stays null with 0
+    runs. ``mask`` is one character. Nothing is shuffled, and texts without a match are passed on as they are.
+    """
+    if len(mask) != 1:
+        raise ValueError("mask must be one character")
+    words = F.when(pii.has_pii(text, cards), pii.masked_words(text, cards, mask))
+    # In a column of their own: they are used for the text and for the count.
+    found = df.withColumn("_words", words)
+    clean = F.when(F.col("_words").isNotNull(), F.array_join("_words.text", "")).otherwise(F.col(text))
+    runs = F.aggregate(F.coalesce("_words.runs", F.array().cast("array<int>")), F.lit(0), lambda sum_, n: sum_ + n)
+    return found.withColumns({out or text: clean, "pii_runs": runs}).drop("_words")

@@ -100,6 +100,21 @@ def psi(spark, sf):
     return drift.psi(drift.drift_by_dimension(derived.vectors(spark, sf)))
 
 
+APP_VALUES = (
+    f"app_vals AS (SELECT concat('app-', vec_id % 7) AS app_id, side, dim, v::DOUBLE AS v FROM (SELECT vec_id, {SIDE}, "
+    "unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings))"
+)
+
+
+@query("drift_by_app", with_(
+    "SELECT app_id, round(avg(psi), 6) AS psi, round(max(psi), 6) AS max_psi, round(avg(kl_divergence), 6) AS kl_divergence, max(n_baseline) AS n_baseline, "
+    "max(n_current) AS n_current, max(n_current) >= 10 AND max(n_baseline) > 0 AS enough FROM app_scores GROUP BY app_id",
+    APP_VALUES, *drift_ctes("app_vals", "app_id", "app_scores")))
+def drift_by_app(spark, sf):
+    vectors = derived.vectors(spark, sf).withColumn("app_id", F.concat(F.lit("app-"), (F.col("vec_id") % 7).cast("string")))
+    return drift.drift_by_app(vectors)
+
+
 @query("kl_divergence", with_("SELECT round(avg(kl_divergence), 6) AS kl_divergence FROM scores", *PLAIN))
 def kl_divergence(spark, sf):
     return drift.kl_divergence(drift.drift_by_dimension(derived.vectors(spark, sf)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanmill.functions.pii import card_numbers, pii_items
+from spanmill.functions.pii import PATTERNS, card_numbers, pii_items
 from spanmill.operators import pii
 from spanmill.plans import derived, jobs
 from spanmill.plans.catalog.registry import query
@@ -85,3 +85,26 @@ def rate(spark, sf):
     f"WHERE substr(md5(concat('pii-job', span_id)), 1, 8) < '80000000' AND start_time >= {END} - INTERVAL 30 DAY AND start_time < {END}", *PII, QUEUE))
 def job(spark, sf):
     return jobs.pii_job(derived.answers_only(spark, sf), AS_OF, rate=0.5, salt="pii-job", width=MONTH)
+
+
+def _ranges_sql(pattern: str) -> str:
+    """First and last character of every match, from the lengths of what lies between and of the matches."""
+    return (
+        f"SELECT doc_id, CAST(list_sum(list_transform(gaps[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda t: length(t))), 0) + 1 AS BIGINT) AS s, "
+        f"length(hits[i]) AS n FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM documents), unnest(range(1, len(hits) + 1)) AS t(i)"
+    )
+
+
+@query("redact", with_(
+    "SELECT d.doc_id, sha256(coalesce(c.text, d.text)) AS text_sha256, CAST(length(d.text) AS INTEGER) AS n_chars, CAST(coalesce(c.runs, 0) AS INTEGER) AS pii_runs "
+    "FROM documents d LEFT JOIN cleaned c USING (doc_id)",
+    "ranges AS (" + " UNION ALL ".join(_ranges_sql(p) for p in PATTERNS.values()) + ")",
+    "found AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS pos FROM ranges)",
+    "chars AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS c FROM documents WHERE doc_id IN (SELECT doc_id FROM found))",
+    "marked AS (SELECT c.doc_id, c.pos AS place, c.c AS letter, f.pos IS NOT NULL AS h FROM chars c LEFT JOIN found f ON f.doc_id = c.doc_id AND f.pos = c.pos)",
+    "cleaned AS (SELECT doc_id, string_agg(CASE WHEN h THEN '*' ELSE letter END, '' ORDER BY place) AS text, count(*) FILTER (h AND NOT before) AS runs "
+    "FROM (SELECT *, coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY place), false) AS before FROM marked) GROUP BY doc_id)"))
+def redact(spark, sf):
+    """Whole documents, masked in place."""
+    clean = pii.redact(derived.table(spark, sf, "documents"), "text")
+    return clean.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.length("text").alias("n_chars"), "pii_runs")

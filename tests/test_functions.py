@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanmill.functions import genai, labels, pii, sampling, text, times
+from spanmill.operators import pii as pii_operator
 
 
 def one(spark, **columns):
@@ -105,3 +106,29 @@ def test_within_bounds(spark):
 def test_tick_is_the_end_of_its_step(spark):
     ts = F.lit("2024-01-01 00:00:15").cast("timestamp")
     assert one(spark, t=times.tick_of(ts, 15), e=F.unix_seconds(ts)).asDict() == {"t": 1704067230, "e": 1704067215}
+
+
+REDACTED = {
+    "Your SSN is 123-45-6789 and email is test@example.com": ("Your SSN is *********** and email is ****************", 2),
+    "overlap: 123-45-6789@mail.example.org.": ("overlap: ****************************.", 1),
+    "é😀 123-45-6789\tü\n5551234567": ("é😀 ***********\tü\n**********", 2),
+    "12345-123-45-6789 is none, a@b is none": ("12345-*********** is none, a@b is none", 1),
+    "": ("", 0),
+    "no match\n\n  at all ": ("no match\n\n  at all ", 0),
+}
+
+
+def test_redact_masks_maximal_runs_in_place(spark):
+    rows = [(k, *pair) for k, pair in enumerate(REDACTED.items())]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(99, None)], "id int, response string")
+    got = {r["id"]: (r["response"], r["pii_runs"]) for r in pii_operator.redact(docs).collect()}
+    assert got == {**{k: wanted for k, _, wanted in rows}, 99: (None, 0)}
+    kept = pii_operator.redact(docs, out="clean", mask="#").first()
+    assert kept["response"] == rows[0][1] and kept["clean"].count("#") == 27
+
+
+def test_redact_takes_cards_and_very_long_texts(spark):
+    text = "card 4111111111111111 none 4111111111111112 " * 2 + "padding " * 300_000 + "kim@example.org"
+    row = pii_operator.redact(spark.createDataFrame([(text,)], "response string"), cards=True).first()
+    assert row["pii_runs"] == 3 and len(row["response"]) == len(text)
+    assert "4111111111111111" not in row["response"] and row["response"].endswith(" " + "*" * 15) and "4111111111111112" in row["response"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanmill.operators import (
-    alerts, cost, drift, evals, incidents, metrics, quality, rollups, scoring, series, trees,
+    histograms, alerts, cost, drift, evals, incidents, metrics, quality, rollups, scoring, series, trees,
 )
 from spanmill.operators.latest import latest_per_key
 from spanmill.operators.normalize import with_defaults
@@ -312,7 +312,59 @@ def test_equal_sides_have_no_drift_and_the_gate_holds(spark):
     scores = drift.drift_by_dimension(vectors(spark, base, base))
     assert all(r.psi == pytest.approx(0) and r.kl_divergence == pytest.approx(0) for r in scores.collect())
     assert drift.score_rows(scores, AS_OF).count() == 6
-    assert drift.score_rows(drift.drift_by_dimension(vectors(spark, base, base[:9])), AS_OF).count() == 0
+    few = drift.score_rows(drift.drift_by_dimension(vectors(spark, base, base[:9])), AS_OF)
+    assert few.count() == 6 and few.filter("enough").count() == 0
+
+
+def grouped(spark, apps=5, dims=130, seed=2):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for app in range(apps):
+        for k in range(60 if app else 400):
+            side = ("baseline", "current")[int(rng.integers(2))]
+            rows.append((f"app {app}", side, (rng.normal(app, 1 + app, dims) + (side == "current") * 0.5).tolist()))
+    return rows
+
+
+APPS = "app_id string, side string, embedding array<double>"
+
+
+@pytest.mark.parametrize("state", [histograms.STATE_BYTES, 1000])
+def test_drift_by_app_equals_numpy(spark, monkeypatch, state):
+    """Both ways: all groups in a task, and vectors dealt by group with a hot one split."""
+    monkeypatch.setattr(histograms, "STATE_BYTES", state)
+    monkeypatch.setattr(histograms, "SPLIT_ROWS", 100)
+    rows = grouped(spark)
+    got = {r["app_id"]: r for r in drift.drift_by_app(spark.createDataFrame(rows, APPS).repartition(5)).collect()}
+    for app in {r[0] for r in rows}:
+        base, cur = (np.array([v for a, s, v in rows if a == app and s == side]) for side in ("baseline", "current"))
+        scores = numpy_scores(base, cur)
+        assert got[app]["psi"] == pytest.approx(np.mean([p for p, _ in scores]), abs=1e-9)
+        assert got[app]["max_psi"] == pytest.approx(max(p for p, _ in scores), abs=1e-9)
+        assert got[app]["kl_divergence"] == pytest.approx(np.mean([k for _, k in scores]), abs=1e-9)
+        assert (got[app]["n_baseline"], got[app]["n_current"]) == (len(base), len(cur))
+
+
+@pytest.mark.parametrize("state", [histograms.STATE_BYTES, 1000])
+def test_counts_of_odd_vectors(spark, monkeypatch, state):
+    """Nulls, NaN, other lengths, sides and groups without a name."""
+    monkeypatch.setattr(histograms, "STATE_BYTES", state)
+    rows = [("a", "baseline", [0.0, 1.0]), ("a", "current", [10.0, None, 5.0]), ("a", "current", [float("nan"), 3.0]), ("a", "other", [99.0, 99.0]), ("a", "baseline", None), ("a", "baseline", []), (None, "current", [7.0])]
+    got = histograms.dim_counts(spark.createDataFrame(rows, APPS), "embedding", "side", ["app_id"], 10).collect()
+    counted = {(r["app_id"], r["dim"]): (r["range_width"], r["baseline"].index(1) if 1 in r["baseline"] else None, r["current"].index(1) if 1 in r["current"] else None) for r in got}
+    assert counted == {("a", 0): (10.0, 0, 9), ("a", 1): (2.0, 0, 9), ("a", 2): (0.0, None, 0), (None, 0): (0.0, None, 0)}
+    assert histograms.dim_counts(spark.createDataFrame([], APPS), "embedding", "side", [], 10).count() == 0
+
+
+def test_wide_vectors_of_many_apps_make_no_row_for_each_entry(spark):
+    wide = spark.range(1500).select(
+        (F.col("id") % 300).cast("string").alias("app_id"), F.when(F.col("id") % 2 == 0, "baseline").otherwise("current").alias("side"),
+        F.transform(F.sequence(F.lit(1), F.lit(1536)), lambda i: F.sin(i * (F.col("id") + 1))).alias("embedding"))
+    counts = histograms.dim_counts(wide, "embedding", "side", ["app_id"], 10)
+    assert counts.count() == 300 * 1536
+    # Unfolded are salts and the places in a folded piece, never a vector.
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(embedding" not in plan and "explode(vector" not in plan and "MapInArrow" in plan
 
 
 def test_embedding_is_unit_length(spark):
