@@ -81,7 +81,7 @@ def latency_quantiles(spark, sf):
 @query("eval_avg", on_evals(
     f"SELECT evaluated_model AS model, metric_name, round(avg(score), 6) AS avg_score FROM evals WHERE {EVAL_IN_MONTH} GROUP BY 1, 2"))
 def eval_avg(spark, sf):
-    return evals.eval_averages(evals.current_evals(derived.evals(spark, sf)), AS_OF, **MONTH)
+    return evals.eval_averages(derived.current_evals(spark, sf, days=30), AS_OF, **MONTH)
 
 
 @query("hour_count", on_spans(
@@ -94,7 +94,7 @@ def hour_count(spark, sf):
     "SELECT metric_name AS category, round(avg(score), 6) AS score FROM evals "
     f"WHERE metric_name LIKE 'toxicity_%' AND {EVAL_IN_MONTH} GROUP BY 1"))
 def toxicity_breakdown(spark, sf):
-    return evals.toxicity_breakdown(evals.current_evals(derived.evals(spark, sf)), AS_OF)
+    return evals.toxicity_breakdown(derived.current_evals(spark, sf, days=30), AS_OF)
 
 
 @query("model_comparison", on_evals(
@@ -103,13 +103,13 @@ def toxicity_breakdown(spark, sf):
     "round(avg(score) FILTER (metric_name = 'answer_relevancy'), 6) AS answer_relevancy, count(*) AS eval_count "
     f"FROM evals WHERE {EVAL_IN_MONTH} GROUP BY 1"))
 def model_comparison(spark, sf):
-    return evals.model_comparison(evals.current_evals(derived.evals(spark, sf)), AS_OF)
+    return evals.model_comparison(derived.current_evals(spark, sf, days=30), AS_OF)
 
 
 @query("eval_total", on_evals(
     f"SELECT count(*) AS eval_count FROM evals WHERE evaluated_at >= {END} - INTERVAL 7 DAY AND evaluated_at < {END}"))
 def eval_total(spark, sf):
-    return evals.eval_total(evals.current_evals(derived.evals(spark, sf)), AS_OF, **WEEK)
+    return evals.eval_total(derived.current_evals(spark, sf, days=7), AS_OF, **WEEK)
 
 
 @query("psi_trend", with_(
@@ -153,7 +153,7 @@ PASSED = "CASE metric_name WHEN 'faithfulness' THEN score >= 0.7 WHEN 'toxicity'
     "SELECT metric_name, evaluated_model, count(*) AS eval_count, count(*) FILTER (p) AS passed_count, round(avg(p::INT), 12) AS pass_rate "
     f"FROM (SELECT *, {PASSED} AS p FROM evals) WHERE p IS NOT NULL GROUP BY 1, 2"), digits=12)
 def eval_pass_rate(spark, sf):
-    return evals.eval_pass_rate(evals.current_evals(derived.evals(spark, sf)), ["metric_name", "evaluated_model"])
+    return evals.eval_pass_rate(derived.current_evals(spark, sf), ["metric_name", "evaluated_model"])
 
 
 HISTOGRAM = (

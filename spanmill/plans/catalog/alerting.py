@@ -171,7 +171,7 @@ def high_latency(spark, sf):
 @query("low_eval_pass_rate", with_(INTERVALS, EVALS, *EVAL_CTES, *interval_ctes(
     EVAL_SIGNAL, [("LowEvalPassRate", "warning", "eval_pass_ratio", "<", 0.8, DAY, DAY, "Eval pass rate below 80%")])))
 def low_eval_pass_rate(spark, sf):
-    current = evals.current_evals(derived.evals(spark, sf))
+    current = derived.current_evals(spark, sf)
     return alerts.low_eval_pass_rate(current, AS_OF, ["evaluated_model"], DAY, 3 * DAY, DAY)
 
 
@@ -190,7 +190,7 @@ PLAN_CTES = [SPANS, PRICING, PRICED, EVALS, BY_DATE_SQL, *DAILY_LATENCY_CTES]
 
 def plan_signals(spark, sf):
     spans = derived.priced_spans(spark, sf)
-    current = evals.current_evals(derived.evals(spark, sf)).filter("metric_name = 'faithfulness'")
+    current = derived.current_evals(spark, sf).filter("metric_name = 'faithfulness'")
     by_day = alerts.daily_average(current, "evaluated_at", F.col("score"), ["evaluated_model"])
     slow = alerts.latency_p95(spans, ["app_id"], DAY, DAY)
     drifted = daily_drift(spark, sf).withColumn("ts", F.col("score_date").cast("timestamp"))
@@ -221,7 +221,7 @@ ALL_SIGNALS = " UNION ALL ".join([ERROR_SIGNAL, LATENCY_SIGNAL, EVAL_SIGNAL, PLA
 
 
 def all_signals(spark, sf):
-    current = evals.current_evals(derived.evals(spark, sf))
+    current = derived.current_evals(spark, sf)
     passing = alerts.as_signal(
         alerts.eval_pass_ratio(current, ["evaluated_model"], DAY, 3 * DAY), "eval_pass_ratio", F.col("evaluated_model"))
     return alerts.union_signals(error_signal(spark, sf), latency_signal(spark, sf), passing, plan_signals(spark, sf))

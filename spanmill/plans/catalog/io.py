@@ -153,5 +153,5 @@ LINES = [
 
 @query("prom_export", with_("SELECT line FROM page", SPANS, EVALS, *LINES))
 def prom_export(spark, sf):
-    current = evals.current_evals(derived.evals(spark, sf))
+    current = derived.current_evals(spark, sf, days=30)
     return exposition(derived.spans(spark, sf), current, AS_OF, days=30).select("line")

@@ -43,7 +43,7 @@ def waterfall(spark, sf):
     "SELECT e.trace_id, e.span_id, metric_name, round(score, 6) AS score, provider, model, service_name, status_code, duration_ms, start_time "
     "FROM evals e JOIN spans s USING (trace_id, span_id)", SPANS, EVALS))
 def eval_to_span(spark, sf):
-    current = evals.current_evals(derived.evals(spark, sf))
+    current = derived.current_evals(spark, sf)
     return evals.eval_to_span(current, derived.spans(spark, sf)).select(
         "trace_id", "span_id", "metric_name", "score", "provider", "model", "service_name", "status_code", "duration_ms", "start_time")
 

@@ -51,7 +51,7 @@ def rollup_hour(spark, sf):
 
 @query("eval_daily", on_evals(DAILY.format("evals")))
 def eval_daily(spark, sf):
-    return rollups.eval_daily(evals.current_evals(derived.evals(spark, sf)))
+    return rollups.eval_daily(derived.current_evals(spark, sf))
 
 
 @query("merge_rollup", on_priced(rollup_sql("minute")), digits=9)
@@ -88,5 +88,5 @@ def latency_series_merged(spark, sf):
     "SELECT strftime(day, '%Y-%m-%d') AS day, evaluated_model AS model, metric_name AS metric, avg_score, eval_count FROM ("
     + DAILY.format("evals") + f") WHERE metric_name = 'faithfulness' AND day >= {END} - INTERVAL 30 DAY AND day < {END}"))
 def faithfulness_trend(spark, sf):
-    daily = rollups.eval_daily(evals.current_evals(derived.evals(spark, sf)))
+    daily = rollups.eval_daily(derived.current_evals(spark, sf, days=30))
     return evals.faithfulness_trend(daily, AS_OF)
