@@ -11,12 +11,20 @@ that reach the threshold differ in at most H n-grams, so
 
 ``allocate`` chooses for each band by expected cost: subsets are fewer, neighbourhoods are more selective and need no
 well-filled segments. Every set carries a reserve of signatures beyond the H + 1 that pigeonhole asks for, so
-signatures that very many sets share may be left out as long as no set loses more of them than its reserve. Sets that
-do are searched again with neighbourhoods alone, and what is left after that without leaving anything out.
+signatures that very many sets share may be left out as long as no set loses more of them than its reserve.
 
 A shared signature never means all pairs. Its sets are first compared with one leader; where that joins them all, the
 signature is done. Pairs of different classes are formed only for signatures of few sets, and are verified only if
 they share as many signatures as the pigeonhole demands.
+
+Sets that lose more signatures than their reserve, or whose n-grams fill too few segments, are few; any link between
+two sets that the signatures miss lies between two of them. They are searched again by the n-grams themselves, rarest
+first: sets of sizes a and b that share c n-grams have one of their a - c + 1 and b - c + 1 rarest in common. Keys carry
+the steps of both sizes, so c is nearly that of the pair, and what many texts share stays out of the keys as long as a
+text has enough of its own. Keys of many sets that share a pivot become one family, whose sets meet leaders, ``LEADERS``
+at a time, those of small classes first, until the family is of one class or all have led; again no key forms all its
+pairs. A pair of leader and set goes to verification only if parity bits of their n-grams, of which a different n-gram
+changes at most one, differ in no more places than the sizes allow.
 """
 
 from __future__ import annotations
@@ -39,6 +47,10 @@ from spanmill.session import counted_copy, cut_lineage, settings, work_path
 WORDS, PERCENT = 5, 80
 #: A signature of more sets than this is left out of pair forming (see the module's text for why none is lost).
 FEW = 24
+#: Sets of a family that lead in one round.
+LEADERS = 256
+#: Parity bits of a set, in longs of 64.
+_PARITY_LONGS = 32
 #: Texts whose signatures are dealt together, in bytes; bounds a task's memory.
 CHUNK_BYTES = 8 << 20
 _FILL = 2.6
@@ -95,13 +107,11 @@ def allocate(high: int, low: int, percent: int) -> tuple[int, bool]:
 
 
 @lru_cache
-def bands(percent: int, deletions_only: bool) -> tuple[Band, ...]:
+def bands(percent: int) -> tuple[Band, ...]:
     found, below, high = [], 0, 8
     while below < 1 << 40:
         low = -(-(below + 1) * percent // 100)
         segments, deletions = allocate(high, low, percent)
-        if deletions_only:
-            segments, deletions = differences(high, high, percent) // 2 + 1 + (2 if high > 8 else 0) + high // 200, True
         found.append(Band(len(found), low, high, segments, deletions))
         below, high = high, int(high * _RATIO)
     return tuple(found)
@@ -167,16 +177,18 @@ def _band_signatures(band: Band, grams: np.ndarray, owners: np.ndarray, sizes: n
     place, text = key[begin] % band.segments, key[begin] // band.segments
     usable = length >= 2 if band.segments > 1 else length >= 1
     salted = mix(place.astype(np.uint64) ^ salt)
-    begin, length, total, text, salted = (x[usable] for x in (begin, length, total, text, salted))
-    per_text = np.bincount(text, minlength=len(sizes))
+    per_text = np.bincount(text[usable], minlength=len(sizes))
     if band.deletions:
         halves = (demand - 1) // 2 + 1
         lost[member] = (halves - per_text)[member]
-        every = np.repeat(np.arange(len(begin)), length)
-        less = total[every] - g[ranges(begin, length)]
+        # A segment of one n-gram counts for nothing, but is what a partner's segment of two becomes by one deletion.
+        several = np.flatnonzero(length >= 2)
+        every = np.repeat(several, length[several])
+        less = total[every] - g[ranges(begin[several], length[several])]
         values = np.concatenate([total, less]) ^ np.concatenate([salted, salted[every]])
         texts = np.concatenate([text, text[every]])
     else:
+        begin, length, total, text, salted = (x[usable] for x in (begin, length, total, text, salted))
         quota = demand + reserve(sizes)
         rank = np.arange(len(text)) - np.searchsorted(text, text)
         chosen = rank < quota[text]
@@ -185,7 +197,7 @@ def _band_signatures(band: Band, grams: np.ndarray, owners: np.ndarray, sizes: n
     return mix(values), texts, member, lost
 
 
-def _signature_rows(words: int, percent: int, deletions_only: bool, parts: int):
+def _signature_rows(words: int, percent: int, parts: int):
     """Batches of (doc_id, text) to blocks of signatures by part, and one row for each document."""
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("block", pa.binary()), ("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("lost", pa.int64())])
 
@@ -230,7 +242,7 @@ def _signature_rows(words: int, percent: int, deletions_only: bool, parts: int):
                 sizes = np.bincount(owners, minlength=s.n)
                 nodes = _set_ids(grams, owners, sizes)
                 worst = np.full(s.n, -(1 << 30), np.int64)
-                for band in bands(percent, deletions_only):
+                for band in bands(percent):
                     if not ((sizes >= band.low) & (sizes <= band.high)).any():
                         continue
                     values, texts, member, lost = _band_signatures(band, grams, owners, sizes, percent)
@@ -303,12 +315,12 @@ def _shared(batches: Batches) -> Batches:
         yield from settle(pairs)
 
 
-def _search(docs: DataFrame, words: int, percent: int, deletions_only: bool) -> tuple[DataFrame, DataFrame]:
+def _search(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(signature, node, leader) of the shared signatures; (doc_id, size, node, lost) of every document."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * tasks
-    dealt = in_arrow(docs.select("doc_id", "text"), _signature_rows(words, percent, deletions_only, parts), "part int, kind byte, block binary, doc_id bigint, size bigint, node bigint, lost bigint")
+    dealt = in_arrow(docs.select("doc_id", "text"), _signature_rows(words, percent, parts), "part int, kind byte, block binary, doc_id bigint, size bigint, node bigint, lost bigint")
     path = work_path(spark, "signatures")
     in_arrow(dealt.repartition(tasks, "part").sortWithinPartitions("part"), _shared, "kind byte, signature bigint, node bigint, leader bigint, doc_id bigint, size bigint, lost bigint").write.partitionBy("kind").parquet(path)
     found = spark.read.schema("kind int, signature bigint, node bigint, leader bigint, doc_id bigint, size bigint, lost bigint").parquet(path)
@@ -374,18 +386,183 @@ def _plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(sizes & shares).select("a", "b")
 
 
-def _pairs_between(rows: DataFrame) -> DataFrame:
-    """(a, b, together): sets of different classes and how many signatures of ``rows`` they share."""
+def _pairs_between(rows: DataFrame, plausible: Column | None = None) -> DataFrame:
+    """(a, b, together): sets of different classes and how many signatures of ``rows`` they share, those of ``plausible`` only."""
     one, two = rows.alias("one"), rows.alias("two")
     met = (F.col("one.signature") == F.col("two.signature")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.class") != F.col("two.class"))
+    if plausible is not None:
+        met &= plausible
     return one.join(two, met).groupBy(F.col("one.node").alias("a"), F.col("two.node").alias("b")).agg(F.count(F.lit(1)).alias("together"))
 
 
 def _still_open(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(signature, node, class, sets) of the signatures whose sets are not all in one class yet."""
-    classed = shared.join(classes, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("class"))
+    """``shared`` with class and sets: the signatures whose sets are not all in one class yet, and how many sets they have."""
+    classed = cut_lineage(shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"))
     mixed = classed.groupBy("signature").agg(F.count(F.lit(1)).alias("sets"), F.min("class").alias("low"), F.max("class").alias("high"))
-    return cut_lineage(classed.join(mixed.filter("low <> high").select("signature", "sets"), "signature"))
+    mixed = cut_lineage(mixed.withColumn("key_rows", F.col("sets")))
+    joined = join_per_key(classed, mixed, ["signature"], "node", how="inner", match=F.col("low") != F.col("high"), hot_floor=5_000)
+    return cut_lineage(joined.drop("low", "high"))
+
+
+# ---- sets that the signatures cannot speak for ----
+
+#: Sizes of one step differ by at most this ratio.
+_STEP_RATIO = 1.02
+
+
+@lru_cache
+def steps() -> np.ndarray:
+    """The smallest size of every step."""
+    found = [1]
+    while found[-1] < 1 << 40:
+        found.append(max(found[-1] + 1, int(found[-1] * _STEP_RATIO)))
+    return np.array(found, np.int64)
+
+
+def least_common(a, b, percent: int):
+    """The fewest common n-grams of linked sets of sizes ``a`` and ``b``; of numbers or columns of numbers."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _gram_rows(words: int):
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                nodes = batch.column("node").slice(s.first, s.n)
+                grams, owners = _unique_shingles(s.lower(), words)
+                for at in range(0, len(grams), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(owners[part])), pa.array(grams[part].view(np.int64))], ["node", "gram"])
+
+    return run
+
+
+def _prefix_rows(percent: int):
+    """Sets with their n-grams (n, gram), rarest first, to keys of the rarest: (signature, node, place, size)."""
+
+    def run(batches: Batches) -> Batches:
+        lowest = steps()
+        for batch in batches:
+            found = []
+            for node, listed in zip(batch.column("node").to_pylist(), batch.column("grams"), strict=True):
+                counts, grams = (listed.values.field(k).to_numpy() for k in (0, 1))
+                size = len(grams)
+                smallest, largest = -(-percent * size // 100), 100 * size // percent
+                own = int(np.searchsorted(lowest, size, "right")) - 1
+                first, last = (int(np.searchsorted(lowest, x, "right")) - 1 for x in (smallest, largest))
+                for other in range(first, last + 1):
+                    partner = max(int(lowest[other]), smallest)
+                    # An n-gram that no other set has keeps its place but makes no key.
+                    place = np.flatnonzero(counts[: size - least_common(size, partner, percent) + 1] > 1)
+                    steps_ = np.uint64((min(own, other) << 32) | max(own, other))
+                    found.append((mix(grams[place].view(np.uint64) ^ mix(np.array([steps_]))[0]).view(np.int64), np.full(len(place), node), place, np.full(len(place), size)))
+            if found:
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                for at in range(0, len(columns[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)], pa.int64()) for c in columns], ["signature", "node", "place", "size"])
+
+    return run
+
+
+def _prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(signature, node, place, size) of the sets of ``texts`` (node, text): keys of their rarest n-grams."""
+    grams = cut_lineage(in_arrow(texts.select("node", "text"), _gram_rows(words), "node bigint, gram bigint"))
+    counts = cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).withColumn("key_rows", F.col("n")))
+    ranked = join_per_key(grams, counts, ["gram"], "node", hot_floor=5_000)
+    listed = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    return cut_lineage(in_arrow(listed, _prefix_rows(percent), "signature bigint, node bigint, place bigint, size bigint"))
+
+
+def _reach(one: str, two: str, percent: int) -> Column:
+    """Whether sets that meet in these places can have enough in common behind them, if it is their first meeting."""
+    def of(name: str) -> tuple[Column, Column]:
+        return F.col(f"{one}.{name}"), F.col(f"{two}.{name}")
+
+    (size_a, size_b), (place_a, place_b) = of("size"), of("place")
+    return F.least(size_a - place_a, size_b - place_b) * (100 + percent) >= percent * (size_a + size_b)
+
+
+def _parities(texts: DataFrame, words: int) -> DataFrame:
+    """(node, bits): for each set as many parity bits as ``_PARITY_LONGS`` longs hold; every n-gram flips one."""
+
+    def run(batches: Batches) -> Batches:
+        width = 64 * _PARITY_LONGS
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                grams, owners = _unique_shingles(s.lower(), words)
+                flips = np.bincount(owners * width + (mix(grams) % np.uint64(width)).astype(np.int64), minlength=s.n * width) & 1
+                packed = np.packbits(flips.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(-1, _PARITY_LONGS)
+                offsets = pa.array(np.arange(s.n + 1) * _PARITY_LONGS, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(s.first, s.n), pa.ListArray.from_arrays(offsets, pa.array(packed.ravel()))], ["node", "bits"])
+
+    return cut_lineage(in_arrow(texts.select("node", "text"), run, "node bigint, bits array<bigint>"))
+
+
+def _may_link(one: str, two: str, percent: int) -> Column:
+    """Whether sizes and parity bits allow a link."""
+    def of(name: str) -> tuple[Column, Column]:
+        return F.col(f"{one}.{name}"), F.col(f"{two}.{name}")
+
+    (size_a, size_b), (bits_a, bits_b) = of("size"), of("bits")
+    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, n: sum_ + n)
+    sizes = 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
+    return sizes & (apart * (100 + percent) <= (size_a + size_b) * (100 - percent))
+
+
+def _leader_pairs(rows: DataFrame, leaders: int, allowed) -> tuple[DataFrame, DataFrame]:
+    """Up to ``leaders`` sets of every signature against its other sets: (a, b) of different classes that ``allowed`` lets pass, and (signature, node) of the leaders.
+
+    Sets of the classes with the fewest sets in a signature lead: once they have, the largest class is alone.
+    """
+    kept = [c for c in rows.columns if c not in ("signature", "sets")]
+    per_class = cut_lineage(rows.groupBy("signature", "class").agg(F.count(F.lit(1)).alias("key_rows")).withColumn("kin", F.col("key_rows")))
+    rows = cut_lineage(join_per_key(rows, per_class, ["signature", "class"], "node", hot_floor=5_000))
+    slot = F.pmod(F.xxhash64("node"), F.lit(leaders))
+    first = rows.groupBy("signature", slot.alias("slot")).agg(F.min(F.struct("kin", *kept)).alias("leader"), F.count(F.lit(1)).alias("n"))
+    listed = cut_lineage(first.groupBy("signature").agg(F.collect_list("leader").alias("leaders"), F.sum("n").alias("key_rows")))
+    met = join_per_key(rows, listed, ["signature"], "node", hot_floor=5_000).select(F.struct(*kept).alias("one"), F.explode("leaders").alias("two"))
+    other = (F.col("one.class") != F.col("two.class")) & (F.col("one.node") != F.col("two.node"))
+    met = met.filter(F.when(other, allowed("one", "two")).otherwise(False))
+    pairs = met.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).distinct()
+    return pairs, listed.select("signature", F.explode("leaders.node").alias("node"))
+
+
+def _families(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """(signature, node, size, bits): the sets of all keys that have the same pivot, the set of smallest hash in a key."""
+    pivots = rows.groupBy("signature").agg(F.min(F.struct(F.xxhash64("node").alias("hash"), "node")).alias("pivot"), F.count(F.lit(1)).alias("key_rows"))
+    pivots = cut_lineage(pivots.select("signature", F.col("pivot.node").alias("pivot"), "key_rows"))
+    met = join_per_key(rows.select("signature", "node", "size"), pivots, ["signature"], "node", hot_floor=5_000)
+    return cut_lineage(met.select(F.col("pivot").alias("signature"), "node", "size").distinct().join(bits, "node"))
+
+
+def _rest(texts: DataFrame, classes, add, words: int, percent: int) -> None:
+    """Add the links between the sets of ``texts`` (node, text) that ``classes()`` does not connect yet.
+
+    First one leader for each key, which settles groups of copies; then pairs where few sets share a key; then families.
+    Leaders have met all sets of their family and leave it, so each round is smaller.
+    """
+    def reach(one: str, two: str) -> Column:
+        return _reach(one, two, percent)
+
+    def may_link(one: str, two: str) -> Column:
+        return _may_link(one, two, percent)
+
+    rows = _still_open(_prefixes(texts, words, percent), classes())
+    pairs, _ = _leader_pairs(rows, 1, reach)
+    add(pairs)
+    rows = _still_open(rows.select("signature", "node", "place", "size"), classes())
+    add(_pairs_between(rows.filter(F.col("sets") <= FEW), reach("one", "two")).select("a", "b"))
+    rows, crowded, _ = counted_copy(rows.filter(F.col("sets") > FEW), F.lit(False))
+    if not crowded:
+        return
+    rows = _families(rows, _parities(texts.join(rows.select("node").distinct(), "node", "left_semi"), words))
+    while True:
+        rows, count, _ = counted_copy(_still_open(rows, classes()), F.lit(False))
+        if not count:
+            return
+        pairs, led = _leader_pairs(rows, LEADERS, may_link)
+        add(pairs)
+        rows = rows.join(led, ["signature", "node"], "left_anti").select("signature", "node", "size", "bits")
 
 
 def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[list[DataFrame], DataFrame]:
@@ -394,33 +571,27 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     The links are not all pairs that reach the threshold: they connect exactly the sets that all of them connect.
     """
     links: list[DataFrame] = []
-    documents, remaining = None, docs
 
     def add(pairs: DataFrame) -> None:
         found = _verified(pairs, docs, facts, words, percent)
         if found is not None:
             links.append(found)
 
-    for deletions_only in (False, True):
-        shared, members = _search(remaining, words, percent, deletions_only)
-        documents = members if documents is None else documents
-        facts = cut_lineage(members.groupBy("node").agg(F.min("size").alias("size"), F.max("lost").alias("lost"), F.min("doc_id").alias("doc_id")).withColumn("crowded", F.lit(0)))
-        # Leaders first: a group of copies is joined by one comparison for each of its sets.
-        star = shared.filter("leader is not null").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("together"))
-        add(_plausible(star, facts, percent))
-        # Then pairs of different classes, where few sets share a signature.
-        rows = _still_open(shared, _classes(docs, links))
-        crowded = rows.filter(F.col("sets") > FEW).groupBy("node").agg(F.count(F.lit(1)).alias("crowded"))
-        facts = cut_lineage(facts.drop("crowded").join(crowded, "node", "left").fillna(0, ["crowded"]))
-        add(_plausible(_pairs_between(rows.filter(F.col("sets") <= FEW)), facts, percent))
-        # Sets that fall short of the pigeonhole's demand go on to the next search.
-        left, count, _ = counted_copy(facts.filter((F.col("lost") + F.col("crowded") > 0) & F.col("doc_id").isNotNull()).select("node"), F.lit(False))
-        if not count:
-            return links, documents
-        if not deletions_only:
-            remaining = _documents_of(left, docs, facts)
-    rows = _still_open(shared.join(left, "node"), _classes(docs, links))
-    add(_plausible(_pairs_between(rows), facts.withColumn("crowded", F.lit(0)), percent))
+    shared, documents = _search(docs, words, percent)
+    facts = cut_lineage(documents.groupBy("node").agg(F.min("size").alias("size"), F.max("lost").alias("lost"), F.min("doc_id").alias("doc_id")).withColumn("crowded", F.lit(0)))
+    # Leaders first: a group of copies is joined by one comparison for each of its sets.
+    star = shared.filter("leader is not null").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("together"))
+    add(_plausible(star, facts, percent))
+    # Then pairs of different classes, where few sets share a signature.
+    rows = _still_open(shared.select("signature", "node"), _classes(docs, links))
+    crowded = rows.filter(F.col("sets") > FEW).groupBy("node").agg(F.count(F.lit(1)).alias("crowded"))
+    facts = cut_lineage(facts.drop("crowded").join(crowded, "node", "left").fillna(0, ["crowded"]))
+    add(_plausible(_pairs_between(rows.filter(F.col("sets") <= FEW)), facts, percent))
+    # Sets that fall short of the pigeonhole's demand are searched again, by their rarest n-grams.
+    left, count, _ = counted_copy(facts.filter((F.col("lost") + F.col("crowded") > 0) & F.col("doc_id").isNotNull()).select("node"), F.lit(False))
+    if count:
+        texts = _documents_of(left, docs, facts).dropDuplicates(["node"])
+        _rest(texts, lambda: _classes(docs, links), add, words, percent)
     return links, documents
 
 
