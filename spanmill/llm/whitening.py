@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, Window
@@ -189,7 +189,8 @@ def whiten(
     fit = Fit(n, np.array([s // n for s in sums], np.int64), [s % n for s in sums], np.zeros(0), 0.0, np.zeros((dims, 0)))
     centre = fit.centred
     entries = blocks.select("block", "x").rdd.map(lambda r: ((r["block"], 0), _as_block(centre(_rows(r["x"], dims)), rows_per_block)))
-    table = BlockMatrix(entries, rows_per_block, dims, n_blocks * rows_per_block, dims)
+    # Both products read the blocks, each twice. Kept on the executors' disks; a lost executor's are made again.
+    table = BlockMatrix(entries, rows_per_block, dims, n_blocks * rows_per_block, dims).persist(StorageLevel.DISK_ONLY)
     scatter = _times(table.transpose(), table, -(-n_blocks // BLOCKS_PER_SPLIT)).toLocalMatrix().toArray()
 
     covariance = scatter / n
@@ -197,6 +198,7 @@ def whiten(
     order = np.argsort(-values, kind="stable")[:components]
     order = order[values[order] > _FLAT * max(values.max(), 0)]
     if not len(order) or values.max() <= 0:
+        table._java_matrix_wrapper.call("blocks").unpersist(False)
         return empty
     fit = Fit(n, fit.whole, fit.rest, values[order], float(np.trace(covariance)), directions[:, order] / np.sqrt(values[order]))
     width = len(order)
@@ -204,6 +206,7 @@ def whiten(
     product = _times(table, whitening, 1).blocks.map(lambda b: (b[0][0], bytearray(np.ascontiguousarray(b[1].toArray()).tobytes())))
     whitened = spark.createDataFrame(product, "block int, whitened binary")
     projected = cut_lineage(blocks.join(whitened, "block"))
+    table._java_matrix_wrapper.call("blocks").unpersist(False)
     error = identity_error(projected, n, width)
     shares = (fit.values / fit.trace).tolist()
 
