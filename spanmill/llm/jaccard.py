@@ -198,8 +198,8 @@ def _band_signatures(band: Band, grams: np.ndarray, owners: np.ndarray, sizes: n
 
 
 def _signature_rows(words: int, percent: int, parts: int):
-    """Batches of (doc_id, text) to blocks of signatures by part, and one row for each document."""
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("block", pa.binary()), ("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("lost", pa.int64())])
+    """Batches of (doc_id, text, text_hash) to blocks of signatures by part, and one row for each document."""
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("block", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("lost", pa.int64())])
 
     def deal(values, nodes, turn) -> Iterator[pa.RecordBatch]:
         """Blocks of (signature, node). Sets that share a signature within the chunk are told apart here: one leads."""
@@ -229,14 +229,14 @@ def _signature_rows(words: int, percent: int, parts: int):
             blocks.append(np.concatenate([values[rest].view(np.int64), nodes[rest], nodes[leader[rest]]]).tobytes())
             kinds.append(1)
         none = [None] * len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blocks, pa.binary()), *(pa.array(none, pa.int64()) for _ in range(4))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blocks, pa.binary()), *(pa.array(none, pa.int64()) for _ in range(5))], schema=schema)
 
     def run(batches: Batches) -> Batches:
         held_values, held_nodes, held, turn = [], [], 0, 0
         for batch in batches:
             for s in slices(batch.column("text")):
                 turn += 1
-                ids = batch.column("doc_id").slice(s.first, s.n)
+                ids, hashes = (batch.column(c).slice(s.first, s.n) for c in ("doc_id", "text_hash"))
                 s = s.lower()
                 grams, owners = _unique_shingles(s, words)
                 sizes = np.bincount(owners, minlength=s.n)
@@ -251,7 +251,7 @@ def _signature_rows(words: int, percent: int, parts: int):
                     held_nodes.append(nodes[texts])
                 n = s.n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.arange(n) + turn) % parts, pa.int32()), pa.array(np.full(n, 2), pa.int8()), pa.nulls(n, pa.binary()), ids, pa.array(sizes, pa.int64()), pa.array(nodes), pa.array(worst)],
+                    [pa.array((np.arange(n) + turn) % parts, pa.int32()), pa.array(np.full(n, 2), pa.int8()), pa.nulls(n, pa.binary()), ids, hashes, pa.array(sizes, pa.int64()), pa.array(nodes), pa.array(worst)],
                     schema=schema,
                 )
                 held += len(s.data)
@@ -269,11 +269,11 @@ def _shared(batches: Batches) -> Batches:
 
     Rows come in the order of their part, and one part is held at a time.
     """
-    schema = pa.schema([("kind", pa.int8()), ("signature", pa.int64()), ("node", pa.int64()), ("leader", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("lost", pa.int64())])
+    schema = pa.schema([("kind", pa.int8()), ("signature", pa.int64()), ("node", pa.int64()), ("leader", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int64()), ("lost", pa.int64())])
 
     def rows(signature, node, leader, known) -> pa.RecordBatch:
         none = pa.nulls(len(node), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(node)), pa.int8()), pa.array(signature), pa.array(node), pa.array(leader, mask=~known), none, none, none], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(node)), pa.int8()), pa.array(signature), pa.array(node), pa.array(leader, mask=~known), none, none, none, none], schema=schema)
 
     def settle(pairs: list[np.ndarray]) -> Batches:
         signature, node = np.concatenate(pairs, axis=1)
@@ -298,7 +298,7 @@ def _shared(batches: Batches) -> Batches:
         if len(documents):
             n = len(documents)
             yield pa.RecordBatch.from_arrays(
-                [documents.column("kind"), pa.nulls(n, pa.int64()), documents.column("node"), pa.nulls(n, pa.int64()), documents.column("doc_id"), documents.column("size"), documents.column("lost")],
+                [documents.column("kind"), pa.nulls(n, pa.int64()), documents.column("node"), pa.nulls(n, pa.int64()), *(documents.column(c) for c in ("doc_id", "text_hash", "size", "lost"))],
                 schema=schema,
             )
         for number, kind, block in zip(batch.column("part").to_pylist(), kinds, batch.column("block"), strict=True):
@@ -315,16 +315,21 @@ def _shared(batches: Batches) -> Batches:
         yield from settle(pairs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash): rows may share an id, so a text is known by both."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
 def _search(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(signature, node, leader) of the shared signatures; (doc_id, size, node, lost) of every document."""
+    """(signature, node, leader) of the shared signatures; (doc_id, text_hash, size, node, lost) of every document."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * tasks
-    dealt = in_arrow(docs.select("doc_id", "text"), _signature_rows(words, percent, parts), "part int, kind byte, block binary, doc_id bigint, size bigint, node bigint, lost bigint")
+    dealt = in_arrow(_keyed(docs), _signature_rows(words, percent, parts), "part int, kind byte, block binary, doc_id bigint, text_hash bigint, size bigint, node bigint, lost bigint")
     path = work_path(spark, "signatures")
-    in_arrow(dealt.repartition(tasks, "part").sortWithinPartitions("part"), _shared, "kind byte, signature bigint, node bigint, leader bigint, doc_id bigint, size bigint, lost bigint").write.partitionBy("kind").parquet(path)
-    found = spark.read.schema("kind int, signature bigint, node bigint, leader bigint, doc_id bigint, size bigint, lost bigint").parquet(path)
-    return found.filter("kind = 1").select("signature", "node", "leader").distinct(), found.filter("kind = 2").select("doc_id", "size", "node", "lost")
+    in_arrow(dealt.repartition(tasks, "part").sortWithinPartitions("part"), _shared, "kind byte, signature bigint, node bigint, leader bigint, doc_id bigint, text_hash bigint, size bigint, lost bigint").write.partitionBy("kind").parquet(path)
+    found = spark.read.schema("kind int, signature bigint, node bigint, leader bigint, doc_id bigint, text_hash bigint, size bigint, lost bigint").parquet(path)
+    return found.filter("kind = 1").select("signature", "node", "leader").distinct(), found.filter("kind = 2").select("doc_id", "text_hash", "size", "node", "lost")
 
 
 def _plain_words(text: Column) -> Column:
@@ -359,9 +364,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 def _documents_of(nodes: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(node, doc_id, text) for ``nodes`` (node): the first document of each."""
-    wanted = cut_lineage(nodes.join(facts.filter("doc_id IS NOT NULL").select("node", "doc_id"), "node"))
+    wanted = cut_lineage(nodes.join(facts.filter("doc_id IS NOT NULL").select("node", "doc_id", "text_hash"), "node"))
     with settings(docs.sparkSession, PRUNED):
-        return cut_lineage(docs.select("doc_id", "text").join(wanted.filter("doc_id > -9223372036854775808"), "doc_id").select("node", "doc_id", "text"))
+        return cut_lineage(_keyed(docs).join(wanted.filter("doc_id > -9223372036854775808"), ["doc_id", "text_hash"]).select("node", "doc_id", "text"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, words: int, percent: int) -> DataFrame | None:
@@ -566,7 +571,7 @@ def _rest(texts: DataFrame, classes, add, words: int, percent: int) -> None:
 
 
 def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[list[DataFrame], DataFrame]:
-    """Tables of links (a, b) between sets, and (doc_id, size, node, lost) of all documents.
+    """Tables of links (a, b) between sets, and (doc_id, text_hash, size, node, lost) of all documents.
 
     The links are not all pairs that reach the threshold: they connect exactly the sets that all of them connect.
     """
@@ -578,7 +583,9 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
             links.append(found)
 
     shared, documents = _search(docs, words, percent)
-    facts = cut_lineage(documents.groupBy("node").agg(F.min("size").alias("size"), F.max("lost").alias("lost"), F.min("doc_id").alias("doc_id")).withColumn("crowded", F.lit(0)))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first")
+    sets = documents.groupBy("node").agg(F.min("size").alias("size"), F.max("lost").alias("lost"), first)
+    facts = cut_lineage(sets.select("node", "size", "lost", "first.*", F.lit(0).alias("crowded")))
     # Leaders first: a group of copies is joined by one comparison for each of its sets.
     star = shared.filter("leader is not null").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("together"))
     add(_plausible(star, facts, percent))
@@ -618,3 +625,24 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     joined = join_per_key(filled, smallest, ["class"], "doc_id", hot_floor=5_000)
     joined = joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return joined.union(classed.filter("size = 0").select("doc_id", F.col("size"), F.col("doc_id")))
+
+
+def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each class of ``jaccard_classes``: the smallest doc_id, then the smallest hash of the text.
+
+    Rows are judged by doc_id and text together, so what shares an id with a copy stays. Edge cases: a row without
+    doc_id comes after all others of its class; of rows with the same id and text one stays; texts without words all
+    stay. An empty table gives an empty result; other columns pass through, whatever their names.
+    """
+    links, documents = jaccard_links(docs, words, percent)
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash").alias("key")
+    classed = documents.join(_classes(docs, links), "node", "left").filter("size > 0")
+    classed = cut_lineage(classed.select("doc_id", F.coalesce("component", "node").alias("class"), key))
+    first = classed.groupBy("class").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("key_rows"))
+    judged = cut_lineage(join_per_key(classed, first, ["class"], "doc_id", hot_floor=5_000).select("key", (F.col("key") == F.col("first")).alias("stays")))
+    gone = cut_lineage(judged.filter("NOT stays").select("key").distinct())
+    again = cut_lineage(judged.filter("stays").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("text_hash")).alias("key")
+    left = docs.select(F.struct("*").alias("row"), own).join(gone, "key", "left_anti")
+    once = left.join(again, "key", "left_anti").union(left.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return once.select("row.*")

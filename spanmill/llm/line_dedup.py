@@ -196,18 +196,19 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
 
     Edge cases: a null text stays null and an empty text empty; rows without doc_id count as the last document; rows
     that share a doc_id share its places, so a line at the same place of both stays in both. Documents that lose all
-    lines stay with an empty text. An empty table gives an empty result; other columns pass through.
+    lines stay with an empty text. An empty table gives an empty result; other columns pass through, whatever their names.
     """
-    removed = cut_lineage(removed_lines(docs, max_edits, min_chars)).select(F.col("place").alias("_place"), F.col("removed").alias("_removed"))
-    lines = F.split("text", "\n")
-    marks = F.concat(F.array(F.lit(-1)), F.col("_removed"), F.array(F.size(lines)))
+    removed = cut_lineage(removed_lines(docs, max_edits, min_chars)).select("place", "removed")
+    lines = F.split("row.text", "\n")
+    marks = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(F.size(lines)))
     kept = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.size("_removed") + 1),
+        F.sequence(F.lit(1), F.size("removed") + 1),
         lambda j: F.slice(lines, F.element_at(marks, j) + 2, F.element_at(marks, j + 1) - F.element_at(marks, j) - 1),
     ))
-    joined = docs.withColumn("_place", F.coalesce("doc_id", F.lit(_LAST))).join(removed, "_place", "left")
-    text = F.when(F.col("_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).select(docs.columns)
+    # The row is one column here, so that no name of its own can meet ours.
+    joined = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("place")).join(removed, "place", "left")
+    text = F.when(F.col("removed").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

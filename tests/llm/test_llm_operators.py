@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import DOC_SCHEMA, contamination, doc_frame, edits, gone_lines, jaccard_components, quality_measures, repeats
+from brute import DOC_SCHEMA, contamination, doc_frame, edits, gone_lines, jaccard_components, quality_measures, repeats, shingles
 from pyspark.sql import functions as F
 
 from spanmill.llm import chat, decontaminate, html_text, jaccard, licenses, line_dedup, packing, quality, repeats as repeats_op, token_files
@@ -77,6 +77,31 @@ def test_jaccard_repeated_and_missing_ids(spark):
     assert found == sorted([(5, 26, 5), (5, 26, 5), (None, 26, None), (9, 26, 5), (7, 0, 7), (None, 0, None)], key=str)
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    """Links are verified on the right text, and one row of each class stays."""
+    base, other = sentence(100), sentence(100)
+    near, far = changed(base, 1), changed(other, 1)
+    docs = [(1, base), (2, base), (2, other), (2, near), (3, far), (5, "x y"), (5, "x y"), (None, "p q r"), (None, "p q r"), (None, base), (7, ""), (7, None), (8, " ")]
+    found = sorted(rows(jaccard.jaccard_classes(doc_frame(spark, docs))), key=str)
+    size = len(set(shingles(base)))
+    assert [r for r in found if r[0] in (1, 2, 3)] == sorted([(1, size, 1), (2, size, 1), (2, len(set(shingles(other))), 2), (2, len(set(shingles(near))), 1), (3, len(set(shingles(far))), 2)], key=str)
+    clashing = doc_frame(spark, docs).select("*", *(F.lit(i).alias(c) for i, c in enumerate(("key", "row", "class", "a.b", "first", "text_hash", "node"))))
+    kept = jaccard.first_of_each(clashing)
+    assert kept.columns == clashing.columns
+    kept = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept == sorted([(1, base), (2, other), (5, "x y"), (None, "p q r"), (7, ""), (7, None), (8, " ")], key=str)
+
+
+def test_lines_pass_columns_of_any_name(spark):
+    line = "a line that stands in this table twice"
+    docs = doc_frame(spark, [(1, line), (2, f"{line}\nand another line that is its own")])
+    docs = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("place", "removed", "row", "_place", "_removed", "no", "a.b"))))
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == docs.columns
+    assert sorted(tuple(r)[-7:] for r in found.collect()) == [tuple(range(7))] * 2
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == [(1, line), (2, "and another line that is its own")]
+
+
 def test_repeats_equal_brute_force(spark, hostile, monkeypatch):
     expected = repeats(hostile)
     assert by_id(repeats_op.repeat_report(doc_frame(spark, hostile, extra=True))) == expected
