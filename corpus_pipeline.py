@@ -1,7 +1,8 @@
 """Training-data pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
 Every stage but the last returns the columns of documents; ``n_chars`` follows the text. Rows without a text, empty
-texts, repeated rows and an empty table pass through as the operators define; further columns stay until packing.
+texts, repeated rows and an empty table pass through as the operators define; of rows with the same id and text one
+stays, rows with the same id and different texts are judged apart. Further columns stay until packing.
 """
 
 from __future__ import annotations
@@ -33,9 +34,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest doc_id stays."""
-    copies = jaccard.jaccard_classes(docs).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(cut_lineage(copies), "doc_id", "left_anti").select(docs.columns)
+    """Of each class of near duplicates, the row with the smallest doc_id stays; rows may share an id or have none."""
+    return jaccard.first_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
