@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from spanmill.functions.genai import ATTRIBUTE_COLUMNS, canonical_model
@@ -48,6 +50,23 @@ def _attribute(name: str, value):
     return F.struct(F.lit(name).alias("key"), typed.alias("value"))
 
 
+def _kinds_of_values() -> list:
+    """A list, a map around a list and bytes, with values of the span in them."""
+    text, number = F.struct(F.col("model").alias("stringValue")), F.struct(F.col("input_tokens").cast("string").alias("intValue"))
+    either = F.array(
+        F.struct(F.col("status_code").alias("stringValue"), F.lit(None).cast("boolean").alias("boolValue")),
+        F.struct(F.lit(None).cast("string").alias("stringValue"), (F.col("input_tokens") > 500).alias("boolValue")),
+    )
+    inner = F.struct(F.struct(either.alias("values")).alias("arrayValue"))
+    entries = {"model": F.to_json(text), "tokens": F.to_json(number), 'said "{}"': F.to_json(inner)}
+    held = F.concat_ws(",", *[F.concat(F.lit(f'{{"key": {json.dumps(name)}, "value": '), value, F.lit("}")) for name, value in entries.items()])
+    return [
+        F.concat(F.lit('{"key":"finish_reasons","value":'), F.to_json(inner), F.lit("}")),
+        F.concat(F.lit('{"key":"limits","value":{"kvlistValue":{"values":['), held, F.lit("]}}}")),
+        F.concat(F.lit('{"key":"raw","value":{"bytesValue":"'), F.base64(F.encode("span_id", "UTF-8")), F.lit('"}}')),
+    ]
+
+
 def export_files(spark, sf) -> str:
     """The spans as trace export objects, one per line."""
     spans = derived.spans(spark, sf)
@@ -69,18 +88,28 @@ def export_files(spark, sf) -> str:
     )
     resource = F.struct(F.array(_attribute("service.name", F.col("service_name"))).alias("attributes"))
     scopes = F.array(F.struct(F.array(span).alias("spans")))
-    export = spans.select(F.array(F.struct(resource.alias("resource"), scopes.alias("scopeSpans"))).alias("resourceSpans"))
+    export = spans.select("model", "input_tokens", "status_code", "span_id", F.array(F.struct(resource.alias("resource"), scopes.alias("scopeSpans"))).alias("resourceSpans"))
     path = work_path(spark, "export")
-    export.write.json(path)
+    # The list and map values have no one type, so they go into the text of the object.
+    whole = F.to_json(F.struct("resourceSpans"))
+    mixed = F.concat(F.lit('"attributes":['), *[F.concat(v, F.lit(",")) for v in _kinds_of_values()], F.lit('{"key":"gen_ai'))
+    export.select(F.replace(whole, F.lit('"attributes":[{"key":"gen_ai'), mixed).alias("value")).write.text(path)
     return path
 
 
 OTLP_SHOWN = SHOWN + ["service_name", "span_name", "span_kind", "user_id", "app_id", "conversation_id", "operation_name", "response_id"]
 
 
-@query("flatten_otlp", on_spans("SELECT " + ", ".join(OTLP_SHOWN) + " FROM spans"))
+OTLP_NESTED = """
+    '["' || status_code || '",' || CAST(input_tokens > 500 AS VARCHAR) || ']' AS finish_reasons,
+    '{"model":"' || model || '","tokens":' || input_tokens || ',"said \\"{}\\"":["' || status_code || '",' || CAST(input_tokens > 500 AS VARCHAR) || ']}' AS limits,
+    to_base64(encode(span_id)) AS raw"""
+
+
+@query("flatten_otlp", on_spans("SELECT " + ", ".join(OTLP_SHOWN) + f", {OTLP_NESTED} FROM spans"))
 def flatten_otlp(spark, sf):
-    return otlp.read_otlp(spark, export_files(spark, sf)).select(*OTLP_SHOWN)
+    bag = F.from_json("attributes", "map<string,string>")
+    return otlp.read_otlp(spark, export_files(spark, sf)).select(*OTLP_SHOWN, *(bag[name].alias(name) for name in ("finish_reasons", "limits", "raw")))
 
 
 @query("write_spans", on_spans("SELECT strftime(start_time, '%Y%m') AS month, provider, count(*) AS span_count FROM spans GROUP BY 1, 2"))

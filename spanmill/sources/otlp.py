@@ -9,8 +9,8 @@ from spanmill.functions.genai import attribute, genai_columns
 from spanmill.schemas import SPANS
 
 _ATTRIBUTES = (
-    "array<struct<key:string,value:struct<stringValue:string,intValue:string,"
-    "doubleValue:string,boolValue:string>>>"
+    "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:string,"
+    "boolValue:string,bytesValue:string,arrayValue:string,kvlistValue:string>>>"
 )
 _SPAN = (
     "struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,"
@@ -46,8 +46,47 @@ def stream_otlp(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return flatten_otlp(files)
 
 
+# A JSON text never holds these control characters as they are, so they can stand for parts that are read already.
+_LIST, _MAP, _NOTHING = "\u0001", "\u0002", "\u0007"
+_READ = {"[": "\u0003", "]": "\u0004", "{": "\u0005", "}": "\u0006"}
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_SETTLED = rf'(?:[^"\[\]{{}}{_LIST}{_MAP}]++|{_STRING})*+'
+
+
+def plain_json(value: Column) -> Column:
+    """The JSON text of a nested attribute value without the names of its kinds, to any depth.
+
+    ``{"arrayValue":{"values":[{"intValue":"1"},{"kvlistValue":...}]}}`` becomes ``[1,{...}]``. Lists and maps that hold
+    nothing nested are rewritten first, all of them in one step, then those around them. Bytes keep their base64 text,
+    an empty value is null, and a text that does not have this form stays as far as it cannot be read.
+    """
+    text = F.regexp_replace(value, rf"({_STRING})|\s+", "$1")
+    text = F.regexp_replace(text, rf"({_STRING})|\{{\}}", f"$1{_NOTHING}")
+    text = F.regexp_replace(F.regexp_replace(text, rf'({_STRING}){_NOTHING}', "$1"), _NOTHING, "null")
+    text = F.regexp_replace(text, rf'\{{"(?:string|bytes|double)Value":({_STRING})\}}', "$1")
+    text = F.regexp_replace(text, r'\{"intValue":"?(-?[0-9]+)"?\}', "$1")
+    text = F.regexp_replace(text, r'\{"(?:double|bool)Value":([-+.0-9A-Za-z]+)\}', "$1")
+    for kind, sign, ends in (("array", _LIST, "[]"), ("kvlist", _MAP, "{}")):
+        text = F.regexp_replace(text, rf'\{{"{kind}Value":(?:null|\{{"values":null\}})\}}', _READ[ends[0]] + _READ[ends[1]])
+        text = F.regexp_replace(text, rf'\{{"{kind}Value":\{{"values":\[', sign)
+
+    def step(text: Column, _: Column) -> Column:
+        text = F.regexp_replace(text, rf'\{{"key":({_STRING})\}}', "$1:null")
+        text = F.regexp_replace(text, rf'\{{"key":({_STRING}),"value":({_SETTLED})\}}', "$1:$2")
+        text = F.regexp_replace(text, rf"{_LIST}({_SETTLED})\]\}}\}}", f"{_READ['[']}$1{_READ[']']}")
+        return F.regexp_replace(text, rf"{_MAP}({_SETTLED})\]\}}\}}", f"{_READ['{']}$1{_READ['}']}")
+
+    def once_more(text: Column, turn: Column) -> Column:
+        return F.when(text.rlike(f"[{_LIST}{_MAP}]"), step(text, turn)).otherwise(text)
+
+    # No deeper than the number of lists and maps; what is settled before takes a look only.
+    nested = F.length(text) - F.length(F.translate(text, _LIST + _MAP, ""))
+    text = F.aggregate(F.sequence(F.lit(1), F.greatest(nested, F.lit(1))), text, once_more)
+    return F.translate(text, "".join(_READ.values()), "".join(_READ))
+
+
 def attribute_map(entries: Column) -> Column:
-    """Key/value entries as ``map<string,string>``, whatever type a value has."""
+    """Key/value entries as ``map<string,string>``, whatever kind a value has; lists and maps become plain JSON."""
     present = F.filter(F.coalesce(entries, F.array()), lambda e: e["key"].isNotNull())
     return F.map_from_entries(
         F.transform(
@@ -59,6 +98,11 @@ def attribute_map(entries: Column) -> Column:
                     e["value"]["intValue"],
                     e["value"]["doubleValue"],
                     e["value"]["boolValue"],
+                    e["value"]["bytesValue"],
+                    *(
+                        plain_json(F.concat(F.lit(f'{{"{kind}":'), e["value"][kind], F.lit("}")))
+                        for kind in ("arrayValue", "kvlistValue")
+                    ),
                 ).alias("value"),
             ),
         )

@@ -98,6 +98,46 @@ def test_pricing_csv(spark):
     assert pricing.read_pricing(spark, path).count() == 20
 
 
+def _any_value(value):
+    """A Python value as the protocol writes it."""
+    if value is None:
+        return {}
+    if isinstance(value, bool):
+        return {"boolValue": value}
+    if isinstance(value, int):
+        return {"intValue": str(value)}
+    if isinstance(value, float):
+        return {"doubleValue": value}
+    if isinstance(value, str):
+        return {"stringValue": value}
+    if isinstance(value, list):
+        return {"arrayValue": {"values": [_any_value(v) for v in value]} if value else {}}
+    return {"kvlistValue": {"values": [{"key": k, "value": _any_value(v)} for k, v in value.items()]}}
+
+
+NESTED = [
+    [], ["stop"], ["a", 1, 2.5, True, None], {"k": "v"}, {}, [[], [[1], [2, [3, {"x": [{}]}]]]],
+    {"deep": {"er": [{"a": 1}, {"b": [None, "]}}"]}]}, "q\"uo{}te": "back\\\\slash {\"stringValue\":\"x\"}"},
+    ["{}", "[", "]}}", "\\", "$1 \n\t", '{"arrayValue":{"values":[', "é😀"], [{"n": -5}] * 300, ["x " * 20_000, "y"],
+]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_nested_values_become_plain_json(spark, indent):
+    raw = [(i, json.dumps(_any_value(v), indent=indent)) for i, v in enumerate(NESTED)]
+    found = spark.createDataFrame(raw, "i int, v string").select("i", otlp.plain_json(F.col("v")).alias("v")).collect()
+    assert {r.i: json.loads(r.v) for r in found} == dict(enumerate(NESTED))
+
+
+def test_every_kind_of_value_is_read_from_a_file(spark, tmp_path):
+    attributes = [{"key": f"k{i}", "value": _any_value(v)} for i, v in enumerate(NESTED)] + [{"key": "b", "value": {"bytesValue": "AAEC"}}, {"key": "none", "value": {}}]
+    span = {"traceId": "ab" * 16, "spanId": "cd" * 8, "name": "chat", "startTimeUnixNano": "1", "endTimeUnixNano": "2", "attributes": attributes}
+    (tmp_path / "a.json").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]}) + "\n")
+    bag = json.loads(otlp.read_otlp(spark, str(tmp_path)).first().attributes)
+    assert [json.loads(bag[f"k{i}"]) for i in range(len(NESTED))] == NESTED
+    assert bag["b"] == "AAEC" and bag.get("none") is None
+
+
 def test_export_file(spark, tmp_path):
     text = lambda k, v: {"key": k, "value": {"stringValue": v}}
     span = {
