@@ -101,6 +101,7 @@ def rollup_stream(spark, sf):
     path, checkpoint = work_path(spark, "rollup"), work_path(spark, "rollup-checkpoint")
     priced = price_spans(stream_spans_in_order(spark, sf), seed_pricing(spark))
     rollups.rollup_on_insert(priced, path, checkpoint, seconds=None).awaitTermination()
+    rollups.merge_stored_rollup(spark, path)
     return rollups.read_rollup(spark, path).select("minute", *COLUMNS)
 
 
@@ -109,6 +110,7 @@ def eval_rollup_stream(spark, sf):
     path, checkpoint = work_path(spark, "evals"), work_path(spark, "evals-checkpoint")
     live = derived.evals_of(stream_in_order(spark, sf, "labels", "doc_id"))
     rollups.eval_rollup_on_insert(live, path, checkpoint, seconds=None).awaitTermination()
+    rollups.merge_stored_eval_rollup(spark, path)
     return rollups.read_eval_rollup(spark, path)
 
 
@@ -116,6 +118,7 @@ def eval_rollup_stream(spark, sf):
 def alert_stream(spark, sf):
     path, checkpoint = work_path(spark, "ticks"), work_path(spark, "ticks-checkpoint")
     live_alerts.alert_ticks(stream_spans_in_order(spark, sf), path, checkpoint, HOUR, ["app_id"], seconds=None).awaitTermination()
+    live_alerts.merge_stored_ticks(spark, path, ["app_id"])
     rules = alerts.rule_table(spark, HOURLY_RULES[:1])
     return live_alerts.evaluate_ticks(spark, path, rules, derived.AS_OF, HOUR, SIX_HOURS, ["app_id"])
 

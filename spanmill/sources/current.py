@@ -21,7 +21,7 @@ from spanmill.operators.latest import latest_per_key
 from spanmill.session import cut_lineage
 
 
-class _Lists:
+class FolderLists:
     """The numbered lists of folders of a table."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -74,7 +74,7 @@ def upsert_current(rows: DataFrame, path: str, keys: list[str], version: str, ts
     key columns of the other months are read, and no others. Rows without ``ts`` form a month of their own.
     """
     spark = rows.sparkSession
-    lists = _Lists(spark, path)
+    lists = FolderLists(spark, path)
     number, folders = lists.read()
     month = F.coalesce(times.month_of(ts), F.lit("none"))
     batch = cut_lineage(latest_per_key(rows, keys, version, tie))
@@ -101,7 +101,7 @@ def read_current(spark: SparkSession, path: str, schema: T.StructType, since=Non
 
     Rows of those months come whole: the time filter itself is the reader's.
     """
-    _, folders = _Lists(spark, path).read()
+    _, folders = FolderLists(spark, path).read()
     if since is not None or until is not None:
         ends = spark.range(1).select(*[F.lit(None).cast("string") if t is None else times.month_of(times.moment(t)) for t in (since, until)]).first()
         folders = {m: f for m, f in folders.items() if m != "none" and (ends[0] is None or m >= ends[0]) and (ends[1] is None or m <= ends[1])}
@@ -110,7 +110,7 @@ def read_current(spark: SparkSession, path: str, schema: T.StructType, since=Non
 
 def expire(spark: SparkSession, path: str, before) -> list[str]:
     """Take the months that end before ``before`` off the list; returns them."""
-    lists = _Lists(spark, path)
+    lists = FolderLists(spark, path)
     number, folders = lists.read()
     bound = spark.range(1).select(times.month_of(times.moment(before))).first()[0]
     gone = sorted(m for m in folders if m != "none" and m < bound)
@@ -124,7 +124,7 @@ def clean(spark: SparkSession, path: str, keep: int = 2) -> int:
 
     Readers that still hold an older list lose their files, so ``keep`` should cover the longest read.
     """
-    lists = _Lists(spark, path)
+    lists = FolderLists(spark, path)
     known = lists.complete()
     kept = known[-keep:]
     named = {f for n in kept for f in lists.read(n)[1].values()}

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanmill.functions import times
 from spanmill.operators import alerts, series
 from spanmill.streaming.ingest import FLUSH_SECONDS
+from spanmill.streaming.merging import merge_partials
 from spanmill.streaming.rollups import read_partials, write_partials
 
 
@@ -27,6 +28,16 @@ def alert_ticks(
     return write_partials(spans, lambda batch: error_ticks(batch, step_seconds, keys or []), path, checkpoint, seconds, moment)
 
 
+def _added(ticks: DataFrame, keys: list[str]) -> DataFrame:
+    """Batches may share a tick: their counts add up."""
+    return ticks.groupBy(*keys, "tick").agg(F.sum("part").alias("part"), F.sum("whole").alias("whole"))
+
+
+def merge_stored_ticks(spark: SparkSession, path: str, keys: list[str] | None = None) -> list[str]:
+    """Merge the stored batches of ``alert_ticks`` by day."""
+    return merge_partials(spark, path, lambda ticks: _added(ticks, keys or []), F.timestamp_seconds(F.col("tick")))
+
+
 def evaluate_ticks(
     spark: SparkSession, path: str, rules: DataFrame, as_of, step_seconds: int = alerts.STEP_SECONDS,
     width_seconds: int = 300, keys: list[str] | None = None, since=None,
@@ -40,8 +51,7 @@ def evaluate_ticks(
     ticks = read_partials(spark, path, since)
     if since is not None:
         ticks = ticks.filter(F.col("tick") >= F.unix_seconds(times.moment(since)))
-    # Batches may share a tick: their counts add up.
-    ticks = ticks.groupBy(*keys, "tick").agg(F.sum("part").alias("part"), F.sum("whole").alias("whole"))
+    ticks = _added(ticks, keys)
     sums = series.trailing(ticks, keys, step_seconds, width_seconds, ["part", "whole"])
     ratio = sums.withColumn("value", F.when(F.col("whole") > 0, F.col("part") / F.col("whole")))
     label = F.concat_ws("|", *keys) if keys else None

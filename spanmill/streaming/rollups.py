@@ -1,7 +1,8 @@
 """Live rollups.
 
 Two forms. ``*_on_insert`` keeps the partial rollup of every batch and merges at read
-time: no state, nothing is ever late, and what is read is always complete. ``*_windows``
+time: no state, nothing is ever late, and what is read is always complete; ``merge_*`` jobs
+bring stored batches together by day (see ``merging``). ``*_windows``
 keeps open windows in state and emits each once, after the watermark has passed it; rows
 later than that are dropped, to be repaired by a batch rollup.
 """
@@ -21,6 +22,7 @@ from spanmill.operators.rollups import (
 )
 from spanmill.session import settings
 from spanmill.streaming.ingest import FLUSH_SECONDS, WATERMARK, start
+from spanmill.streaming.merging import merge_partials, on_day, read_merged
 
 
 def run_id(spark: SparkSession, checkpoint: str) -> str:
@@ -44,19 +46,28 @@ def write_partials(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = partial(batch)
-        rows = rows.withColumn("on_day", F.lit("all") if at is None else F.date_format(at, "yyyy-MM-dd"))
+        rows = rows.withColumn("on_day", on_day(at))
         rows.write.mode("overwrite").partitionBy("on_day").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return start(stream.writeStream.foreachBatch(store), checkpoint, seconds)
 
 
 def read_partials(spark: SparkSession, path: str, since=None) -> DataFrame:
-    """All stored partials, or with ``since`` those of its day and later; older folders are not read."""
+    """All stored partials, or with ``since`` those of its day and later; older folders are not read.
+
+    Days that ``merge_partials`` has merged come from their merged folder, later batches from their own.
+    """
+    day = None
+    if since is not None:
+        day = spark.range(1).select(on_day(times.moment(since)).alias("day")).first()["day"]
+    merged = read_merged(spark, path, day)
+    if merged is not None:
+        return merged
     # Ids and days are texts, also where all of them look like numbers or dates.
     with settings(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):
         rows = spark.read.parquet(path)
-    if since is not None:
-        rows = rows.filter(F.col("on_day") >= F.date_format(times.moment(since), "yyyy-MM-dd"))
+    if day is not None:
+        rows = rows.filter(F.col("on_day") >= day)
     return rows.drop("run", "batch", "on_day")
 
 
@@ -69,6 +80,11 @@ def read_rollup(spark: SparkSession, path: str, since=None) -> DataFrame:
     return merge_rollup("minute", read_partials(spark, path, since))
 
 
+def merge_stored_rollup(spark: SparkSession, path: str) -> list[str]:
+    """Merge the stored batches of ``rollup_on_insert`` by day; run it every hour or so beside the stream."""
+    return merge_partials(spark, path, lambda parts: merge_rollup("minute", parts), F.col("minute"))
+
+
 def eval_rollup_on_insert(evals: DataFrame, path: str, checkpoint: str, seconds: float | None = FLUSH_SECONDS) -> StreamingQuery:
     """Counts every insert: a score that is replaced later has been counted by then."""
     return write_partials(evals, eval_daily, path, checkpoint, seconds, F.col("day"))
@@ -78,6 +94,10 @@ def read_eval_rollup(spark: SparkSession, path: str, since=None) -> DataFrame:
     return merge_eval_daily(read_partials(spark, path, since))
 
 
+def merge_stored_eval_rollup(spark: SparkSession, path: str) -> list[str]:
+    return merge_partials(spark, path, merge_eval_daily, F.col("day"))
+
+
 def rollup_windows(spans: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """The minute rollup as an append-only stream of closed minutes."""
     return with_p95(

@@ -49,13 +49,13 @@ def test_any_order_of_inserts_equals_full_dedupe(spark):
 def test_only_touched_months_are_rewritten(spark):
     path = work_path(spark, "current")
     put(spark, path, [row(f"t{m}", "x", m, 1) for m in (1, 2, 3)])
-    _, before = current._Lists(spark, path).read()
+    _, before = current.FolderLists(spark, path).read()
     assert put(spark, path, [row("t9", "x", 2, 2)]) == ["202402"]
-    _, after = current._Lists(spark, path).read()
+    _, after = current.FolderLists(spark, path).read()
     assert {m for m in before if before[m] != after[m]} == {"202402"}
     # A newer version in another month takes the key out of the old one.
     assert put(spark, path, [row("t1", "x", 3, 5, 0.9)]) == ["202401", "202403"]
-    assert sorted(current._Lists(spark, path).read()[1]) == ["202402", "202403"]
+    assert sorted(current.FolderLists(spark, path).read()[1]) == ["202402", "202403"]
     # An older version changes nothing, though it touches its own month and that of the newer one.
     assert put(spark, path, [row("t1", "x", 1, 2, 0.1)]) == ["202401", "202403"]
     assert [r[3] for r in stored(spark, path) if r[0] == "t1"] == [0.9]
@@ -78,7 +78,7 @@ def test_an_upsert_that_dies_is_not_seen(spark, monkeypatch):
     put(spark, path, [row("a", "x", 1, 1, 0.1)])
     before = stored(spark, path)
     with monkeypatch.context() as patch:
-        patch.setattr(current._Lists, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        patch.setattr(current.FolderLists, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(OSError):
             put(spark, path, [row("a", "x", 1, 2, 0.2)])
     assert stored(spark, path) == before
@@ -94,7 +94,7 @@ def test_an_upsert_that_dies_is_not_seen(spark, monkeypatch):
 def test_a_second_writer_fails(spark):
     path = work_path(spark, "current")
     put(spark, path, [row("a", "x", 1, 1)])
-    lists = current._Lists(spark, path)
+    lists = current.FolderLists(spark, path)
     number, folders = lists.read()
     put(spark, path, [row("b", "x", 1, 1)])
     with pytest.raises(AnalysisException):
