@@ -79,3 +79,12 @@ def test_run_and_an_empty_table(spark):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_shared_and_missing_ids(spark):
+    """A text that only shares its id with a copy stays; of rows with the same id and text one stays."""
+    a, b = ("\n".join(sentence(20) for _ in range(6)) for _ in range(2))
+    docs = doc_frame(spark, [(1, a), (2, a), (2, b), (5, b + " end"), (None, a), (6, "x"), (6, "x")], extra=True)
+    kept = corpus_pipeline.ngram_jaccard_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b), (6, "x")]
