@@ -1,7 +1,8 @@
 """Removal of repeated byte strings, the first occurrence staying, by longest-previous-factor arrays over anchors.
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier (smaller doc_id, or the same document
-and an earlier start). In terms of the longest-previous-factor array of all texts, with matches never crossing
+and an earlier start). A document is known by doc_id and the hash of its text, so that rows may share an id; the hash
+then says which of them is earlier. In terms of the longest-previous-factor array of all texts, with matches never crossing
 documents: every position whose longest earlier match has ``LENGTH`` bytes or more removes that many bytes.
 
 No task sees all suffixes. Every window of ``LENGTH`` bytes chooses an anchor by its content alone, the smallest
@@ -71,29 +72,29 @@ def anchors(s: Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     return chosen[begin].astype(np.int64), starts[begin], starts[end], text[begin]
 
 
-def _firsts(keys: tuple[np.ndarray, ...], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _firsts(keys: tuple[np.ndarray, ...], docs: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by keys, then place; which rows in it are the first of their keys, and which stand at a later place."""
-    order = np.lexsort((starts, docs, *keys[::-1]))
+    order = np.lexsort((starts, hashes, docs, *keys[::-1]))
     head = np.ones(len(order), bool)
     head[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    return order, head, (docs[order] != docs[first]) | (starts[order] != starts[first])
+    return order, head, np.any([x[order] != x[first] for x in (docs, hashes, starts)], axis=0)
 
 
 def _anchor_blocks(parts: int, length: int, gram: int):
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("block", pa.binary())])
 
     def deal(held: list[tuple[np.ndarray, ...]], turn: int) -> Batches:
-        grams, digests, docs, starts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, head, later = _firsts((grams, digests), docs, starts)
-        grams, digests, docs, starts, counts = (x[order] for x in (grams, digests, docs, starts, counts))
+        grams, digests, docs, hashes, starts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, head, later = _firsts((grams, digests), docs, hashes, starts)
+        grams, digests, docs, hashes, starts, counts = (x[order] for x in (grams, digests, docs, hashes, starts, counts))
         numbers, kinds, blocks = [], [], []
         if later.any():
             numbers, kinds = [turn % parts], [1]
-            blocks = [np.concatenate([docs[later], starts[later], starts[later] + counts[later] - 1 + length]).tobytes()]
-        rows = np.stack([grams[head].view(np.int64), digests[head].view(np.int64), docs[head], (starts << 12 | counts)[head]])
+            blocks = [np.concatenate([docs[later], hashes[later], starts[later], starts[later] + counts[later] - 1 + length]).tobytes()]
+        rows = np.stack([grams[head].view(np.int64), digests[head].view(np.int64), docs[head], hashes[head], (starts << 12 | counts)[head]])
         part = (mix(grams[head]) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((rows[3], rows[2], part))
+        order = np.lexsort((rows[4], rows[3], rows[2], part))
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             if cuts[p] < cuts[p + 1]:
@@ -105,12 +106,12 @@ def _anchor_blocks(parts: int, length: int, gram: int):
     def run(batches: Batches) -> Batches:
         held, size, turn = [], 0, 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, hashes = (batch.column(c).to_numpy() for c in ("doc_id", "text_hash"))
             for s in slices(batch.column("text")):
                 place, low, high, text = anchors(s, length, gram)
                 grams = s.hashes(place, place + gram)
                 digests = mix(s.hashes(low, high + length) ^ ((place - low) << 8 | (high - low)).astype(np.uint64))
-                held.append((grams, digests, ids[s.first + text], low - s.bounds[text], high - low + 1))
+                held.append((grams, digests, ids[s.first + text], hashes[s.first + text], low - s.bounds[text], high - low + 1))
                 size += len(s.data)
                 turn += 1
                 if size > CHUNK_BYTES:
@@ -122,15 +123,15 @@ def _anchor_blocks(parts: int, length: int, gram: int):
     return run
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("crowd", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("crowd", pa.int64())])
 
 
-def _rows(kind: int, key, doc, start, stop, crowd) -> Batches:
+def _rows(kind: int, key, doc, text_hash, start, stop, crowd) -> Batches:
     for at in range(0, len(doc), 1 << 16):
         piece = slice(at, at + (1 << 16))
         n = len(doc[piece])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), *(pa.nulls(n, pa.int64()) if c is None else pa.array(c[piece]) for c in (key, doc, start, stop, crowd))],
+            [pa.array(np.full(n, kind, np.int32)), *(pa.nulls(n, pa.int64()) if c is None else pa.array(c[piece]) for c in (key, doc, text_hash, start, stop, crowd))],
             schema=_FOUND,
         )
 
@@ -139,17 +140,17 @@ def _compare_anchors(length: int):
     """Of the dealt anchors: ranges that repeat as a whole (kind 1), and surroundings to look into (kind 2)."""
 
     def settle(held: list[np.ndarray]) -> Batches:
-        grams, digests, docs, packed = np.concatenate(held, axis=1)
+        grams, digests, docs, hashes, packed = np.concatenate(held, axis=1)
         starts, counts = packed >> 12, packed & 4095
-        order, head, later = _firsts((grams, digests), docs, starts)
-        grams, docs, starts, counts = (x[order] for x in (grams, docs, starts, counts))
-        yield from _rows(1, None, docs[later], starts[later], (starts + counts - 1 + length)[later], None)
-        grams, docs, starts, counts = (x[head] for x in (grams, docs, starts, counts))
+        order, head, later = _firsts((grams, digests), docs, hashes, starts)
+        grams, docs, hashes, starts, counts = (x[order] for x in (grams, docs, hashes, starts, counts))
+        yield from _rows(1, None, docs[later], hashes[later], starts[later], (starts + counts - 1 + length)[later], None)
+        grams, docs, hashes, starts, counts = (x[head] for x in (grams, docs, hashes, starts, counts))
         begin = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
         sizes = np.diff(np.append(begin, len(grams)))
         crowd = np.repeat(sizes, sizes)
         several = crowd > 1
-        yield from _rows(2, *(x[several] for x in (grams, docs, starts, starts + counts - 1 + length, crowd)))
+        yield from _rows(2, *(x[several] for x in (grams, docs, hashes, starts, starts + counts - 1 + length, crowd)))
 
     def run(batches: Batches) -> Batches:
         part, held = None, []
@@ -160,10 +161,9 @@ def _compare_anchors(length: int):
                         yield from settle(held)
                         held = []
                     part = number
-                    held.append(np.frombuffer(block.as_buffer(), np.int64).reshape(4, -1).copy())
+                    held.append(np.frombuffer(block.as_buffer(), np.int64).reshape(5, -1).copy())
                 else:
-                    three = np.frombuffer(block.as_buffer(), np.int64).reshape(3, -1)
-                    yield from _rows(1, None, three[0], three[1], three[2], None)
+                    yield from _rows(1, None, *np.frombuffer(block.as_buffer(), np.int64).reshape(4, -1), None)
         if held:
             yield from settle(held)
 
@@ -171,34 +171,34 @@ def _compare_anchors(length: int):
 
 
 def _surroundings(length: int, crowd_limit: int):
-    """Texts with the ranges to fetch from them, to rows (key, doc_id, start, bytes); crowded ones window by window."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+    """Texts with the ranges to fetch from them, to rows (key, doc_id, text_hash, start, bytes); crowded ones window by window."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             asked = batch.column("asked")
             keys, starts, stops, crowds = (asked.flatten().field(c).to_numpy() for c in ("key", "start", "stop", "crowd"))
             cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(asked).to_numpy())])
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            out: tuple[list, ...] = ([], [], [], [])
+            documents = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
+            out: tuple[list, ...] = ([], [], [], [], [])
             size = 0
-            for row, (doc, text) in enumerate(zip(ids, texts, strict=True)):
+            for row, (doc, text_hash, text) in enumerate(documents):
                 raw = (text or "").encode()
                 for i in range(cuts[row], cuts[row + 1]):
                     start, stop = int(starts[i]), int(stops[i])
-                    if stop > len(raw):  # another row with the same doc_id
+                    if stop > len(raw):  # another text with the same hash
                         continue
                     if crowds[i] <= crowd_limit:
                         pieces = [(int(keys[i]), start, raw[start:stop])]
                     else:
                         pieces = [(_digest(raw[p : p + length]), p, raw[p : p + length]) for p in range(start, stop - length + 1)]
                     for key, place, piece in pieces:
-                        for column, value in zip(out, (key, doc, place, piece), strict=True):
+                        for column, value in zip(out, (key, doc, text_hash, place, piece), strict=True):
                             column.append(value)
                         size += len(piece)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
-                        out, size = ([], [], [], []), 0
+                        out, size = ([], [], [], [], []), 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
     return run
@@ -208,10 +208,10 @@ def _digest(window: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
 
 
-def earlier_matches(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def earlier_matches(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Which suffixes have an earlier match of ``length`` bytes, for pieces of texts.
 
-    Piece i is data[bounds[i]:bounds[i + 1]] and stands at (docs[i], starts[i]); the suffixes are all of its starts
+    Piece i is data[bounds[i]:bounds[i + 1]] and stands at (docs[i], hashes[i], starts[i]); the suffixes are all of its starts
     that have ``length`` bytes, piece by piece.
     """
     counts = np.diff(bounds) - length + 1
@@ -223,49 +223,49 @@ def earlier_matches(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, star
     common[0] = False
     common[1:] = (ordered[1:] == ordered[:-1]).all(axis=1)
     run = np.cumsum(~common) - 1
-    doc, start = np.repeat(docs, counts), np.repeat(starts - bounds[:-1], counts) + at
+    doc, text_hash, start = np.repeat(docs, counts), np.repeat(hashes, counts), np.repeat(starts - bounds[:-1], counts) + at
+    same = np.lexsort((start, text_hash, doc))
     place = np.empty(len(order), np.int64)
-    place[np.lexsort((start, doc))] = np.arange(len(order))
+    place[same] = np.arange(len(order))
     smallest = np.minimum.reduceat(place[order], np.flatnonzero(~common))
     earlier = np.empty(len(order), bool)
     earlier[order] = place[order] > smallest[run]
-    # The same place may be held twice, by rows that share a doc_id; it is no match of its own.
-    same = np.lexsort((start, doc))
+    # The same place may be held twice, by repeated rows; it is no match of its own.
     twin = np.zeros(len(order), bool)
-    twin[same[1:]] = (doc[same][1:] == doc[same][:-1]) & (start[same][1:] == start[same][:-1])
+    twin[same[1:]] = np.all([x[same][1:] == x[same][:-1] for x in (doc, text_hash, start)], axis=0)
     return earlier & ~twin
 
 
 def _order_suffixes(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
-    def settle(keys, docs, starts, pieces) -> Batches:
+    def settle(keys, docs, hashes, starts, pieces) -> Batches:
         sizes = np.array([len(p) for p in pieces])
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        docs, starts = np.array(docs, np.int64), np.array(starts, np.int64)
-        found = earlier_matches(data, bounds, docs, starts, length)
+        docs, hashes, starts = (np.array(x, np.int64) for x in (docs, hashes, starts))
+        found = earlier_matches(data, bounds, docs, hashes, starts, length)
         counts = sizes - length + 1
-        doc, start = np.repeat(docs, counts)[found], (np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()))[found]
+        doc, text_hash, start = np.repeat(docs, counts)[found], np.repeat(hashes, counts)[found], (np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()))[found]
         if len(doc):
             # Neighbouring starts become one range.
             head = np.ones(len(doc), bool)
-            head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+            head[1:] = (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1]) | (start[1:] != start[:-1] + 1)
             begin = np.flatnonzero(head)
             end = np.append(begin[1:], len(doc)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(start[begin]), pa.array(start[end] + length)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(text_hash[begin]), pa.array(start[begin]), pa.array(start[end] + length)], schema=schema)
 
     def run(batches: Batches) -> Batches:
-        held: tuple[list, ...] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [])
         suffixes = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "start", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text_hash", "start", "bytes")), strict=True):
                 if suffixes > SORTED and row[0] != held[0][-1]:
                     yield from settle(*held)
-                    held, suffixes = ([], [], [], []), 0
+                    held, suffixes = ([], [], [], [], []), 0
                 for column, value in zip(held, row, strict=True):
                     column.append(value)
-                suffixes += len(row[3]) - length + 1
+                suffixes += len(row[4]) - length + 1
         if held[0]:
             yield from settle(*held)
 
@@ -273,27 +273,27 @@ def _order_suffixes(length: int):
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, stop): byte ranges of the texts of ``docs`` that repeat an earlier string; they may overlap."""
+    """(doc_id, text_hash, start, stop): byte ranges of the texts of ``docs`` that repeat an earlier string; they may overlap."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     dealt = in_arrow(known, _anchor_blocks(4 * tasks, length, gram), "part int, kind byte, block binary")
     path = work_path(spark, "anchors")
-    kinds = "kind int, key bigint, doc_id bigint, start bigint, stop bigint, crowd bigint"
+    kinds = "kind int, key bigint, doc_id bigint, text_hash bigint, start bigint, stop bigint, crowd bigint"
     in_arrow(dealt.repartition(tasks, "part").sortWithinPartitions("part"), _compare_anchors(length), kinds).write.partitionBy("kind").parquet(path)
     found = spark.read.schema(kinds).parquet(path)
-    asked = cut_lineage(found.filter("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "stop", "crowd")).alias("asked")))
+    asked = cut_lineage(found.filter("kind = 2").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "start", "stop", "crowd")).alias("asked")))
     with settings(spark, PRUNED):
-        texts = known.join(asked.filter("doc_id > -9223372036854775808"), "doc_id").select("doc_id", "text", "asked")
-        pieces = in_arrow(texts, _surroundings(length, CROWD), "key bigint, doc_id bigint, start bigint, bytes binary")
-        ordered = in_arrow(pieces.repartition(tasks, "key").sortWithinPartitions("key"), _order_suffixes(length), "doc_id bigint, start bigint, stop bigint")
+        texts = known.join(asked.filter("doc_id > -9223372036854775808"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "asked")
+        pieces = in_arrow(texts, _surroundings(length, CROWD), "key bigint, doc_id bigint, text_hash bigint, start bigint, bytes binary")
+        ordered = in_arrow(pieces.repartition(tasks, "key").sortWithinPartitions("key"), _order_suffixes(length), "doc_id bigint, text_hash bigint, start bigint, stop bigint")
         matched = cut_lineage(ordered)
-    return found.filter("kind = 1").select("doc_id", "start", "stop").union(matched)
+    return found.filter("kind = 1").select("doc_id", "text_hash", "start", "stop").union(matched)
 
 
 def _cut_texts(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """(doc_id, hash, kept, n_removed, n_spans) of the documents with ``removed`` (doc_id, cuts); kept is binary."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("kept", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
+    """(doc_id, text_hash, kept, n_removed, n_spans) of the documents with ``removed`` (doc_id, text_hash, cuts); kept is binary."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("kept", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -308,11 +308,11 @@ def _cut_texts(docs: DataFrame, removed: DataFrame) -> DataFrame:
                 edges = np.diff(gone.astype(np.int8), prepend=np.int8(0))
                 for column, value in zip(out, (raw[~gone].tobytes(), int(gone.sum()), int((edges == 1).sum())), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.array(c, t) for c, t in zip(out, schema.types[2:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c, t) for c, t in zip(out, schema.types[2:], strict=True))], schema=schema)
 
     with settings(docs.sparkSession, PRUNED):
-        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(removed.filter("doc_id > -9223372036854775808"), "doc_id")
-        return cut_lineage(in_arrow(rows.select("doc_id", "hash", "text", "cuts"), run, "doc_id bigint, hash bigint, kept binary, n_removed bigint, n_spans bigint").distinct())
+        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(removed.filter("doc_id > -9223372036854775808"), ["doc_id", "text_hash"])
+        return cut_lineage(in_arrow(rows.select("doc_id", "text_hash", "text", "cuts"), run, "doc_id bigint, text_hash bigint, kept binary, n_removed bigint, n_spans bigint").distinct())
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -320,14 +320,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     Strings are judged on the input, not on what is left, and compared as UTF-8 bytes, so ``kept`` may end within a
     character. Edge cases: a null text counts as empty, texts shorter than ``length`` bytes stay whole; rows without
-    doc_id stay whole and are no one's earlier match; rows that share a doc_id are taken for the same document, so
-    what one of them loses at a place the others lose there too. An empty table gives an empty result.
+    doc_id stay whole and are no one's earlier match; rows with the same doc_id and text are one document, and of
+    different texts with one doc_id the one with the smaller hash is earlier. An empty table gives an empty result.
     """
-    removed = cut_lineage(repeated_ranges(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
+    removed = cut_lineage(repeated_ranges(docs, length, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
     shortened = _cut_texts(docs, removed)
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.xxhash64("text").alias("hash"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    joined = base.join(shortened, ["doc_id", "hash"], "left")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    joined = base.join(shortened, ["doc_id", "text_hash"], "left")
     return joined.select(
         "doc_id", "n_bytes", F.coalesce("kept", F.encode("text", "UTF-8")).alias("kept"),
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
@@ -336,11 +336,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``remove_repeats`` with the digest of what is kept instead of the bytes; texts that stay whole are not shuffled."""
-    removed = cut_lineage(repeated_ranges(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
-    shortened = _cut_texts(docs, removed).select("doc_id", "hash", F.sha2("kept", 256).alias("kept_sha256"), "n_removed", "n_spans")
+    removed = cut_lineage(repeated_ranges(docs, length, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
+    shortened = _cut_texts(docs, removed).select("doc_id", "text_hash", F.sha2("kept", 256).alias("kept_sha256"), "n_removed", "n_spans")
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    return base.join(shortened, ["doc_id", "hash"], "left").select(
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    return base.join(shortened, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
     )

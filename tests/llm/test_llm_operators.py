@@ -112,6 +112,15 @@ def test_repeats_equal_brute_force(spark, hostile, monkeypatch):
     assert kept == {i: v[3] for i, v in expected.items()}
 
 
+def test_repeats_of_texts_that_share_an_id(spark):
+    """Each text loses its own repeats only; repeated rows are one document."""
+    t, u, v = sentence(80), sentence(80), sentence(80)
+    docs = [(1, t), (2, t), (2, u), (2, u), (3, f"{v} {u}"), (2, v)]
+    found = sorted((r.doc_id, bytes(r.kept).decode(), r.n_removed, r.n_spans) for r in repeats_op.remove_repeats(doc_frame(spark, docs)).collect())
+    size = len(t.encode())
+    assert found == sorted([(1, t, 0, 0), (2, "", size, 1), (2, u, 0, 0), (2, u, 0, 0), (2, v, 0, 0), (3, " ", len(u) + len(v), 2)])
+
+
 def test_repeats_without_ids_stay_whole(spark):
     text = sentence(60)
     found = rows(repeats_op.repeat_report(doc_frame(spark, [(None, text), (None, text), (3, text), (3, text), (4, text)])))
