@@ -17,6 +17,7 @@ from spanmill.functions.labels import PSI_CRITICAL, PSI_WARNING
 from spanmill.operators.evals import passed
 from spanmill.operators.metrics import INFINITY, bound_label, histogram_quantile
 from spanmill.operators.series import sliding_ratio, sustained, to_ticks, trailing
+from spanmill.session import cut_lineage
 
 STEP_SECONDS = 15
 RESOLVE_SECONDS = 300
@@ -41,6 +42,8 @@ PLAN_RULES = [
 GROUP_WAIT = {"critical": 10}
 DEFAULT_WAIT = 30
 REPEAT_HOURS = 4
+#: Firings are merged into episodes within slots of this length first.
+SLOT_SECONDS = 600
 
 
 def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
@@ -246,32 +249,49 @@ def active_alerts(history: DataFrame) -> DataFrame:
     )
 
 
+def episodes(history: DataFrame, as_of, keys: list[str]) -> DataFrame:
+    """(keys, started_at, ended_at, firings): unions of the overlapping firings of each key; open ones last until ``as_of``.
+
+    Firings of one start become one row first, and windows run within slots of ``SLOT_SECONDS`` only; the latest end and
+    the latest episode start of all earlier slots are carried over by windows with one row a slot. So an alert of very
+    many firings is spread over its slots, and no task sees more than the start times of one. Firings without a start
+    are left out; firings that touch are one episode.
+    """
+    slot = F.floor(F.unix_seconds("fired_at") / SLOT_SECONDS)
+    starts = history.filter(F.col("fired_at").isNotNull()).groupBy(*keys, "fired_at").agg(
+        F.max(F.coalesce("resolved_at", times.moment(as_of))).alias("_until"), F.count(F.lit(1)).alias("firings")
+    )
+    starts = cut_lineage(starts.withColumn("_slot", slot))
+    within = W.partitionBy(*keys, "_slot").orderBy("fired_at")
+    before, upto = within.rowsBetween(W.unboundedPreceding, -1), within.rowsBetween(W.unboundedPreceding, W.currentRow)
+    slots = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """``rows`` with the largest ``value`` of all earlier slots of their key."""
+        ends = rows.groupBy(*keys, "_slot").agg(F.max(value).alias(name)).withColumn(name, F.max(name).over(slots)).alias("ends")
+        same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"ends.{k}")) for k in (*keys, "_slot")]
+        return rows.alias("rows").join(ends, same, "left").select("rows.*", name)
+
+    marked = carried(starts, F.col("_until"), "_end").withColumn("_end", F.greatest("_end", F.max("_until").over(before)))
+    opens = F.when(F.col("_end").isNull() | (F.col("fired_at") > F.col("_end")), F.col("fired_at"))
+    marked = marked.withColumn("_opens", opens)
+    placed = carried(marked, F.col("_opens"), "_open").withColumn("started_at", F.coalesce(F.max("_opens").over(upto), "_open"))
+    return placed.groupBy(*keys, "started_at").agg(F.max("_until").alias("ended_at"), F.sum("firings").alias("firings"))
+
+
 def group_notifications(history: DataFrame, as_of) -> DataFrame:
     """Notices per (alert, severity) group, as long as anything in the group fires.
 
     Overlapping firings form one episode. Its first notice goes out 30 s after the start
-    (10 s when critical), the next every 4 hours. The window runs over firings, which are
-    few, and not over samples.
+    (10 s when critical), the next every 4 hours.
     """
-    until = F.coalesce("resolved_at", times.moment(as_of))
     group = ["alert_name", "severity"]
-    in_order = W.partitionBy(*group).orderBy("fired_at")
-    earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
-    upto = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = history.withColumn("_until", until).withColumn("_before", F.max("_until").over(earlier))
-    starts_new = (F.col("_before").isNull() | (F.col("fired_at") > F.col("_before"))).cast("int")
-    episodes = (
-        ends.withColumn("_new", starts_new)
-        .withColumn("_episode", F.sum("_new").over(upto))
-        .groupBy(*group, "_episode")
-        .agg(F.min("fired_at").alias("started_at"), F.max("_until").alias("ended_at"), F.count(F.lit(1)).alias("firings"))
-    )
     wait = F.lit(DEFAULT_WAIT)
     for severity, seconds in GROUP_WAIT.items():
         wait = F.when(F.col("severity") == severity, seconds).otherwise(wait)
     first = F.col("started_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), wait)
     return (
-        episodes.withColumn("_first", first)
+        episodes(history, as_of, group).withColumn("_first", first)
         .filter(F.col("_first") <= F.col("ended_at"))
         .withColumn("notify_at", F.explode(F.sequence("_first", "ended_at", times.interval(hours=REPEAT_HOURS))))
         .select(

@@ -89,6 +89,7 @@ def kpi_change(spans: DataFrame, as_of, **width: int) -> DataFrame:
     both = spans.filter((ts >= start) & (ts < end)).withColumn("_now", ts >= middle)
     now = F.col("_now")
     p95 = exact_quantiles(both, "duration_ms", {"p95": 0.95}, ["_now"])
+    both_p95 = p95.agg(F.struct(F.max(F.when(now, F.col("p95"))).alias("now"), F.max(F.when(~now, F.col("p95"))).alias("before")).alias("p95"))
     sums = both.agg(
         (F.count_if(now) / width_seconds(**width)).alias("rate_now"),
         (F.count_if(~now) / width_seconds(**width)).alias("rate_before"),
@@ -96,10 +97,7 @@ def kpi_change(spans: DataFrame, as_of, **width: int) -> DataFrame:
         F.sum(F.when(~now, F.col("cost_usd"))).alias("cost_before"),
         F.count_if(now).cast("double").alias("count_now"),
         F.count_if(~now).cast("double").alias("count_before"),
-    ).withColumns({
-        "p95_now": p95.filter(now).select("p95").scalar(),
-        "p95_before": p95.filter(~now).select("p95").scalar(),
-    })
+    ).withColumn("p95", both_p95.scalar()).select("*", F.col("p95.now").alias("p95_now"), F.col("p95.before").alias("p95_before"))
 
     def row(label: str, name: str) -> Column:
         current, previous = F.col(f"{name}_now"), F.col(f"{name}_before")

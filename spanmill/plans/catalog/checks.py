@@ -33,12 +33,12 @@ def provider_model_rules(spark, sf):
 
 
 @query("orphan_spans", on_spans(
-    "SELECT trace_id, span_id, parent_span_id, service_name FROM kept s WHERE parent_span_id <> '' AND NOT EXISTS "
-    "(SELECT 1 FROM kept p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id)",
-    "kept AS (SELECT * FROM spans WHERE span_name <> 'view')"))
+    "SELECT trace_id, span_id, parent_span_id, service_name FROM torn s WHERE parent_span_id <> '' AND NOT EXISTS "
+    "(SELECT 1 FROM torn p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id)",
+    f"torn AS (SELECT * REPLACE ({derived.TORN_TRACE} AS trace_id) FROM spans)"))
 def orphan_spans(spark, sf):
-    """With the view spans gone, as if they had been lost on the way."""
-    return quality.orphan_spans(derived.spans(spark, sf).filter("span_name <> 'view'"))
+    """On all spans, of which some come under a trace id of their own."""
+    return quality.orphan_spans(derived.torn_spans(spark, sf))
 
 
 @query("parent_share", on_spans(

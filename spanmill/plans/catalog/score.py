@@ -41,10 +41,8 @@ def faithfulness(spark, sf):
     return derived.responses(spark, sf).select("span_id", scoring.faithfulness().alias("score"))
 
 
-# A word list out of the data itself: every short word of the benchmark items.
-BENCH_WORDS = (
-    f"lexicon AS (SELECT DISTINCT w AS word FROM (SELECT unnest({WORDS.format('text')}) AS w FROM benchmark) WHERE length(w) <= 4)"
-)
+# A word list out of the data itself: every word of the benchmark items.
+BENCH_WORDS = f"lexicon AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS word FROM benchmark)"
 
 
 @query("toxicity", with_(
@@ -53,8 +51,7 @@ BENCH_WORDS = (
     "LEFT JOIN lexicon l ON l.word = d.w GROUP BY doc_id", BENCH_WORDS), digits=12)
 def toxicity(spark, sf):
     """Against a lexicon table, over whole documents."""
-    words = derived.table(spark, sf, "benchmark").select(F.explode(scoring.tokens("text")).alias("word"))
-    lexicon = words.filter(F.length("word") <= 4)
+    lexicon = derived.table(spark, sf, "benchmark").select(F.explode(scoring.tokens("text")).alias("word"))
     scored = scoring.toxicity_by_lexicon(derived.table(spark, sf, "documents"), "doc_id", lexicon, "text")
     return scored.withColumnRenamed("toxicity", "score")
 

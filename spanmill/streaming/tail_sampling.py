@@ -7,6 +7,7 @@ time after the first span of a trace, and remembers the decision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from spanmill.streaming.ingest import WATERMARK
 
 DECISION_MS = 10_000
 DECISION_TTL_MS = 3_600_000
+#: Held spans that are released together.
+PIECE = 10_000
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -81,10 +84,12 @@ class TraceDecision(StatefulProcessor):
             hit = hit | (rows["duration_ms"] > self.slow_ms)
         return bool(hit.any())
 
-    def _release(self) -> pd.DataFrame:
-        rows = pd.DataFrame(list(self.held.get()), columns=self.schema.names)
+    def _release(self) -> Iterator[pd.DataFrame]:
+        """The held spans, piece by piece: a long trace is never in memory as a whole."""
+        held = iter(self.held.get())
+        while piece := list(islice(held, PIECE)):
+            yield pd.DataFrame(piece, columns=self.schema.names)
         self.held.clear()
-        return rows
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
@@ -95,7 +100,7 @@ class TraceDecision(StatefulProcessor):
             if self._must_keep(batch):
                 self.decision.update((True,))
                 if self.held.exists():
-                    yield self._release()
+                    yield from self._release()
                 yield batch[self.schema.names]
                 continue
             if not self.held.exists():

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -107,6 +108,19 @@ def test_depth_of_chains_cycles_and_orphans(spark):
     assert cyclic == {"x", "y", "under", "deeper", "self"}
 
 
+def test_children_of_one_parent_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(trees, "join_per_key", lambda *a, **k: join_per_key(*a, **k, hot_floor=10))
+    edges = [("root", ""), ("hub", "root")] + [(f"k{i}", "hub") for i in range(300)] + [("last", "k7")]
+    df = spans_from(spark, [span("T", s, p) for s, p in edges])
+    got = {r.span_id: r.depth for r in trees.span_depth(df).collect()}
+    assert got == brute_depth(edges)
+
+
+def test_spans_without_trace_id_are_roots(spark):
+    df = spans_from(spark, [span("T", "a"), span("T", "b", "a")]).withColumn("trace_id", F.when(F.col("span_id") == "a", F.col("trace_id")))
+    assert sorted((r.span_id, r.depth) for r in trees.span_depth(df).collect()) == [("a", 0), ("b", 0)]
+
+
 def test_repeated_span_counts_once(spark):
     df = spans_from(spark, [span("T", "a"), span("T", "b", "a"), span("T", "b", "a")])
     assert sorted((r.span_id, r.depth) for r in trees.span_depth(df).collect()) == [("a", 0), ("b", 1)]
@@ -246,6 +260,45 @@ def test_notifications_group_and_repeat(spark):
         ("critical", 0, 10, 2), ("critical", 4, 10, 2), ("critical", 8, 10, 2), ("critical", 20, 10, 1)]
 
 
+def test_episodes_equal_a_sweep_over_all_firings(spark):
+    rng = random.Random(3)
+    day = 1_706_659_200
+    rows = []
+    for _ in range(900):
+        start = day + rng.randrange(0, 40_000, 15)
+        length = rng.choice((0, 15, 120, 3_000)) if rng.random() < 0.98 else 9_000
+        rows.append((rng.choice(("A", "A", "A", "B", None)), "warning", start, start + length if rng.random() < 0.95 else None))
+    rows.append(("A", "warning", None, day))
+    df = spark.createDataFrame(rows, "alert_name string, severity string, f bigint, r bigint")
+    df = df.select("alert_name", "severity", F.timestamp_seconds("f").alias("fired_at"), F.timestamp_seconds("r").alias("resolved_at"))
+    end = day + 21_600
+    got = alerts.episodes(df, "2024-01-31 06:00:00", ["alert_name"]).selectExpr("alert_name", "unix_seconds(started_at)", "unix_seconds(ended_at)", "firings")
+    want = []
+    for name in ("A", "B", None):
+        opened = None
+        for _, _, start, stop in sorted((r for r in rows if r[0] == name and r[2] is not None), key=lambda r: r[2]):
+            stop = end if stop is None else stop
+            if opened is None or start > opened[2]:
+                opened = [name, start, stop, 0]
+                want.append(opened)
+            opened[2] = max(opened[2], stop)
+            opened[3] += 1
+    assert sorted(map(str, (list(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_episodes_of_one_alert_are_spread_over_slots(spark):
+    firing = spark.range(200_000).select(
+        F.lit("A").alias("alert_name"), F.lit("warning").alias("severity"),
+        F.timestamp_seconds(F.lit(1_706_659_200) + F.col("id") % 20_000).alias("fired_at"),
+        F.timestamp_seconds(F.lit(1_706_659_200) + F.col("id") % 20_000 + 5).alias("resolved_at"))
+    found = alerts.episodes(firing, "2024-02-01 00:00:00", ["alert_name"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    over_starts = [line for line in windows if "[fired_at#" in line]
+    assert over_starts and all(re.search(r"_slot#\d+L\], \[fired_at#", line) for line in over_starts)
+    assert [(r.firings, (r.ended_at - r.started_at).total_seconds()) for r in found.collect()] == [(200_000, 20_004.0)]
+
+
 # ---- incidents ----
 
 def test_first_hit_equals_brute_force(spark):

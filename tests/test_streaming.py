@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.operators import rollups as batch
 from spanmill.operators.normalize import with_defaults
@@ -9,6 +10,7 @@ from spanmill.operators.tail_sampling import tail_sample
 from spanmill.schemas import SPANS
 from spanmill.session import settings, work_path
 from spanmill.streaming import ingest, rollups
+from spanmill.streaming import tail_sampling
 from spanmill.streaming.tail_sampling import ONE_SHOT_SETTINGS, tail_sample_join, tail_sample_timed
 
 AS_OF = "2024-02-01 00:00:00"
@@ -79,6 +81,22 @@ def test_timed_form_decides_per_trace(spark, files):
     assert kept.count() == expected.count()
 
 
+def test_held_spans_are_released_in_pieces():
+    class Held:
+        rows = [(str(i), "OK") for i in range(2 * tail_sampling.PIECE + 5)]
+
+        def get(self):
+            return iter(self.rows)
+
+        def clear(self):
+            self.rows = []
+
+    decision = tail_sampling.TraceDecision(T.StructType([T.StructField("span_id", T.StringType()), T.StructField("status_code", T.StringType())]), 1, None)
+    decision.held = Held()
+    pieces = [len(p) for p in decision._release()]
+    assert pieces == [tail_sampling.PIECE, tail_sampling.PIECE, 5] and decision.held.rows == []
+
+
 def test_batched_append_stores_every_row_once(spark, files):
     path, checkpoint = work_path(spark, "append"), work_path(spark, "append-checkpoint")
     for _ in range(2):
