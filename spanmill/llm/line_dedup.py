@@ -8,7 +8,8 @@ again) until few lines are left together or the stretch is a single character. C
 bit-parallel automaton: one small integer for each number of errors, one bit for each diagonal.
 
 A line is removed if the same line, or a line within the bound, stands earlier (smaller doc_id, then smaller line
-number), so the first of its kind stays. Lines shorter than ``min_chars`` always stay.
+number), so the first of its kind stays. A document is known by doc_id and the hash of its text, so that rows may share
+an id; the hash then says which of them is earlier. Lines shorter than ``min_chars`` always stay.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.llm.jaccard import PRUNED
+from spanmill.operators.skew import join_per_key
 from spanmill.session import counted_copy, cut_lineage, settings
 
 MAX_EDITS, MIN_CHARS = 1, 20
@@ -28,13 +30,13 @@ _LAST = 9223372036854775807
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(place, no, line, x, y): the lines that count, by document and number, with a 128-bit hash."""
+    """(place, text_hash, no, line, x, y): the lines that count, by document and number, with a 128-bit hash."""
     split = docs.select(
-        F.coalesce("doc_id", F.lit(_LAST)).alias("place"),
+        F.coalesce("doc_id", F.lit(_LAST)).alias("place"), F.xxhash64("text").alias("text_hash"),
         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"),
     )
     return split.filter(F.char_length("line") >= min_chars).select(
-        "place", "no", "line", F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y")
+        "place", "text_hash", "no", "line", F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y")
     )
 
 
@@ -146,7 +148,7 @@ def similar_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     places = cut_lineage(wanted.select("place").distinct())
     with settings(docs.sparkSession, PRUNED):
         holding = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text").join(places.filter(F.col("place") > -_LAST).withColumnRenamed("place", "doc_id"), "doc_id")
-        texts = _lines(holding, min_chars).join(wanted, ["place", "x", "y"]).groupBy("x", "y").agg(F.min("place").alias("place"), F.min("no").alias("no"), F.first("line").alias("line"))
+        texts = _lines(holding, min_chars).join(wanted, ["place", "x", "y"]).groupBy("x", "y").agg(F.min(F.struct("place", "text_hash", "no")).alias("stand"), F.first("line").alias("line"))
         texts = cut_lineage(texts)
     rebuilt = near.select("x", "y", "probe", "lines").join(texts.select("x", "y", "line"), ["x", "y"]).withColumn("row", F.array(*_probes(max_edits))[F.col("probe")])
     rows = cut_lineage(rebuilt.select("x", "y", F.char_length("line").alias("size"), "line", "lines", "row.*"))
@@ -160,9 +162,9 @@ def similar_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
         busy, left, _ = counted_copy(rows.filter(~done).drop("lines"), F.lit(False))
     pairs = cut_lineage(pairs.distinct())
     for k in "12":
-        pairs = pairs.join(texts.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("place", "no", "line"))), [f"x{k}", f"y{k}"])
+        pairs = pairs.join(texts.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("stand", "line"))), [f"x{k}", f"y{k}"])
     close = (F.char_length("line2") - F.char_length("line1") <= max_edits) & within(F.col("line1"), F.col("line2"), max_edits)
-    second = F.struct("place1", "no1") < F.struct("place2", "no2")
+    second = F.col("stand1") < F.col("stand2")
     later = [F.when(second, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(f"later_{c}") for c in "xy"]
     return distinct.select("x", "y", "place", "times"), cut_lineage(pairs.filter(close).select("x1", "y1", "x2", "y2", *later))
 
@@ -178,27 +180,33 @@ def _own_flags(max_edits: int) -> list[bool]:
 
 
 def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(place, removed, n_near): for documents that lose lines, their sorted numbers, and how many went for a similar line only."""
+    """(place, text_hash, removed, n_near): for documents that lose lines, their sorted numbers, and how many went for a similar line only."""
     distinct, links = similar_lines(docs, max_edits, min_chars)
     later = links.select(F.col("later_x").alias("x"), F.col("later_y").alias("y")).distinct().withColumn("near", F.lit(True))
     known = distinct.join(later, ["x", "y"], "left").filter("times > 1 OR near")
     known = cut_lineage(known.select("x", "y", F.col("place").alias("first_place"), F.coalesce("near", F.lit(False)).alias("near")))
-    met = _lines(docs, min_chars).select("place", "no", "x", "y").join(known, ["x", "y"])
-    # A line may stand twice in the document that has it first.
-    again = met.groupBy("place", "x", "y").agg(F.min("no").alias("first_no"), F.collect_list("no").alias("nos"), F.first("near").alias("near"), F.first("first_place").alias("first_place"))
-    gone = again.select("place", "near", "first_place", "first_no", F.explode("nos").alias("no")).filter("near OR place <> first_place OR no <> first_no")
-    only_near = F.col("near") & (F.col("place") == F.col("first_place")) & (F.col("no") == F.col("first_no"))
-    return gone.groupBy("place").agg(F.sort_array(F.collect_set("no")).alias("removed"), F.count_if(only_near).alias("n_near"))
+    met = _lines(docs, min_chars).select("place", "text_hash", "no", "x", "y").join(known, ["x", "y"])
+    met = cut_lineage(met.withColumn("own", F.col("place") == F.col("first_place")).drop("first_place"))
+    # A line may stand several times under the id that has it first: in one document, or in several that share the id.
+    own = met.filter("own")
+    firsts = own.groupBy("x", "y").agg(F.min(F.struct("text_hash", "no")).alias("first"), F.count(F.lit(1)).alias("key_rows"))
+    own = join_per_key(own, cut_lineage(firsts), ["x", "y"], "text_hash", hot_floor=5_000)
+    own = own.withColumn("is_first", F.struct("text_hash", "no") == F.col("first"))
+    kept = ["place", "text_hash", "no", "near", "is_first"]
+    gone = met.filter("NOT own").withColumn("is_first", F.lit(False)).select(kept).union(own.filter("near OR NOT is_first").select(kept))
+    only_near = F.collect_set(F.when(F.col("near") & F.col("is_first"), F.col("no")))
+    return gone.groupBy("place", "text_hash").agg(F.sort_array(F.collect_set("no")).alias("removed"), F.size(only_near).alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one; same columns, ``text`` shortened, the other lines untouched.
 
-    Edge cases: a null text stays null and an empty text empty; rows without doc_id count as the last document; rows
-    that share a doc_id share its places, so a line at the same place of both stays in both. Documents that lose all
+    Edge cases: a null text stays null and an empty text empty; rows without doc_id count as the last documents; rows
+    with the same doc_id and text are one document and lose the same lines, different texts with one doc_id each their
+    own. Very long texts and lines are taken whole. Documents that lose all
     lines stay with an empty text. An empty table gives an empty result; other columns pass through, whatever their names.
     """
-    removed = cut_lineage(removed_lines(docs, max_edits, min_chars)).select("place", "removed")
+    removed = cut_lineage(removed_lines(docs, max_edits, min_chars)).select("place", "text_hash", "removed")
     lines = F.split("row.text", "\n")
     marks = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(F.size(lines)))
     kept = F.flatten(F.transform(
@@ -206,16 +214,17 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
         lambda j: F.slice(lines, F.element_at(marks, j) + 2, F.element_at(marks, j + 1) - F.element_at(marks, j) - 1),
     ))
     # The row is one column here, so that no name of its own can meet ours.
-    joined = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("place")).join(removed, "place", "left")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("place"), F.xxhash64("text").alias("text_hash"))
+    joined = rows.join(removed, ["place", "text_hash"], "left")
     text = F.when(F.col("removed").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near and ``removed`` (line numbers, comma-joined) of every row of ``docs``."""
-    removed = removed_lines(docs, max_edits, min_chars).withColumnRenamed("place", "_place")
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("_place"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    joined = rows.join(removed, "_place", "left")
+    removed = removed_lines(docs, max_edits, min_chars)
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("place"), F.xxhash64("text").alias("text_hash"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    joined = rows.join(removed, ["place", "text_hash"], "left")
     return joined.select(
         "doc_id", "n_lines",
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),

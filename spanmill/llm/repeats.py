@@ -12,9 +12,10 @@ anchor need to be compared:
 1. Anchors, with a digest of the bytes that their windows span, are dealt by gram. Where gram and digest repeat, all
    windows of all but the first repeat; grams that stand once are done.
 2. Of grams with several surroundings, the first of each surrounding is fetched from its text, and within such a group
-   the suffixes are put in order. Neighbours with ``LENGTH`` equal bytes form runs; a suffix has a previous or next
-   smaller position within its run, that is an earlier match of full length, unless its own position is the smallest.
-   A gram of more than ``CROWD`` surroundings is dealt on by whole windows.
+   the suffixes are put in order, with the lengths that neighbours have in common. Previous and next smaller positions
+   in that order give the longest-previous-factor array; suffixes of which it reaches ``LENGTH`` repeat. Windows of a
+   gram with more than ``CROWD`` surroundings are not held together: the smallest place of each window is taken by an
+   aggregation that combines before it shuffles, and met by all others of its kind, hot windows spread.
 3. The removed ranges meet their text again.
 
 Repeats within what one task reads are settled there, before anything is shuffled.
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from spanmill.llm.bytetext import Slice, cover, mix, ranges, slices
 from spanmill.llm.jaccard import PRUNED
 from spanmill.llm.tasks import Batches, in_arrow
-from spanmill.session import cut_lineage, settings, work_path
+from spanmill.operators.skew import join_per_key
+from spanmill.session import counted_copy, cut_lineage, settings, work_path
 
 LENGTH, GRAM = 100, 32
 CHUNK_BYTES = 8 << 20
@@ -170,14 +172,14 @@ def _compare_anchors(length: int):
     return run
 
 
-def _surroundings(length: int, crowd_limit: int):
-    """Texts with the ranges to fetch from them, to rows (key, doc_id, text_hash, start, bytes); crowded ones window by window."""
+def _surroundings(length: int, whole: bool):
+    """Texts with the ranges to fetch from them, to rows (key, doc_id, text_hash, start, bytes); unless ``whole``, window by window."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             asked = batch.column("asked")
-            keys, starts, stops, crowds = (asked.flatten().field(c).to_numpy() for c in ("key", "start", "stop", "crowd"))
+            keys, starts, stops = (asked.flatten().field(c).to_numpy() for c in ("key", "start", "stop"))
             cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(asked).to_numpy())])
             documents = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -188,7 +190,7 @@ def _surroundings(length: int, crowd_limit: int):
                     start, stop = int(starts[i]), int(stops[i])
                     if stop > len(raw):  # another text with the same hash
                         continue
-                    if crowds[i] <= crowd_limit:
+                    if whole:
                         pieces = [(int(keys[i]), start, raw[start:stop])]
                     else:
                         pieces = [(_digest(raw[p : p + length]), p, raw[p : p + length]) for p in range(start, stop - length + 1)]
@@ -204,35 +206,71 @@ def _surroundings(length: int, crowd_limit: int):
     return run
 
 
+def _crowded_matches(windows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text_hash, start, stop) of the windows that stand earlier too; of windows like those of ``_surroundings``."""
+    windows = cut_lineage(windows)
+    keys = ["key", "bytes"]
+    firsts = windows.groupBy(*keys).agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.count(F.lit(1)).alias("key_rows"))
+    met = join_per_key(windows, cut_lineage(firsts), keys, "doc_id", hot_floor=5_000)
+    later = met.filter(F.struct("doc_id", "text_hash", "start") != F.col("first"))
+    return later.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("stop"))
+
+
 def _digest(window: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
 
 
+def previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array, in suffix order.
+
+    ``place`` tells where each suffix stands and ``common`` how many bytes it shares with the suffix before it in order
+    (the first: 0). The longest earlier match of a suffix is with its previous or its next smaller position in that order,
+    and is as long as the least of ``common`` on the way there. Both are found by pointer jumping over whole arrays: what lies
+    between a suffix and the one it points to is never smaller, so a pointer to one that is not smaller moves to where that one points.
+    """
+    def towards_start(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+        # Slot 0 is a bound smaller than all places.
+        held = np.concatenate([[np.iinfo(np.int64).min], place])
+        length = np.concatenate([[0], common])
+        at = np.maximum(np.arange(len(held)) - 1, 0)
+        open_ = np.flatnonzero(held[at] >= held)
+        open_ = open_[open_ > 0]
+        while len(open_):
+            over = at[open_]
+            length[open_] = np.minimum(length[open_], length[over])
+            at[open_] = at[over]
+            open_ = open_[held[at[open_]] >= held[open_]]
+        return np.where(at[1:] > 0, length[1:], 0)
+
+    following = np.append(common[1:], 0)
+    return np.maximum(towards_start(place, common), towards_start(place[::-1], following[::-1])[::-1])
+
+
 def earlier_matches(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Which suffixes have an earlier match of ``length`` bytes, for pieces of texts.
 
     Piece i is data[bounds[i]:bounds[i + 1]] and stands at (docs[i], hashes[i], starts[i]); the suffixes are all of its starts
-    that have ``length`` bytes, piece by piece.
+    that have ``length`` bytes, piece by piece. They are put in order by those bytes, so common prefixes count up to ``length``.
     """
     counts = np.diff(bounds) - length + 1
     at = ranges(bounds[:-1], counts)
     suffixes = np.lib.stride_tricks.sliding_window_view(data, length)[at]
     order = np.argsort(suffixes.view(f"S{length}").ravel(), kind="stable")
     ordered = suffixes[order]
-    common = np.ones(len(order), bool)  # with the suffix before it
-    common[0] = False
-    common[1:] = (ordered[1:] == ordered[:-1]).all(axis=1)
-    run = np.cumsum(~common) - 1
+    common = np.zeros(len(order), np.int64)  # with the suffix before it
+    differ = ordered[1:] != ordered[:-1]
+    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
     doc, text_hash, start = np.repeat(docs, counts), np.repeat(hashes, counts), np.repeat(starts - bounds[:-1], counts) + at
     same = np.lexsort((start, text_hash, doc))
+    # The same place may be held twice, by repeated rows; it is no match of its own.
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[same][1:] != x[same][:-1] for x in (doc, text_hash, start)], axis=0)
     place = np.empty(len(order), np.int64)
-    place[same] = np.arange(len(order))
-    smallest = np.minimum.reduceat(place[order], np.flatnonzero(~common))
+    place[same] = np.cumsum(new)
     earlier = np.empty(len(order), bool)
-    earlier[order] = place[order] > smallest[run]
-    # The same place may be held twice, by repeated rows; it is no match of its own.
+    earlier[order] = previous_factors(place[order], common) >= length
     twin = np.zeros(len(order), bool)
-    twin[same[1:]] = np.all([x[same][1:] == x[same][:-1] for x in (doc, text_hash, start)], axis=0)
+    twin[same[~new]] = True
     return earlier & ~twin
 
 
@@ -282,12 +320,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     kinds = "kind int, key bigint, doc_id bigint, text_hash bigint, start bigint, stop bigint, crowd bigint"
     in_arrow(dealt.repartition(tasks, "part").sortWithinPartitions("part"), _compare_anchors(length), kinds).write.partitionBy("kind").parquet(path)
     found = spark.read.schema(kinds).parquet(path)
-    asked = cut_lineage(found.filter("kind = 2").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "start", "stop", "crowd")).alias("asked")))
-    with settings(spark, PRUNED):
+    crowded = F.col("crowd") > CROWD
+    looked, _, crowds = counted_copy(found.filter("kind = 2").select("doc_id", "text_hash", "key", "start", "stop", "crowd"), crowded)
+
+    def pieces(rows: DataFrame, whole: bool) -> DataFrame:
+        asked = cut_lineage(rows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "start", "stop")).alias("asked")))
         texts = known.join(asked.filter("doc_id > -9223372036854775808"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "asked")
-        pieces = in_arrow(texts, _surroundings(length, CROWD), "key bigint, doc_id bigint, text_hash bigint, start bigint, bytes binary")
-        ordered = in_arrow(pieces.repartition(tasks, "key").sortWithinPartitions("key"), _order_suffixes(length), "doc_id bigint, text_hash bigint, start bigint, stop bigint")
-        matched = cut_lineage(ordered)
+        return in_arrow(texts, _surroundings(length, whole), "key bigint, doc_id bigint, text_hash bigint, start bigint, bytes binary")
+
+    with settings(spark, PRUNED):
+        grouped = pieces(looked.filter(~crowded), True).repartition(tasks, "key").sortWithinPartitions("key")
+        matched = cut_lineage(in_arrow(grouped, _order_suffixes(length), "doc_id bigint, text_hash bigint, start bigint, stop bigint"))
+        if crowds:
+            matched = matched.union(cut_lineage(_crowded_matches(pieces(looked.filter(crowded), False), length)))
     return found.filter("kind = 1").select("doc_id", "text_hash", "start", "stop").union(matched)
 
 

@@ -112,6 +112,34 @@ def test_repeats_equal_brute_force(spark, hostile, monkeypatch):
     assert kept == {i: v[3] for i, v in expected.items()}
 
 
+def test_previous_factors_equal_brute_force():
+    draw = random.Random(8)
+    for _ in range(300):
+        texts = ["".join(draw.choices("ab", k=draw.randint(0, 25))) for _ in range(draw.randint(1, 4))]
+        suffixes = sorted((text[k:], d, k) for d, text in enumerate(texts) for k in range(len(text)))
+        place = np.array([d * 100 + k for _, d, k in suffixes], np.int64)
+        if draw.random() < 0.3 and len(place):
+            place[draw.randrange(len(place))] = place[0]
+
+        def shared(a, b):
+            return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        common = np.array([shared(suffixes[i - 1][0], s[0]) if i else 0 for i, s in enumerate(suffixes)], np.int64)
+        want = [max((shared(s[0], t[0]) for t, p in zip(suffixes, place) if p < place[i]), default=0) for i, s in enumerate(suffixes)]
+        assert repeats_op.previous_factors(place, common).tolist() == want
+
+
+def test_a_passage_of_a_third_of_all_documents(spark, monkeypatch):
+    """Every document holds it between words of its own, so nothing folds before the groups."""
+    passage = sentence(30)
+    docs = [(i, f"{sentence(4)} {i} {passage} {i} {sentence(4)}" if i % 3 == 0 else sentence(20)) for i in range(300)]
+    expected = repeats(docs)
+    assert sum(v[2] > 0 for v in expected.values()) >= 99
+    for crowd in (20_000, 20):
+        monkeypatch.setattr(repeats_op, "CROWD", crowd)
+        assert by_id(repeats_op.repeat_report(doc_frame(spark, docs))) == expected
+
+
 def test_repeats_of_texts_that_share_an_id(spark):
     """Each text loses its own repeats only; repeated rows are one document."""
     t, u, v = sentence(80), sentence(80), sentence(80)
@@ -127,6 +155,26 @@ def test_repeats_without_ids_stay_whole(spark):
     assert sorted((r[0] or -1, r[2]) for r in found) == [(-1, 0), (-1, 0), (3, 0), (3, 0), (4, len(text.encode()))]
 
 
+def test_lines_of_texts_that_share_an_id(spark):
+    """Each text loses its own lines only; of several texts with one id the one with the smaller hash is earlier."""
+    one, two, three = (f"a line with the number {k} and words enough" for k in ("one", "two2", "three33"))
+    docs = [(1, f"{one}\nown of the first text of this id"), (1, f"own of the other text of this id\n{one}"), (2, f"{two}\n{one}"), (2, f"own line of the text\n{two}"), (2, f"own line of the text\n{two}"),
+            (None, f"{three}\n{two}"), (None, f"{three}\nquite another line than those above")]
+    hashed = [(r.doc_id, r.h, r.text) for r in doc_frame(spark, docs).selectExpr("doc_id", "xxhash64(text) AS h", "text").collect()]
+    seen, want = set(), {}
+    for _, h, text in sorted(set(hashed), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        left = []
+        for line in text.split("\n"):
+            if line not in seen:
+                left.append(line)
+                seen.add(line)
+        want[text] = "\n".join(left)
+    kept = sorted(r.text for r in line_dedup.dedup_lines(doc_frame(spark, docs)).collect())
+    assert kept == sorted(want[text] for _, text in docs)
+    report = sorted((r.doc_id or 9, r.n_removed) for r in line_dedup.line_report(doc_frame(spark, docs)).collect())
+    assert report == sorted((i or 9, text.count("\n") + 1 - (want[text].count("\n") + 1 if want[text] else 0)) for i, text in docs)
+
+
 def line_docs():
     lines = [sentence(8) for _ in range(12)]
     typo = lambda s, k: s[:k] + "#" + s[k + 1 :]
