@@ -21,10 +21,14 @@ Sets that lose more signatures than their reserve, or whose n-grams fill too few
 two sets that the signatures miss lies between two of them. They are searched again by the n-grams themselves, rarest
 first: sets of sizes a and b that share c n-grams have one of their a - c + 1 and b - c + 1 rarest in common. Keys carry
 the steps of both sizes, so c is nearly that of the pair, and what many texts share stays out of the keys as long as a
-text has enough of its own. Keys of many sets that share a pivot become one family, whose sets meet leaders, ``LEADERS``
-at a time, those of small classes first, until the family is of one class or all have led; again no key forms all its
-pairs. A pair of leader and set goes to verification only if parity bits of their n-grams, of which a different n-gram
-changes at most one, differ in no more places than the sizes allow.
+text has enough of its own. Keys of many sets that share a set become one family.
+
+A family never forms all its pairs. Its sets are written as differences from one of them, the pivot: sets at distances
+d and e from it with c differences in common are d + e - 2c apart. If they link with c = 0, both link with the set
+nearest to the pivot, so one comparison for each set settles them. All others share one of their rarest differences,
+the more of them the farther they lie; what the whole family has in common is no difference of any. Sets that share
+such a difference are paired if they are few (and if parity bits of their n-grams, of which a different n-gram changes
+at most one, differ in no more places than the sizes allow), and are a smaller family otherwise.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ from spanmill.session import counted_copy, cut_lineage, settings, work_path
 WORDS, PERCENT = 5, 80
 #: A signature of more sets than this is left out of pair forming (see the module's text for why none is lost).
 FEW = 24
-#: Sets of a family that lead in one round.
+#: Sets of a family of which the most central one becomes its pivot.
 LEADERS = 256
 #: Parity bits of a set, in longs of 64.
 _PARITY_LONGS = 32
@@ -402,7 +406,11 @@ def _pairs_between(rows: DataFrame, plausible: Column | None = None) -> DataFram
 
 def _still_open(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """``shared`` with class and sets: the signatures whose sets are not all in one class yet, and how many sets they have."""
-    classed = cut_lineage(shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"))
+    return _mixed(cut_lineage(shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")))
+
+
+def _mixed(classed: DataFrame) -> DataFrame:
+    """The rows of the signatures that have several classes, with their number of sets."""
     mixed = classed.groupBy("signature").agg(F.count(F.lit(1)).alias("sets"), F.min("class").alias("low"), F.max("class").alias("high"))
     mixed = cut_lineage(mixed.withColumn("key_rows", F.col("sets")))
     joined = join_per_key(classed, mixed, ["signature"], "node", how="inner", match=F.col("low") != F.col("high"), hot_floor=5_000)
@@ -469,13 +477,12 @@ def _prefix_rows(percent: int):
     return run
 
 
-def _prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(signature, node, place, size) of the sets of ``texts`` (node, text): keys of their rarest n-grams."""
+def _ranked_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, grams) of the sets of ``texts`` (node, text): n-grams with the number of sets that have them, rarest first."""
     grams = cut_lineage(in_arrow(texts.select("node", "text"), _gram_rows(words), "node bigint, gram bigint"))
     counts = cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).withColumn("key_rows", F.col("n")))
     ranked = join_per_key(grams, counts, ["gram"], "node", hot_floor=5_000)
-    listed = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
-    return cut_lineage(in_arrow(listed, _prefix_rows(percent), "signature bigint, node bigint, place bigint, size bigint"))
+    return cut_lineage(ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams")))
 
 
 def _reach(one: str, two: str, percent: int) -> Column:
@@ -514,60 +521,159 @@ def _may_link(one: str, two: str, percent: int) -> Column:
     return sizes & (apart * (100 + percent) <= (size_a + size_b) * (100 - percent))
 
 
-def _leader_pairs(rows: DataFrame, leaders: int, allowed) -> tuple[DataFrame, DataFrame]:
-    """Up to ``leaders`` sets of every signature against its other sets: (a, b) of different classes that ``allowed`` lets pass, and (signature, node) of the leaders.
+def _leader_pairs(rows: DataFrame, allowed) -> DataFrame:
+    """One set of every signature against its other sets: (a, b) of different classes that ``allowed`` lets pass.
 
-    Sets of the classes with the fewest sets in a signature lead: once they have, the largest class is alone.
+    A set of the class with the fewest sets in the signature leads.
     """
     kept = [c for c in rows.columns if c not in ("signature", "sets")]
     per_class = cut_lineage(rows.groupBy("signature", "class").agg(F.count(F.lit(1)).alias("key_rows")).withColumn("kin", F.col("key_rows")))
     rows = cut_lineage(join_per_key(rows, per_class, ["signature", "class"], "node", hot_floor=5_000))
-    slot = F.pmod(F.xxhash64("node"), F.lit(leaders))
-    first = rows.groupBy("signature", slot.alias("slot")).agg(F.min(F.struct("kin", *kept)).alias("leader"), F.count(F.lit(1)).alias("n"))
-    listed = cut_lineage(first.groupBy("signature").agg(F.collect_list("leader").alias("leaders"), F.sum("n").alias("key_rows")))
-    met = join_per_key(rows, listed, ["signature"], "node", hot_floor=5_000).select(F.struct(*kept).alias("one"), F.explode("leaders").alias("two"))
+    first = cut_lineage(rows.groupBy("signature").agg(F.min(F.struct("kin", *kept)).alias("two"), F.count(F.lit(1)).alias("key_rows")))
+    met = join_per_key(rows, first, ["signature"], "node", hot_floor=5_000).select(F.struct(*kept).alias("one"), "two")
     other = (F.col("one.class") != F.col("two.class")) & (F.col("one.node") != F.col("two.node"))
     met = met.filter(F.when(other, allowed("one", "two")).otherwise(False))
-    pairs = met.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).distinct()
-    return pairs, listed.select("signature", F.explode("leaders.node").alias("node"))
+    return met.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).distinct()
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """(signature, node, size): the sets of all keys that have the same set of smallest hash, under that set."""
+    found = rows.groupBy("signature").agg(F.min(F.struct(F.xxhash64("node").alias("hash"), "node")).alias("found"), F.count(F.lit(1)).alias("key_rows"))
+    found = cut_lineage(found.select("signature", F.col("found.node").alias("family"), "key_rows"))
+    met = join_per_key(rows.select("signature", "node", "size"), found, ["signature"], "node", hot_floor=5_000)
+    return cut_lineage(met.select(F.col("family").alias("signature"), "node", "size").distinct())
+
+
+def _central(rows: DataFrame, bits: DataFrame, leaders: int) -> DataFrame:
+    """(signature, pivot): of up to ``leaders`` sets of each family the one whose parity bits differ least from those of the others."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            pivots = []
+            for listed in batch.column("drawn"):
+                nodes, packed = (listed.values.field(k) for k in (0, 1))
+                packed = packed.flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
+                apart = [int(np.bitwise_count(packed ^ own).sum()) for own in packed]
+                pivots.append(nodes[int(np.argmin(apart))].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column("signature"), pa.array(pivots, pa.int64())], ["signature", "pivot"])
+
+    slot = F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("slot")
+    drawn = rows.groupBy("signature", slot).agg(F.min("node").alias("node")).join(bits, "node")
+    listed = drawn.groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("node", "bits"))).alias("drawn"))
+    return cut_lineage(in_arrow(listed, run, "signature bigint, pivot bigint"))
+
 
+def _difference_rows(batches: Batches) -> Batches:
+    """Sets with their pivot's to their distance and their differences in order, rarest in the family first.
+
+    A difference that no other set can have keeps its place but is left out.
+    """
+    for batch in batches:
+        distances, places, found = [], [], []
+        for many, own, base in zip(batch.column("family_rows").to_pylist(), batch.column("grams"), batch.column("base"), strict=True):
+            (counts, grams), (base_counts, base_grams) = ([x.values.field(k).to_numpy() for k in (0, 1)] for x in (own, base))
+            more, less = ~np.isin(grams, base_grams), ~np.isin(base_grams, grams)
+            differing = np.concatenate([grams[more], base_grams[less]])
+            rarity = np.concatenate([counts[more], many - base_counts[less]])
+            alone = np.concatenate([counts[more] <= 1, np.zeros(int(less.sum()), bool)])
+            order = np.lexsort((differing, rarity))
+            place = np.flatnonzero(~alone[order])
+            distances.append(len(differing))
+            places.append(place)
+            found.append(differing[order][place])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("signature"), batch.column("node"), batch.column("size"), batch.column("class"), pa.array(distances, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))],
+            ["signature", "node", "size", "class", "distance", "places", "differing"],
+        )
+
+
+def _differences(rows: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (signature, node, size, class) with the differences from the pivot of their family.
+
+    ``near`` is what a set brings to a link: sets without a common difference link if their sum is not negative.
+    """
+    many = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("key_rows")).withColumn("family_rows", F.col("key_rows"))
+    bases = cut_lineage(many.join(pivots, "signature").join(sets.select(F.col("node").alias("pivot"), F.col("grams").alias("base")), "pivot").drop("pivot"))
+    met = join_per_key(rows.join(sets, "node"), bases, ["signature"], "node", hot_floor=5_000)
+    met = met.select("signature", "node", "size", "class", "family_rows", "grams", "base")
+    apart = in_arrow(met, _difference_rows, "signature bigint, node bigint, size bigint, class bigint, distance bigint, places array<bigint>, differing array<bigint>")
+    return cut_lineage(apart.withColumn("near", (100 - percent) * F.col("size") - (100 + percent) * F.col("distance")))
+
+
+def _settled_by_nearest(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the set nearest to each pivot and those that link with it without a common difference, unless of its class; ``apart`` with all these in its class."""
+    nearest = apart.groupBy("signature").agg(F.max(F.struct("near", "node", "class")).alias("top"), F.count(F.lit(1)).alias("key_rows"))
+    met = cut_lineage(join_per_key(apart, cut_lineage(nearest), ["signature"], "node", hot_floor=5_000))
+    links = F.col("near") + F.col("top.near") >= 0
+    pairs = met.filter(links & (F.col("class") != F.col("top.class"))).select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
+    return pairs, met.withColumn("class", F.when(links, F.col("top.class")).otherwise(F.col("class"))).drop("top")
 
-def _families(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """(signature, node, size, bits): the sets of all keys that have the same pivot, the set of smallest hash in a key."""
-    pivots = rows.groupBy("signature").agg(F.min(F.struct(F.xxhash64("node").alias("hash"), "node")).alias("pivot"), F.count(F.lit(1)).alias("key_rows"))
-    pivots = cut_lineage(pivots.select("signature", F.col("pivot.node").alias("pivot"), "key_rows"))
-    met = join_per_key(rows.select("signature", "node", "size"), pivots, ["signature"], "node", hot_floor=5_000)
-    return cut_lineage(met.select(F.col("pivot").alias("signature"), "node", "size").distinct().join(bits, "node"))
+
+def _difference_keys(apart: DataFrame, percent: int) -> DataFrame:
+    """(family, signature, node, place, size, distance, near, class, sets): keys of the rarest differences that sets of several classes share.
+
+    A set is asked for as many as any set of another class in its family must have in common with it.
+    """
+    per_class = cut_lineage(apart.groupBy("signature", "class").agg(F.max("near").alias("near"), F.count(F.lit(1)).alias("key_rows")))
+    top = per_class.groupBy("signature").agg(F.max(F.struct("near", "class")).alias("top"), F.sum("key_rows").alias("key_rows"))
+    others = per_class.join(top.select("signature", "top"), "signature").filter(F.col("class") != F.col("top.class"))
+    best = cut_lineage(others.groupBy("signature").agg(F.max("near").alias("second")).join(top, "signature"))
+    met = join_per_key(apart, best, ["signature"], "node", how="inner", hot_floor=5_000)
+    partner = F.when(F.col("class") == F.col("top.class"), F.col("second")).otherwise(F.col("top.near"))
+    common = F.greatest(F.lit(1), F.ceil(-(F.col("near") + partner) / (2 * (100 + percent))))
+    first = met.withColumn("kept", F.col("distance") - common + 1).withColumn("key", F.explode(F.filter(F.arrays_zip("places", "differing"), lambda x: x["places"] < F.col("kept"))))
+    return _mixed(cut_lineage(first.select(
+        F.col("signature").alias("family"), F.xxhash64("signature", "key.differing").alias("signature"), "node", F.col("key.places").alias("place"), "size", "distance", "near", "class"
+    )))
+
+
+def _smaller_families(rows: DataFrame) -> DataFrame:
+    """(signature, node, size, class): the sets of all keys of one family that have the same set nearest to its pivot.
+
+    The pivot itself has no differences, so the smaller families lack it and rounds come to an end.
+    """
+    nearest = rows.groupBy("signature").agg(F.max(F.struct("near", F.xxhash64("node").alias("hash"), "node")).alias("top"), F.count(F.lit(1)).alias("key_rows"))
+    nearest = cut_lineage(nearest.select("signature", F.col("top.node").alias("nearest"), "key_rows"))
+    met = join_per_key(rows.select("family", "signature", "node", "size", "class"), nearest, ["signature"], "node", hot_floor=5_000)
+    return _mixed(cut_lineage(met.select(F.xxhash64("family", "nearest").alias("signature"), "node", "size", "class").distinct()))
 
 
 def _rest(texts: DataFrame, classes, add, words: int, percent: int) -> None:
     """Add the links between the sets of ``texts`` (node, text) that ``classes()`` does not connect yet.
 
-    First one leader for each key, which settles groups of copies; then pairs where few sets share a key; then families.
-    Leaders have met all sets of their family and leave it, so each round is smaller.
+    First one leader for each key, which settles groups of copies; then pairs where few sets share a key; then families
+    by differences from their pivots, each round with smaller ones.
     """
     def reach(one: str, two: str) -> Column:
         return _reach(one, two, percent)
 
-    def may_link(one: str, two: str) -> Column:
-        return _may_link(one, two, percent)
-
-    rows = _still_open(_prefixes(texts, words, percent), classes())
-    pairs, _ = _leader_pairs(rows, 1, reach)
-    add(pairs)
+    sets = _ranked_sets(texts, words)
+    keys = cut_lineage(in_arrow(sets, _prefix_rows(percent), "signature bigint, node bigint, place bigint, size bigint"))
+    rows = _still_open(keys, classes())
+    add(_leader_pairs(rows, reach))
     rows = _still_open(rows.select("signature", "node", "place", "size"), classes())
     add(_pairs_between(rows.filter(F.col("sets") <= FEW), reach("one", "two")).select("a", "b"))
     rows, crowded, _ = counted_copy(rows.filter(F.col("sets") > FEW), F.lit(False))
     if not crowded:
         return
-    rows = _families(rows, _parities(texts.join(rows.select("node").distinct(), "node", "left_semi"), words))
+    bits = _parities(texts.join(rows.select("node").distinct(), "node", "left_semi"), words)
+    rows = _families(rows)
+    common = F.least(F.col("one.distance") - F.col("one.place"), F.col("two.distance") - F.col("two.place"))
+    enough = 2 * (100 + percent) * common >= -(F.col("one.near") + F.col("two.near"))
     while True:
         rows, count, _ = counted_copy(_still_open(rows, classes()), F.lit(False))
         if not count:
             return
-        pairs, led = _leader_pairs(rows, LEADERS, may_link)
+        pairs, apart = _settled_by_nearest(_differences(rows, _central(rows, bits, LEADERS), sets, percent))
         add(pairs)
-        rows = rows.join(led, ["signature", "node"], "left_anti").select("signature", "node", "size", "bits")
+        keys = _difference_keys(apart, percent)
+        rows = _smaller_families(keys.filter(F.col("sets") > FEW))
+        pairs = _pairs_between(keys.filter(F.col("sets") <= FEW), enough).union(_pairs_between(rows.filter(F.col("sets") <= 2 * FEW))).select("a", "b").distinct()
+        for side, name in (("a", "one"), ("b", "two")):
+            known = sets.select("node", F.size("grams").cast("long").alias("size")).join(bits, "node")
+            pairs = pairs.join(known.select(F.col("node").alias(side), F.struct("size", "bits").alias(name)), side)
+        add(pairs.filter(_may_link("one", "two", percent)).select("a", "b"))
+        rows = rows.filter(F.col("sets") > 2 * FEW).select("signature", "node", "size")
 
 
 def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[list[DataFrame], DataFrame]:

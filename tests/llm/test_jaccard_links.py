@@ -57,3 +57,24 @@ def test_parity_bits_never_exceed_the_difference(spark):
         for b in grams:
             apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits[a], bits[b], strict=True))
             assert apart <= len(grams[a] ^ grams[b]) and (a == b) == (apart == 0)
+
+
+def test_families_are_judged_by_differences_from_a_pivot(spark):
+    """What a family has in common, the pivot's own words too, makes no key; one comparison for each set is left."""
+    draw = random.Random(7)
+    template = words(draw, 100)
+    rows = []
+    for k in range(120):
+        text = list(template)
+        for at in draw.sample(range(100), 4):
+            text[at] = words(draw, 1)[0]
+        rows.append((k, " ".join(text)))
+    sets = jaccard._ranked_sets(spark.createDataFrame(rows, "node bigint, text string"), 5)
+    family = sets.selectExpr("1L AS signature", "node", "cast(size(grams) AS bigint) AS size", "node AS class")
+    pivots = spark.createDataFrame([(1, 0)], "signature bigint, pivot bigint")
+    apart = jaccard._differences(family, pivots, sets, 80)
+    grams = {k: {tuple(t.split()[i : i + 5]) for i in range(96)} for k, t in rows}
+    assert {r["node"]: r["distance"] for r in apart.collect()} == {k: len(grams[k] ^ grams[0]) for k in grams}
+    pairs, settled = jaccard._settled_by_nearest(apart)
+    assert pairs.count() < 120
+    assert jaccard._difference_keys(settled, 80).count() < 120 * 96
