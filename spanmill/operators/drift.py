@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ DENSITY_FLOOR = 1e-6
 MIN_CURRENT = 10
 CURRENT_DAYS = 7
 BASELINE_DAYS = 28
+#: Texts whose vectors are counted at a time.
+EMBED_PIECE = 500
 
 
 # ---- embeddings ----
@@ -36,18 +39,26 @@ def embed_text(df: DataFrame, text: str, out: str = "embedding", dims: int = DIM
     """Hashed word counts of unit length (all zero for a text without words).
 
     Words are cut and hashed in Catalyst; only the counting of slots runs in Python, over
-    Arrow batches. Nothing is shuffled, unlike counting by (row, slot) groups.
+    pieces of Arrow batches, so a task holds few vectors at a time. Nothing is shuffled,
+    unlike counting by (row, slot) groups.
     """
 
-    @F.pandas_udf("array<float>")
-    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    piece = EMBED_PIECE
+
+    def unit_counts(slots: pa.Array) -> pa.Array:
+        offsets = slots.offsets.to_numpy()
+        held = slots.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(slots)), np.diff(offsets))
+        found = np.bincount(owner * dims + held, minlength=len(slots) * dims).astype(np.float64).reshape(len(slots), dims)
+        norm = np.sqrt((found * found).sum(axis=1, keepdims=True))
+        np.divide(found, norm, out=found, where=norm > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1) * dims, pa.int32()), pa.array(found.astype(np.float32).ravel()))
+
+    @F.arrow_udf("array<float>")
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for slots in batches:
-            vectors = []
-            for row in slots:
-                vector = np.bincount(np.asarray(row, dtype=np.int64), minlength=dims).astype(np.float64)
-                norm = np.sqrt((vector * vector).sum())
-                vectors.append((vector / norm if norm else vector).astype(np.float32))
-            yield pd.Series(vectors)
+            for at in range(0, len(slots), piece):
+                yield unit_counts(slots.slice(at, piece))
 
     return df.withColumn(out, counts(token_slots(text, dims)))
 

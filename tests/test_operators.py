@@ -556,3 +556,16 @@ def test_rules_do_not_see_the_future(spark):
     found = alerts.evaluate_rules(signals, rules, "1970-01-01 00:05:00").collect()
     assert [str(r.started_at) for r in found] == ["1970-01-01 00:03:00"]
     assert alerts.evaluate_rules(signals, rules, "1970-01-01 00:09:00", since="1970-01-01 00:05:00").count() == 1
+
+
+def test_embedding_holds_few_vectors_at_a_time(spark, monkeypatch):
+    """Every vector is right whatever the piece, a text without words and a missing one too."""
+    monkeypatch.setattr(drift, "EMBED_PIECE", 3)
+    texts = [" ".join(["w%d" % (k % 5)] * (k % 4) + ["x"] * (k % 3)) for k in range(11)] + [""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    got = {r.id: (r.slots, r.v) for r in drift.embed_text(df, "t", "v", dims=16).withColumn("slots", drift.token_slots("t", 16)).collect()}
+    for slots, vector in got.values():
+        counts = [slots.count(k) for k in range(16)]
+        norm = sum(c * c for c in counts) ** 0.5 or 1.0
+        assert vector == pytest.approx([c / norm for c in counts])
+    assert len(got) == 12
