@@ -78,11 +78,10 @@ class TraceDecision(StatefulProcessor):
         decision = T.StructType([T.StructField("keep", T.BooleanType())])
         self.decision = handle.getValueState("decision", decision, DECISION_TTL_MS)
 
-    def _must_keep(self, rows: pd.DataFrame) -> bool:
-        hit = rows["status_code"] == "ERROR"
-        if self.slow_ms is not None:
-            hit = hit | (rows["duration_ms"] > self.slow_ms)
-        return bool(hit.any())
+    def _must_keep(self, columns: dict[str, list]) -> bool:
+        if "ERROR" in columns["status_code"]:
+            return True
+        return self.slow_ms is not None and any(d is not None and d > self.slow_ms for d in columns["duration_ms"])
 
     def _release(self) -> Iterator[pd.DataFrame]:
         """The held spans, piece by piece: a long trace is never in memory as a whole."""
@@ -92,20 +91,24 @@ class TraceDecision(StatefulProcessor):
         self.held.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A trace has few spans: plain lists cost less than operations on frames, and each call of the state a round trip.
+        decided = self.decision.get()
         for batch in rows:
-            if self.decision.exists():
-                if self.decision.get()[0]:
+            columns = {name: batch[name].tolist() for name in self.schema.names}
+            if decided is not None:
+                if decided[0]:
                     yield batch[self.schema.names]
                 continue
-            if self._must_keep(batch):
-                self.decision.update((True,))
+            if self._must_keep(columns):
+                decided = (True,)
+                self.decision.update(decided)
                 if self.held.exists():
                     yield from self._release()
                 yield batch[self.schema.names]
                 continue
             if not self.held.exists():
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-            self.held.appendList([tuple(r) for r in batch[self.schema.names].itertuples(index=False)])
+            self.held.appendList(list(zip(*columns.values(), strict=True)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # No reason turned up in time; traces of the share never come here.

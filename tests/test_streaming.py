@@ -1,5 +1,6 @@
 """Streams against the batch form of the same operator, with input in several files."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +98,46 @@ def test_held_spans_are_released_in_pieces():
     assert pieces == [tail_sampling.PIECE, tail_sampling.PIECE, 5] and decision.held.rows == []
 
 
+def test_a_trace_asks_the_state_once_for_its_decision():
+    """Three pieces of one trace, an error in the second: one call for the decision, one timer, the held rows first."""
+    calls = []
+
+    class State:
+        rows = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows) if self is held else None
+
+        def exists(self):
+            calls.append("exists")
+            return self is held and bool(self.rows)
+
+        def update(self, value):
+            calls.append(value)
+
+        def appendList(self, rows):
+            self.rows = self.rows + rows
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 100
+
+    schema = T.StructType([T.StructField("span_id", T.StringType()), T.StructField("status_code", T.StringType()), T.StructField("duration_ms", T.DoubleType())])
+    sampler, held = tail_sampling.TraceDecision(schema, 7, None), State()
+    sampler.handle, sampler.decision, sampler.held = State(), State(), held
+    pieces = [pd.DataFrame([(name, status, 1.0)], columns=schema.names) for name, status in (("a", "OK"), ("b", "ERROR"), ("c", "OK"))]
+    out = pd.concat(sampler.handleInputRows(("t",), iter(pieces), Now()))
+    assert out["span_id"].tolist() == ["a", "b", "c"] and held.rows == []
+    assert calls == ["get", "exists", 107, (True,), "exists", "get"]
+
+
 def test_batched_append_stores_every_row_once(spark, files):
     path, checkpoint = work_path(spark, "append"), work_path(spark, "append-checkpoint")
     for _ in range(2):
