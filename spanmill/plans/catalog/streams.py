@@ -30,6 +30,8 @@ SPAN_COLUMNS = ["trace_id", "span_id", "status_code", "start_time", "duration_ms
 
 #: Files that a streamed table is dealt into besides the late ones, one batch each.
 FILES, LATE_FILES = 4, 2
+#: Bytes of a row group of such a file: a batch is one file, and a row group is the least that a task reads.
+ROW_GROUP = 4 << 20
 
 
 def stream(spark, sf, name: str):
@@ -43,8 +45,8 @@ def stream_in_order(spark, sf, name: str, order: str):
     rows = derived.table(spark, sf, name)
     path = work_path(spark, f"{name}-files")
     late = F.pmod(F.xxhash64(order), F.lit(10)) == 0
-    rows.filter(~late).repartitionByRange(FILES, order).write.parquet(path)
-    rows.filter(late).repartition(LATE_FILES, order).write.mode("append").parquet(path)
+    rows.filter(~late).repartitionByRange(FILES, order).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    rows.filter(late).repartition(LATE_FILES, order).write.option("parquet.block.size", ROW_GROUP).mode("append").parquet(path)
     return ingest.stream_files(spark, path, rows.schema, max_files=1)
 
 

@@ -1,6 +1,9 @@
 """Streams against the batch form of the same operator, with input in several files."""
 
+from pathlib import Path
+
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -8,6 +11,7 @@ from pyspark.sql import types as T
 from spanmill.operators import rollups as batch
 from spanmill.operators.normalize import with_defaults
 from spanmill.operators.tail_sampling import tail_sample
+from spanmill.plans.catalog import streams
 from spanmill.schemas import SPANS
 from spanmill.session import settings, work_path
 from spanmill.streaming import ingest, rollups
@@ -171,3 +175,14 @@ def test_since_prunes_days(spark, files):
     plan = rollups.read_partials(spark, path, "2024-02-01 00:00:00")
     assert plan.count() == 0
     assert "PartitionFilters: [isnotnull(on_day" in plan._jdf.queryExecution().toString()
+
+
+def test_files_of_a_stream_are_read_by_many_tasks(spark, tmp_path):
+    """Each file is a batch of its own, and must not be one row group, which one task would read."""
+    rows = spark.range(1_500_000).select("id", F.md5(F.col("id").cast("string")).alias("text"))
+    rows.write.parquet(f"{tmp_path}/wide.parquet")
+    streams.stream_in_order(spark, str(tmp_path), "wide", "id")
+    written = max(Path(spark.conf.get("spark.checkpoint.dir")).glob("wide-files-*"), key=lambda p: p.stat().st_mtime)
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in written.glob("*.parquet")]
+    assert len(groups) == streams.FILES + streams.LATE_FILES and max(groups) > 2
+    assert spark.read.parquet(str(written)).count() == 1_500_000
