@@ -346,8 +346,8 @@ def _grams(text: str, words: int) -> set:
     return {tuple(parts)} if len(parts) < words else set(zip(*(parts[k:] for k in range(words)), strict=False))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold, compared on the words themselves."""
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """The pairs (a, b) whose texts reach the threshold, compared on the words themselves; None if none does."""
 
     def run(batches: Batches) -> Batches:
         known: dict[int, set] = {}
@@ -363,7 +363,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
     left = texts.select(F.col("node").alias("a"), F.col("words").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("words").alias("right"))
-    return cut_lineage(in_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right"), run, "a bigint, b bigint"))
+    linked, count, _ = counted_copy(in_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right"), run, "a bigint, b bigint"), F.lit(False))
+    return linked if count else None
 
 
 def _documents_of(nodes: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -373,13 +374,19 @@ def _documents_of(nodes: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFr
         return cut_lineage(_keyed(docs).join(wanted.filter("doc_id > -9223372036854775808"), ["doc_id", "text_hash"]).select("node", "doc_id", "text"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """The pairs (a, b) that reach the threshold; None if there is nothing to verify."""
+def _texts_among(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (node, text) with one of ``nodes`` (node)."""
+    with settings(texts.sparkSession, PRUNED):
+        return cut_lineage(texts.join(nodes.filter(F.col("node") >= -(1 << 63)), "node"))
+
+
+def _verified(pairs: DataFrame, texts_of, words: int, percent: int) -> DataFrame | None:
+    """The pairs (a, b) that reach the threshold; None if there are none. ``texts_of`` gives (node, text) of nodes (node)."""
     pairs, count, _ = counted_copy(pairs, F.lit(False))
     if not count:
         return None
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = _documents_of(ends, docs, facts).select("node", _plain_words(F.col("text")).alias("words")).dropDuplicates(["node"])
+    texts = texts_of(ends).select("node", _plain_words(F.col("text")).alias("words")).dropDuplicates(["node"])
     return _verify(pairs, texts, words, percent)
 
 
@@ -661,18 +668,25 @@ def _rest(texts: DataFrame, classes, add, words: int, percent: int) -> None:
     common = F.least(F.col("one.distance") - F.col("one.place"), F.col("two.distance") - F.col("two.place"))
     enough = 2 * (100 + percent) * common >= -(F.col("one.near") + F.col("two.near"))
     while True:
-        rows, count, _ = counted_copy(_still_open(rows, classes()), F.lit(False))
-        if not count:
+        rows = _still_open(rows, classes())
+        if rows.isEmpty():
             return
         pairs, apart = _settled_by_nearest(_differences(rows, _central(rows, bits, LEADERS), sets, percent))
         add(pairs)
         keys = _difference_keys(apart, percent)
-        rows = _smaller_families(keys.filter(F.col("sets") > FEW))
-        pairs = _pairs_between(keys.filter(F.col("sets") <= FEW), enough).union(_pairs_between(rows.filter(F.col("sets") <= 2 * FEW))).select("a", "b").distinct()
+        pairs = _pairs_between(keys.filter(F.col("sets") <= FEW), enough).select("a", "b")
+        crowded = keys.filter(F.col("sets") > FEW)
+        smaller = not crowded.isEmpty()
+        if smaller:
+            rows = _smaller_families(crowded)
+            pairs = pairs.union(_pairs_between(rows.filter(F.col("sets") <= 2 * FEW)).select("a", "b"))
+        pairs = pairs.distinct()
         for side, name in (("a", "one"), ("b", "two")):
             known = sets.select("node", F.size("grams").cast("long").alias("size")).join(bits, "node")
             pairs = pairs.join(known.select(F.col("node").alias(side), F.struct("size", "bits").alias(name)), side)
         add(pairs.filter(_may_link("one", "two", percent)).select("a", "b"))
+        if not smaller:
+            return
         rows = rows.filter(F.col("sets") > 2 * FEW).select("signature", "node", "size")
 
 
@@ -682,12 +696,19 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     The links are not all pairs that reach the threshold: they connect exactly the sets that all of them connect.
     """
     links: list[DataFrame] = []
+    known: dict[int, DataFrame] = {}
 
-    def add(pairs: DataFrame) -> None:
-        found = _verified(pairs, docs, facts, words, percent)
+    def add(pairs: DataFrame, texts_of=lambda nodes: _documents_of(nodes, docs, facts)) -> None:
+        found = _verified(pairs, texts_of, words, percent)
         if found is not None:
             links.append(found)
 
+    def classes() -> DataFrame:
+        """Of the links so far; found once for each table that was added."""
+        if len(links) not in known:
+            known[len(links)] = _classes(docs, links)
+        return known[len(links)]
+
     shared, documents = _search(docs, words, percent)
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first")
     sets = documents.groupBy("node").agg(F.min("size").alias("size"), F.max("lost").alias("lost"), first)
@@ -696,15 +717,16 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     star = shared.filter("leader is not null").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("together"))
     add(_plausible(star, facts, percent))
     # Then pairs of different classes, where few sets share a signature.
-    rows = _still_open(shared.select("signature", "node"), _classes(docs, links))
+    rows = _still_open(shared.select("signature", "node"), classes())
     crowded = rows.filter(F.col("sets") > FEW).groupBy("node").agg(F.count(F.lit(1)).alias("crowded"))
     facts = cut_lineage(facts.drop("crowded").join(crowded, "node", "left").fillna(0, ["crowded"]))
     add(_plausible(_pairs_between(rows.filter(F.col("sets") <= FEW)), facts, percent))
     # Sets that fall short of the pigeonhole's demand are searched again, by their rarest n-grams.
     left, count, _ = counted_copy(facts.filter((F.col("lost") + F.col("crowded") > 0) & F.col("doc_id").isNotNull()).select("node"), F.lit(False))
     if count:
-        texts = _documents_of(left, docs, facts).dropDuplicates(["node"])
-        _rest(texts, lambda: _classes(docs, links), add, words, percent)
+        # Written once: every pair that is left lies between these texts, so no round reads all documents again.
+        texts = cut_lineage(_documents_of(left, docs, facts).dropDuplicates(["node"]))
+        _rest(texts, classes, lambda pairs: add(pairs, lambda nodes: _texts_among(texts, nodes)), words, percent)
     return links, documents
 
 

@@ -2,10 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from brute import doc_frame, jaccard_components
+from pyspark.sql import functions as F
 
 from spanmill.llm import jaccard
+from spanmill.llm.tasks import in_arrow
 
 PAIRS = 20_000
 
@@ -78,3 +81,36 @@ def test_families_are_judged_by_differences_from_a_pivot(spark):
     pairs, settled = jaccard._settled_by_nearest(apart)
     assert pairs.count() < 120
     assert jaccard._difference_keys(settled, 80).count() < 120 * 96
+
+
+def test_rounds_read_the_documents_no_more(spark, monkeypatch):
+    """Families take several rounds; all documents are read for the first pairs and once for what is left, and classes
+    are found once for each table of links."""
+    reads, tables = [], []
+    documents_of, components = jaccard._documents_of, jaccard.components
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "LEADERS", 5)
+    monkeypatch.setattr(jaccard, "_documents_of", lambda *a: reads.append(1) or documents_of(*a))
+    monkeypatch.setattr(jaccard, "components", lambda links: tables.append(links.count()) or components(links))
+    draw = random.Random(3)
+    template = words(draw, 150)
+    texts = []
+    for k in range(200):
+        text = list(template)
+        for at in draw.sample(range(150), draw.randint(1, 7)):
+            text[at] = words(draw, 1)[0]
+        texts.append(" ".join(text[draw.randint(0, 12) : 150 - draw.randint(0, 12)]))
+    docs = list(enumerate(texts))
+    jaccard.jaccard_links(doc_frame(spark, docs))
+    assert len(reads) <= 3
+    assert len(set(tables)) == len(tables)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows of 1 MB come some at a time, not 64 MB at once."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    rows = spark.range(0, 48, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert in_arrow(rows, run, "size bigint").agg(F.max("size")).first()[0] < 24 << 20
