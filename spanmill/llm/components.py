@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.session import counted_copy, cut_lineage
+from spanmill.session import counted_copy, small_copy
+
+#: Tables of at most so many narrow rows are kept in one partition.
+SMALL = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,8 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     by halves; a round is written to the shared folder, and the loop ends with the round that changes nothing.
     A node with many neighbours is met by a map-side minimum, never gathered. An empty table has no components.
     """
-    both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
+    both = small_copy(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), SMALL)
+    labels = small_copy(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), SMALL)
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
@@ -26,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
         after = lower.join(jump, "low").select("node", "before", F.least("low", "jump").alias("component"))
-        after, _, changed = counted_copy(after, F.col("before") != F.col("component"))
-        labels = after.select("node", "component")
+        after, rows, changed = counted_copy(after, F.col("before") != F.col("component"))
+        labels = (after.coalesce(1) if rows <= SMALL else after).select("node", "component")
         if not changed:
             return labels

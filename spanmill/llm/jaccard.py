@@ -46,7 +46,7 @@ from spanmill.llm.bytetext import mix, ranges, slices, windows
 from spanmill.llm.components import components
 from spanmill.llm.tasks import Batches, in_arrow
 from spanmill.operators.skew import join_per_key
-from spanmill.session import counted_copy, cut_lineage, settings, work_path
+from spanmill.session import counted_copy, cut_lineage, settings, small_copy, work_path
 
 WORDS, PERCENT = 5, 80
 #: A signature of more sets than this is left out of pair forming (see the module's text for why none is lost).
@@ -382,8 +382,8 @@ def _texts_among(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts_of, words: int, percent: int) -> DataFrame | None:
     """The pairs (a, b) that reach the threshold; None if there are none. ``texts_of`` gives (node, text) of nodes (node)."""
-    pairs, count, _ = counted_copy(pairs, F.lit(False))
-    if not count:
+    pairs = small_copy(pairs)
+    if pairs.isEmpty():
         return None
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = texts_of(ends).select("node", _plain_words(F.col("text")).alias("words")).dropDuplicates(["node"])
@@ -413,15 +413,15 @@ def _pairs_between(rows: DataFrame, plausible: Column | None = None) -> DataFram
 
 def _still_open(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """``shared`` with class and sets: the signatures whose sets are not all in one class yet, and how many sets they have."""
-    return _mixed(cut_lineage(shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")))
+    return _mixed(small_copy(shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")))
 
 
 def _mixed(classed: DataFrame) -> DataFrame:
     """The rows of the signatures that have several classes, with their number of sets."""
     mixed = classed.groupBy("signature").agg(F.count(F.lit(1)).alias("sets"), F.min("class").alias("low"), F.max("class").alias("high"))
-    mixed = cut_lineage(mixed.withColumn("key_rows", F.col("sets")))
+    mixed = small_copy(mixed.withColumn("key_rows", F.col("sets")))
     joined = join_per_key(classed, mixed, ["signature"], "node", how="inner", match=F.col("low") != F.col("high"), hot_floor=5_000)
-    return cut_lineage(joined.drop("low", "high"))
+    return small_copy(joined.drop("low", "high"))
 
 
 # ---- sets that the signatures cannot speak for ----
@@ -534,9 +534,9 @@ def _leader_pairs(rows: DataFrame, allowed) -> DataFrame:
     A set of the class with the fewest sets in the signature leads.
     """
     kept = [c for c in rows.columns if c not in ("signature", "sets")]
-    per_class = cut_lineage(rows.groupBy("signature", "class").agg(F.count(F.lit(1)).alias("key_rows")).withColumn("kin", F.col("key_rows")))
-    rows = cut_lineage(join_per_key(rows, per_class, ["signature", "class"], "node", hot_floor=5_000))
-    first = cut_lineage(rows.groupBy("signature").agg(F.min(F.struct("kin", *kept)).alias("two"), F.count(F.lit(1)).alias("key_rows")))
+    per_class = small_copy(rows.groupBy("signature", "class").agg(F.count(F.lit(1)).alias("key_rows")).withColumn("kin", F.col("key_rows")))
+    rows = small_copy(join_per_key(rows, per_class, ["signature", "class"], "node", hot_floor=5_000))
+    first = small_copy(rows.groupBy("signature").agg(F.min(F.struct("kin", *kept)).alias("two"), F.count(F.lit(1)).alias("key_rows")))
     met = join_per_key(rows, first, ["signature"], "node", hot_floor=5_000).select(F.struct(*kept).alias("one"), "two")
     other = (F.col("one.class") != F.col("two.class")) & (F.col("one.node") != F.col("two.node"))
     met = met.filter(F.when(other, allowed("one", "two")).otherwise(False))
@@ -546,9 +546,9 @@ def _leader_pairs(rows: DataFrame, allowed) -> DataFrame:
 def _families(rows: DataFrame) -> DataFrame:
     """(signature, node, size): the sets of all keys that have the same set of smallest hash, under that set."""
     found = rows.groupBy("signature").agg(F.min(F.struct(F.xxhash64("node").alias("hash"), "node")).alias("found"), F.count(F.lit(1)).alias("key_rows"))
-    found = cut_lineage(found.select("signature", F.col("found.node").alias("family"), "key_rows"))
+    found = small_copy(found.select("signature", F.col("found.node").alias("family"), "key_rows"))
     met = join_per_key(rows.select("signature", "node", "size"), found, ["signature"], "node", hot_floor=5_000)
-    return cut_lineage(met.select(F.col("family").alias("signature"), "node", "size").distinct())
+    return small_copy(met.select(F.col("family").alias("signature"), "node", "size").distinct())
 
 
 def _central(rows: DataFrame, bits: DataFrame, leaders: int) -> DataFrame:
@@ -610,7 +610,7 @@ def _differences(rows: DataFrame, pivots: DataFrame, sets: DataFrame, percent: i
 def _settled_by_nearest(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b) of the set nearest to each pivot and those that link with it without a common difference, unless of its class; ``apart`` with all these in its class."""
     nearest = apart.groupBy("signature").agg(F.max(F.struct("near", "node", "class")).alias("top"), F.count(F.lit(1)).alias("key_rows"))
-    met = cut_lineage(join_per_key(apart, cut_lineage(nearest), ["signature"], "node", hot_floor=5_000))
+    met = cut_lineage(join_per_key(apart, small_copy(nearest), ["signature"], "node", hot_floor=5_000))
     links = F.col("near") + F.col("top.near") >= 0
     pairs = met.filter(links & (F.col("class") != F.col("top.class"))).select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
     return pairs, met.withColumn("class", F.when(links, F.col("top.class")).otherwise(F.col("class"))).drop("top")
@@ -621,15 +621,15 @@ def _difference_keys(apart: DataFrame, percent: int) -> DataFrame:
 
     A set is asked for as many as any set of another class in its family must have in common with it.
     """
-    per_class = cut_lineage(apart.groupBy("signature", "class").agg(F.max("near").alias("near"), F.count(F.lit(1)).alias("key_rows")))
+    per_class = small_copy(apart.groupBy("signature", "class").agg(F.max("near").alias("near"), F.count(F.lit(1)).alias("key_rows")))
     top = per_class.groupBy("signature").agg(F.max(F.struct("near", "class")).alias("top"), F.sum("key_rows").alias("key_rows"))
     others = per_class.join(top.select("signature", "top"), "signature").filter(F.col("class") != F.col("top.class"))
-    best = cut_lineage(others.groupBy("signature").agg(F.max("near").alias("second")).join(top, "signature"))
+    best = small_copy(others.groupBy("signature").agg(F.max("near").alias("second")).join(top, "signature"))
     met = join_per_key(apart, best, ["signature"], "node", how="inner", hot_floor=5_000)
     partner = F.when(F.col("class") == F.col("top.class"), F.col("second")).otherwise(F.col("top.near"))
     common = F.greatest(F.lit(1), F.ceil(-(F.col("near") + partner) / (2 * (100 + percent))))
     first = met.withColumn("kept", F.col("distance") - common + 1).withColumn("key", F.explode(F.filter(F.arrays_zip("places", "differing"), lambda x: x["places"] < F.col("kept"))))
-    return _mixed(cut_lineage(first.select(
+    return _mixed(small_copy(first.select(
         F.col("signature").alias("family"), F.xxhash64("signature", "key.differing").alias("signature"), "node", F.col("key.places").alias("place"), "size", "distance", "near", "class"
     )))
 
@@ -640,9 +640,9 @@ def _smaller_families(rows: DataFrame) -> DataFrame:
     The pivot itself has no differences, so the smaller families lack it and rounds come to an end.
     """
     nearest = rows.groupBy("signature").agg(F.max(F.struct("near", F.xxhash64("node").alias("hash"), "node")).alias("top"), F.count(F.lit(1)).alias("key_rows"))
-    nearest = cut_lineage(nearest.select("signature", F.col("top.node").alias("nearest"), "key_rows"))
+    nearest = small_copy(nearest.select("signature", F.col("top.node").alias("nearest"), "key_rows"))
     met = join_per_key(rows.select("family", "signature", "node", "size", "class"), nearest, ["signature"], "node", hot_floor=5_000)
-    return _mixed(cut_lineage(met.select(F.xxhash64("family", "nearest").alias("signature"), "node", "size", "class").distinct()))
+    return _mixed(small_copy(met.select(F.xxhash64("family", "nearest").alias("signature"), "node", "size", "class").distinct()))
 
 
 def _rest(texts: DataFrame, classes, add, words: int, percent: int) -> None:

@@ -94,6 +94,16 @@ def counted_copy(df: DataFrame, condition: Column) -> tuple[DataFrame, int, int]
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"], seen.get["hits"]
 
 
+def small_copy(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``cut_lineage`` of narrow rows, which are read back as one partition if there are at most ``max_rows``.
+
+    Joins and groups among such tables need no shuffle of many empty partitions; larger
+    tables stay dealt out as they are.
+    """
+    copy, rows, _ = counted_copy(df, F.lit(False))
+    return copy.coalesce(1) if rows <= max_rows else copy
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """A written copy of ``df``, marked for broadcast if it has at most ``max_rows`` rows.
 

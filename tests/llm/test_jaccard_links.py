@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanmill.llm import jaccard
 from spanmill.llm.tasks import in_arrow
+from spanmill.session import small_copy
 
 PAIRS = 20_000
 
@@ -114,3 +115,11 @@ def test_batches_are_bounded_by_bytes(spark):
 
     rows = spark.range(0, 48, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
     assert in_arrow(rows, run, "size bigint").agg(F.max("size")).first()[0] < 24 << 20
+
+
+def test_small_copies_come_as_one_partition(spark):
+    """All rows stay; a table above the bound stays dealt out."""
+    rows = spark.range(0, 1000, 1, 40)
+    small, large = small_copy(rows, 1000), small_copy(rows, 999)
+    assert (small.rdd.getNumPartitions(), small.count(), large.count()) == (1, 1000, 1000)
+    assert large.rdd.getNumPartitions() > 1
