@@ -23,12 +23,16 @@ first: sets of sizes a and b that share c n-grams have one of their a - c + 1 an
 the steps of both sizes, so c is nearly that of the pair, and what many texts share stays out of the keys as long as a
 text has enough of its own. Keys of many sets that share a set become one family.
 
-A family never forms all its pairs. Its sets are written as differences from one of them, the pivot: sets at distances
-d and e from it with c differences in common are d + e - 2c apart. If they link with c = 0, both link with the set
-nearest to the pivot, so one comparison for each set settles them. All others share one of their rarest differences,
-the more of them the farther they lie; what the whole family has in common is no difference of any. Sets that share
-such a difference are paired if they are few (and if parity bits of their n-grams, of which a different n-gram changes
-at most one, differ in no more places than the sizes allow), and are a smaller family otherwise.
+A family of bounded size is settled by one task, which compares sets of different classes only, by sizes, parity bits
+(of which a different n-gram changes at most one) and then all n-grams, until one link joins two classes.
+
+The sets of a larger family are written as differences from one of them, the pivot: sets at distances d and e from it
+with c differences in common are d + e - 2c apart. If they link with c = 0, both link with the set nearest to the
+pivot, so one comparison for each set settles them. All others share one of their rarest differences, the more of them
+the farther they lie; what the whole family has in common is no difference of any. Sets that share such a difference
+are paired if they are few (and if sizes and parity bits allow a link), and are a smaller family otherwise. Rounds go on
+while the largest family shrinks by a quarter; what then is left is dealt into blocks, and every two blocks are settled
+by one task.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +58,10 @@ WORDS, PERCENT = 5, 80
 FEW = 24
 #: Sets of a family of which the most central one becomes its pivot.
 LEADERS = 256
+#: A family of at most so many sets, with at most so many n-grams in all, is settled by one task.
+SETTLED_SETS, SETTLED_GRAMS = 4096, 2_000_000
+#: A family of up to so many times these bounds is cut into blocks, of which every two are settled by one task.
+BLOCKED = 4
 #: Parity bits of a set, in longs of 64.
 _PARITY_LONGS = 32
 #: Texts whose signatures are dealt together, in bytes; bounds a task's memory.
@@ -501,16 +510,21 @@ def _reach(one: str, two: str, percent: int) -> Column:
     return F.least(size_a - place_a, size_b - place_b) * (100 + percent) >= percent * (size_a + size_b)
 
 
+def _parity_longs(grams: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Parity bits of ``n`` sets, a row of longs for each; every n-gram flips one."""
+    width = 64 * _PARITY_LONGS
+    flips = np.bincount(owners * width + (mix(grams) % np.uint64(width)).astype(np.int64), minlength=n * width) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(-1, _PARITY_LONGS)
+
+
 def _parities(texts: DataFrame, words: int) -> DataFrame:
     """(node, bits): for each set as many parity bits as ``_PARITY_LONGS`` longs hold; every n-gram flips one."""
 
     def run(batches: Batches) -> Batches:
-        width = 64 * _PARITY_LONGS
         for batch in batches:
             for s in slices(batch.column("text")):
                 grams, owners = _unique_shingles(s.lower(), words)
-                flips = np.bincount(owners * width + (mix(grams) % np.uint64(width)).astype(np.int64), minlength=s.n * width) & 1
-                packed = np.packbits(flips.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(-1, _PARITY_LONGS)
+                packed = _parity_longs(grams, owners, s.n)
                 offsets = pa.array(np.arange(s.n + 1) * _PARITY_LONGS, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(s.first, s.n), pa.ListArray.from_arrays(offsets, pa.array(packed.ravel()))], ["node", "bits"])
 
@@ -645,11 +659,87 @@ def _smaller_families(rows: DataFrame) -> DataFrame:
     return _mixed(small_copy(met.select(F.xxhash64("family", "nearest").alias("signature"), "node", "size", "class").distinct()))
 
 
+def _family_links(nodes: np.ndarray, classes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(a, b) that connect what the links of a family connect. A set meets those of other classes, until one link joins two classes."""
+    order = np.argsort(sizes, kind="stable")
+    begin = (np.cumsum(sizes) - sizes)[order]
+    nodes, classes, sizes = nodes[order], np.unique(classes[order], return_inverse=True)[1], sizes[order]
+    longs = np.empty((len(nodes), _PARITY_LONGS), np.uint64)
+    for at in range(0, len(nodes), 256):
+        many = sizes[at : at + 256]
+        longs[at : at + 256] = _parity_longs(grams[ranges(begin[at : at + 256], many)].view(np.uint64), np.repeat(np.arange(len(many)), many), len(many)).view(np.uint64)
+    numbers = np.unique(grams, return_inverse=True)[1].astype(np.int32)
+    mine, links = np.zeros(len(numbers), bool), []
+    last = np.searchsorted(sizes, 100 * sizes // percent, "right")
+    for k in range(len(nodes) - 1):
+        if classes.min() == classes.max():
+            break
+        others = np.arange(k + 1, last[k])
+        others = others[classes[others] != classes[k]]
+        most = differences(sizes[k], sizes[others], percent)
+        others = others[np.bitwise_count(longs[others] ^ longs[k]).sum(axis=1) <= most]
+        if not len(others):
+            continue
+        own, many = numbers[begin[k] : begin[k] + sizes[k]], sizes[others]
+        mine[own] = True
+        common = np.add.reduceat(mine[numbers[ranges(begin[others], many)]].astype(np.int64), np.cumsum(many) - many)
+        mine[own] = False
+        for other in others[100 * common >= percent * (sizes[k] + many - common)]:
+            if classes[other] != classes[k]:
+                links.append((int(min(nodes[k], nodes[other])), int(max(nodes[k], nodes[other]))))
+                classes[classes == classes[other]] = classes[k]
+    return links
+
+
+def _family_rows(percent: int):
+    """Sets (signature, node, class, grams) in the order of their family to the links (a, b) of each; one family is held at a time."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        family = pa.Table.from_batches(held)
+        listed = family.column("grams").combine_chunks()
+        links = _family_links(*(family.column(c).to_numpy() for c in ("node", "class")), listed.value_lengths().to_numpy().astype(np.int64), listed.flatten().to_numpy(), percent)
+        return pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], schema=schema)
+
+    def run(batches: Batches) -> Batches:
+        family, held = None, []
+        for batch in batches:
+            signatures = batch.column("signature").to_numpy()
+            cuts = np.flatnonzero(signatures[1:] != signatures[:-1]) + 1
+            for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(signatures)], strict=True):
+                if first == end:
+                    continue
+                if held and signatures[first] != family:
+                    yield settle(held)
+                    held = []
+                family = signatures[first]
+                held.append(batch.slice(first, end - first))
+        if held:
+            yield settle(held)
+
+    return run
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(signature, node, class): families of ``rows`` (with weight, their size in bounds) above the bounds as one family for every two of their blocks."""
+    blocks = F.when(F.col("weight") <= 1, 1).otherwise(F.ceil(2 * F.col("weight"))).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter((F.col("blocks") == 1) | (F.col("slot") != F.col("other")))
+    two = F.xxhash64("signature", F.least("slot", "other"), F.greatest("slot", "other"))
+    return met.select(F.when(F.col("blocks") == 1, F.col("signature")).otherwise(two).alias("signature"), "node", "class")
+
+
+def _settled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what the links within each family of ``rows`` (signature, node, class) connect."""
+    met = rows.join(sets, "node").select("signature", "node", "class", F.col("grams.gram").alias("grams"))
+    return in_arrow(met.repartition("signature").sortWithinPartitions("signature"), _family_rows(percent), "a bigint, b bigint").distinct()
+
+
 def _rest(texts: DataFrame, classes, add, words: int, percent: int) -> None:
     """Add the links between the sets of ``texts`` (node, text) that ``classes()`` does not connect yet.
 
     First one leader for each key, which settles groups of copies; then pairs where few sets share a key; then families
-    by differences from their pivots, each round with smaller ones.
+    in one task each or, if they are large, by differences from their pivots, each round with smaller ones.
     """
     def reach(one: str, two: str) -> Column:
         return _reach(one, two, percent)
@@ -663,31 +753,38 @@ def _rest(texts: DataFrame, classes, add, words: int, percent: int) -> None:
     rows, crowded, _ = counted_copy(rows.filter(F.col("sets") > FEW), F.lit(False))
     if not crowded:
         return
-    bits = _parities(texts.join(rows.select("node").distinct(), "node", "left_semi"), words)
-    rows = _families(rows)
+    rows, bits, before = _families(rows), None, inf
     common = F.least(F.col("one.distance") - F.col("one.place"), F.col("two.distance") - F.col("two.place"))
     enough = 2 * (100 + percent) * common >= -(F.col("one.near") + F.col("two.near"))
     while True:
         rows = _still_open(rows, classes())
         if rows.isEmpty():
             return
+        weight = small_copy(rows.groupBy("signature").agg(F.greatest(F.max("sets") / SETTLED_SETS, F.sum("size") / SETTLED_GRAMS).alias("weight")))
+        largest = weight.agg(F.max("weight")).first()[0]
+        bound = BLOCKED if largest <= 0.75 * before else inf
+        before = largest
+        rows = rows.join(weight, "signature")
+        add(_settled(_blocks(rows.filter(F.col("weight") <= bound)), sets, percent))
+        if largest <= bound:
+            return
+        rows = _still_open(rows.filter(F.col("weight") > bound).select("signature", "node", "size"), classes())
+        if rows.isEmpty():
+            return
+        if bits is None:
+            bits = _parities(texts.join(rows.select("node").distinct(), "node", "left_semi"), words)
         pairs, apart = _settled_by_nearest(_differences(rows, _central(rows, bits, LEADERS), sets, percent))
         add(pairs)
         keys = _difference_keys(apart, percent)
         pairs = _pairs_between(keys.filter(F.col("sets") <= FEW), enough).select("a", "b")
-        crowded = keys.filter(F.col("sets") > FEW)
-        smaller = not crowded.isEmpty()
-        if smaller:
-            rows = _smaller_families(crowded)
-            pairs = pairs.union(_pairs_between(rows.filter(F.col("sets") <= 2 * FEW)).select("a", "b"))
-        pairs = pairs.distinct()
         for side, name in (("a", "one"), ("b", "two")):
             known = sets.select("node", F.size("grams").cast("long").alias("size")).join(bits, "node")
             pairs = pairs.join(known.select(F.col("node").alias(side), F.struct("size", "bits").alias(name)), side)
         add(pairs.filter(_may_link("one", "two", percent)).select("a", "b"))
-        if not smaller:
+        crowded = keys.filter(F.col("sets") > FEW)
+        if crowded.isEmpty():
             return
-        rows = rows.filter(F.col("sets") > 2 * FEW).select("signature", "node", "size")
+        rows = _smaller_families(crowded).select("signature", "node", "size")
 
 
 def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[list[DataFrame], DataFrame]:

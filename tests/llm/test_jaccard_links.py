@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from brute import doc_frame, jaccard_components
 from pyspark.sql import functions as F
 
-from spanmill.llm import jaccard
+from spanmill.llm import components, jaccard
 from spanmill.llm.tasks import in_arrow
 from spanmill.session import small_copy
 
@@ -123,3 +124,61 @@ def test_small_copies_come_as_one_partition(spark):
     small, large = small_copy(rows, 1000), small_copy(rows, 999)
     assert (small.rdd.getNumPartitions(), small.count(), large.count()) == (1, 1000, 1000)
     assert large.rdd.getNumPartitions() > 1
+
+
+def nested_texts(draw):
+    """Texts of one template that all share most of their changes, so that a round with a pivot only takes the pivot away."""
+    template, changes = words(draw, 150), words(draw, 60)
+    texts = []
+    for k in range(70):
+        text = list(template)
+        for at in draw.sample(range(60), 42):
+            text[2 * at] = changes[at]
+        for at in draw.sample(range(150), k % 4):
+            text[at] = words(draw, 1)[0]
+        texts.append(" ".join(text))
+    return texts + texts[:10]
+
+
+@pytest.mark.parametrize("settled,most", [(4096, 0), (4, 6)])
+def test_bounded_families_are_settled_without_rounds(spark, monkeypatch, settled, most):
+    """No differences from a pivot are written where tasks hold the family; larger families go by rounds as long as those help."""
+    rounds, differences = [], jaccard._differences
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "SETTLED_SETS", settled)
+    monkeypatch.setattr(jaccard, "_differences", lambda *a: rounds.append(1) or differences(*a))
+    draw = random.Random(11)
+    docs = list(enumerate(nested_texts(draw) + nested_texts(draw)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(doc_frame(spark, docs)).collect()}
+    assert got == jaccard_components(docs)
+    assert bool(rounds) == bool(most) and len(rounds) <= most
+
+
+def test_one_task_links_what_all_pairs_link():
+    """Sets around the threshold: as many links as classes that all pairs join, whatever the signs of their hashes."""
+    draw = np.random.default_rng(2)
+    for _ in range(20):
+        base = draw.integers(-(2**63), 2**63 - 1, 40)
+        sets = [set(base[draw.random(40) < 0.93].tolist()) | set(draw.integers(-(2**63), 2**63 - 1, 2).tolist()) for _ in range(60)]
+        grams, sizes = np.concatenate([np.array(sorted(s)) for s in sets]), np.array([len(s) for s in sets])
+        before = draw.integers(0, 50, 60)
+        links = jaccard._family_links(np.arange(60), before.copy(), sizes, grams, 80)
+        found, expected = before.tolist(), before.tolist()
+        for a, b in links:
+            assert found[a] != found[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+            found = [found[a] if c == found[b] else c for c in found]
+        for a in range(60):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    expected = [expected[a] if c == expected[b] else c for c in expected]
+        assert [found.index(c) for c in found] == [expected.index(c) for c in expected]
+
+
+def test_components_of_one_task_equal_those_of_rounds(spark, monkeypatch):
+    draw = random.Random(4)
+    pairs = [(draw.randint(-400, 400), draw.randint(-400, 400)) for _ in range(420)] + [(k, k + 1) for k in range(1000, 1300)] + [(7, 7)]
+    links = spark.createDataFrame(draw.sample(pairs, len(pairs)), "a bigint, b bigint")
+    one = components.components(links)
+    assert components.components(links.limit(0)).count() == 0
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert sorted(one.collect()) == sorted(components.components(links).collect())
