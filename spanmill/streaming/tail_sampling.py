@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -121,6 +121,32 @@ class TraceDecision(StatefulProcessor):
         pass
 
 
+class RowDecision(TraceDecision):
+    """The same over rows: building frames for a trace costs more than its few spans do."""
+
+    def _release(self) -> Iterator[Row]:
+        row = Row(*self.schema.names)
+        for span in self.held.get():
+            yield row(*span)
+        self.held.clear()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        decided = self.decision.get()
+        while piece := list(islice(rows, PIECE)):
+            if decided is None and self._must_keep(dict(zip(self.schema.names, zip(*piece, strict=True), strict=True))):
+                decided = (True,)
+                self.decision.update(decided)
+                if self.held.exists():
+                    yield from self._release()
+            if decided is not None:
+                if decided[0]:
+                    yield from piece
+                continue
+            if not self.held.exists():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+            self.held.appendList(list(map(tuple, piece)))
+
+
 def tail_sample_timed(
     spans: DataFrame, rate: float = TRACE_RATE, salt: str = "", wait_ms: int = DECISION_MS, slow_ms: float | None = None
 ) -> DataFrame:
@@ -133,8 +159,8 @@ def tail_sample_timed(
     decided = (
         spans.filter(~in_share)
         .groupBy("trace_id")
-        .transformWithStateInPandas(
-            statefulProcessor=TraceDecision(spans.schema, wait_ms, slow_ms),
+        .transformWithState(
+            statefulProcessor=RowDecision(spans.schema, wait_ms, slow_ms),
             outputStructType=spans.schema, outputMode="append", timeMode="ProcessingTime",
         )
     )

@@ -5,6 +5,7 @@ from pathlib import Path
 import pandas as pd
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +143,50 @@ def test_a_trace_asks_the_state_once_for_its_decision():
     assert calls == ["get", "exists", 107, (True,), "exists", "get"]
 
 
+def test_rows_of_a_trace_are_judged_without_frames(monkeypatch):
+    """An error in the second call releases what was held; a decision is remembered; no frame is built for a trace."""
+    class State:
+        value, rows = None, []
+
+        def get(self):
+            return iter(self.rows) if self is held else self.value
+
+        def exists(self):
+            return bool(self.rows)
+
+        def update(self, value):
+            self.value = value
+
+        def appendList(self, rows):
+            self.rows = self.rows + rows
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, at):
+            self.value = at
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 100
+
+    schema = T.StructType([T.StructField("span_id", T.StringType()), T.StructField("status_code", T.StringType()), T.StructField("duration_ms", T.DoubleType())])
+    sampler, held = tail_sampling.RowDecision(schema, 7, None), State()
+    sampler.handle, sampler.decision, sampler.held = State(), State(), held
+    monkeypatch.setattr(tail_sampling, "PIECE", 2)
+    monkeypatch.setattr(pd, "DataFrame", None)
+    row = Row(*schema.names)
+
+    def call(*spans):
+        return [r.span_id for r in sampler.handleInputRows(("t",), iter([row(*s, 1.0) for s in spans]), Now())]
+
+    assert call(("a", "OK"), ("b", None), ("c", "OK")) == [] and sampler.handle.value == 107 and len(held.rows) == 3
+    assert call(("d", "OK"), ("e", "ERROR"), ("f", "OK")) == ["a", "b", "c", "d", "e", "f"] and held.rows == []
+    assert call(("g", "OK")) == ["g"]
+    sampler.decision.value = (False,)
+    assert call(("h", "ERROR")) == []
+
+
 def test_batched_append_stores_every_row_once(spark, files):
     path, checkpoint = work_path(spark, "append"), work_path(spark, "append-checkpoint")
     for _ in range(2):
